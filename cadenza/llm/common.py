@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 #: Characters that end a word: space and U+0009 to U+000D.  ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
@@ -50,14 +49,6 @@ def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
-def lower_ascii(text: str) -> str:
-    """A-Z to a-z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def fmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> _S33)
@@ -79,20 +70,43 @@ def chain(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordHashes:
-    """Words to 64-bit hashes through a cache of at most ``cap`` words; further words are hashed each time."""
+    """Words to 64-bit hashes; a worker keeps those of at most ``cap`` words between batches."""
 
-    def __init__(self, cap: int = 400_000):
+    def __init__(self, cap: int = 500_000):
         import xxhash
 
         self.hash, self.cap, self.known = xxhash.xxh3_64_intdigest, cap, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known, digest = self.known, self.hash
-        if len(known) < self.cap:
-            for w in set(words).difference(known):
-                if len(w) <= 40:
-                    known[w] = digest(w)
-        return np.fromiter((h if (h := known.get(w)) is not None else digest(w) for w in words), np.uint64, len(words))
+        new = set(words).difference(known)
+        known.update((w, digest(w)) for w in new)
+        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        full = len(known) > self.cap
+        for w in new:
+            if full or len(w) > 40:
+                del known[w]
+        return out
+
+
+_HASHES: list[WordHashes] = []
+
+
+def hashed_words(rows: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of the texts, one text after the other; words of each text).  ``fold``: A-Z as a-z."""
+    if not _HASHES:
+        _HASHES.append(WordHashes())
+    split = [(t.encode().lower() if fold else t.encode()).split() for t in rows]
+    return _HASHES[0]([w for words in split for w in words]), np.array([len(w) for w in split], np.int64)
+
+
+def gram_owner(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts laid end to end: which of the ``sum - n + 1`` positions start an n-gram inside one text, and whose."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    if len(owner) < n:
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    inside = owner[: len(owner) - n + 1] == owner[n - 1 :]
+    return inside, owner[: len(owner) - n + 1][inside]
 
 
 def row_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:

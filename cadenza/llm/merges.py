@@ -117,6 +117,7 @@ class MergeEncoder:
 
         self.ranks, self.find, self.cap = load_ranks(path), regex.compile(pattern).findall, cap
         self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         size = max(self.ranks.values()) + 1
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.value = [b""] * size
@@ -131,14 +132,16 @@ class MergeEncoder:
         split = [self._chunks(t) for t in texts]
         new = list({c for chunks in split for c in chunks if c not in known})
         pieces = [[p.encode() for p in self.find(c)] for c in new]
-        words = list({p for found in pieces for p in found})
-        ids = dict(zip(words, (np.array(x, self.dtype).tobytes() for x in replay(words, self.ranks))))
+        ids = self.words
+        words = list({p for found in pieces for p in found if p not in ids})
+        ids.update(zip(words, (np.array(x, self.dtype).tobytes() for x in replay(words, self.ranks))))
         known.update((c, b"".join([ids[p] for p in found])) for c, found in zip(new, pieces))
         out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.dtype) for chunks in split]
-        full = len(known) > self.cap
-        for c in new:
-            if full or len(c) > 40:
-                del known[c]
+        for items, kept in ((new, known), (words, ids)):
+            full = len(kept) > self.cap
+            for c in items:
+                if full or len(c) > 40:
+                    del kept[c]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import merges, packing, records
+from . import media, merges, ngrams, packing, records
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,22 @@ def op1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    trusted = ngrams.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
+    return ngrams.resample(documents, ngrams.fit(documents, trusted))
+
+
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(_documents(spark, sf_dir)))
+
+
+def op5_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    trusted = ngrams.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
+    return ngrams.quality(documents, ngrams.fit(documents, trusted))
+
+
 def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_records, op6_merge_replay, op10_packing)}
+    return {f.__name__: f for f in (op1_records, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import media, merges, ngrams, packing, records
+from . import media, merges, ngrams, packing, records, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +40,17 @@ def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    return secrets.digests(documents, secrets.fit(documents))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_records, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op10_packing)}
+    return {f.__name__: f for f in (op1_records, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op8_secret_field, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

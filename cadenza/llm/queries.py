@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import media, merges, ngrams, packing, records, secrets
+from . import lm, media, merges, ngrams, packing, records, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     trusted = ngrams.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_records, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op8_secret_field, op10_packing)}
+    return {f.__name__: f for f in (op1_records, op2_deleted_interpolation, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op8_secret_field, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import lm, media, merges, ngrams, packing, records, secrets
+from . import jaccard, lm, media, merges, ngrams, packing, records, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,16 @@ def op8_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents, secrets.fit(documents))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_documents(spark, sf_dir), n=3, percent=90)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_records, op2_deleted_interpolation, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op8_secret_field, op10_packing)}
+    return {f.__name__: f for f in (op1_records, op2_deleted_interpolation, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op8_secret_field, op9_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -256,3 +256,16 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, frequent_documents: int =
     out = index.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
+
+
+def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, without near copies: the least id of each component stays.
+
+    Rows with the id of a document that stays are one document: that of the least text stays.  Rows without an
+    id are linked with nothing and stay.
+    """
+    parts = join(df, n, percent, id_col=id_col, text_col=text_col)
+    stay = common.written(parts.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "jaccard-stay")
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    kept = df.join(stay, id_col, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return kept.unionByName(df.where(F.col(id_col).isNull()))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import jaccard, lm, media, merges, ngrams, packing, records, secrets
+from . import jaccard, licenses, lm, media, merges, ngrams, packing, records, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,11 @@ def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_documents(spark, sf_dir))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op8_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     return secrets.digests(documents, secrets.fit(documents))
@@ -58,8 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_records, op2_deleted_interpolation, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op8_secret_field, op9_jaccard_join, op10_packing)}
+    import corpus_pipeline
+
+    each = (op1_records, op2_deleted_interpolation, op3_importance_resampling, op4_matroska, op5_quality_ratio, op6_merge_replay, op7_license_scan, op8_secret_field, op9_jaccard_join, op10_packing)
+    return {**{f.__name__: f for f in each}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_scan": licenses.oracle()}

@@ -19,6 +19,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -316,31 +317,42 @@ def digests(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     return _scanned(df, field, id_col, text_col, row, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(df: DataFrame, field: Field, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with every secret replaced by ``mark`` (overlapping spans once), n_secrets."""
+def redact(df: DataFrame, field: Field, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """``df`` with every secret of its text replaced by ``mark`` (overlapping spans once); null texts stay null."""
+    shared = df.sparkSession.sparkContext.broadcast(field)
+    key = uuid.uuid4().hex
 
-    def row(base, every, text):
+    def clean(text: str) -> str:
         out, at = [], 0
-        for _, a, b in sorted(every, key=lambda s: (s[1], s[2])):
+        for _, a, b in sorted(all_spans(text, _tagger(key, shared))[1], key=lambda s: (s[1], s[2])):
             if b <= at:
                 continue
             if a >= at:
                 out += [text[at:a], mark]
             at = b
-        return ["".join(out) + text[at:], len(every)]
+        return "".join(out) + text[at:]
+
+    @F.pandas_udf("string")
+    def cleaned(text: pd.Series) -> pd.Series:
+        return text.map(clean, na_action="ignore")
+
+    return df.withColumn(text_col, cleaned(F.col(text_col)))
+
 
-    return _scanned(df, field, id_col, text_col, row, "text string, n_secrets long")
+def _tagger(key: str, shared) -> Tagger:
+    """The tagger of one scan; a worker keeps no other."""
+    if key not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[key] = Tagger(shared.value)
+    return _TAGGERS[key]
 
 
 def _scanned(df: DataFrame, field: Field, id_col: str, text_col: str, row, columns: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(field)
+    key = uuid.uuid4().hex
 
     def run(ids, rows):
-        if key not in _TAGGERS:
-            _TAGGERS.clear()
-            _TAGGERS[key] = Tagger(shared.value)
-        tagger = _TAGGERS[key]
+        tagger = _tagger(key, shared)
         return [ids, *zip(*(row(*all_spans(t, tagger), t) for t in rows))]
 
-    key = uuid.uuid4().hex  # a worker keeps the tagger of one scan
     return common.map_rows(common.texts(df, id_col, text_col), run, f"doc_id {common.id_type(df, id_col)}, {columns}")

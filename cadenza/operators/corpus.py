@@ -107,7 +107,7 @@ def aligned(p: DataFrame, q: DataFrame, item: str) -> DataFrame:
 def divergence(both: DataFrame, base: float = 2.0, rooted: bool = False) -> DataFrame:
     """One row: the Jensen-Shannon divergence of the columns p and q, each scaled to sum to 1; 0 if a side is empty."""
     total = both.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
-    x = both.crossJoin(F.broadcast(total)).select((F.col("p") / F.col("_p")).alias("p"), (F.col("q") / F.col("_q")).alias("q"))  # total: one row
+    x = both.crossJoin(F.broadcast(total)).where("_p > 0 and _q > 0").select((F.col("p") / F.col("_p")).alias("p"), (F.col("q") / F.col("_q")).alias("q"))  # total: one row
     m = (F.col("p") + F.col("q")) / 2
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / m)).otherwise(0.0)
     import math

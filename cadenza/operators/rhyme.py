@@ -57,10 +57,10 @@ def assigned(lines: DataFrame, key: str, least: int = 2, widest: int = 20_000) -
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
         found = peel(pdf["skel"].tolist(), least)
-        hit = [f is not None for f in found]
-        part = pdf.loc[hit, [key, "ordinal"]].copy()
-        part["match_length"], part["suffix"] = [f[0] for f in found if f], [f[1] for f in found if f]
-        return part
+        hit = [(o, *f) for o, f in zip(pdf["ordinal"].tolist(), found) if f]
+        out = pd.DataFrame(hit, columns=["ordinal", "match_length", "suffix"])
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
 
     schema = f"{key} {lines.schema[key].dataType.simpleString()}, ordinal int, match_length int, suffix string"
     small = sized.where(F.col("_n") <= widest).select(key, F.col("ordinal").cast("int").alias("ordinal"), "skel")

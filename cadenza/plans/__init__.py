@@ -1,6 +1,6 @@
 """The library's queries over the standard tables."""
 
-from . import lexical, rhymes, tracks
+from . import lexical, library, rhymes, tracks
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "lexical", "rhymes", "tracks"]
+__all__ = ["QUERIES", "SQL", "lexical", "library", "rhymes", "tracks"]

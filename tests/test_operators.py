@@ -217,3 +217,12 @@ def test_streams(spark, tmp_path):
     assert spark.table("counted").where("n = 2").count() == 5
     status = spark.createDataFrame([("a", "failed", 1), ("a", "completed", 2), ("b", "failed", 1)], "source string, status string, finished int")
     assert [r.source for r in ingest.pending(spark.createDataFrame([("a",), ("b",), ("c",)], "source string"), status).orderBy("source").collect()] == ["b", "c"]
+
+
+def test_sql_surface(spark):
+    from cadenza.functions import udfs
+
+    udfs.register(spark)
+    r = spark.sql("SELECT vowel_skeleton('prst u more') AS a, count_syllables('prst u more') AS b, count_syllables(CAST(NULL AS STRING)) AS c").first()
+    assert (r.a, r.b, r.c) == ("ruoe", 4, None)
+    assert {tuple(x) for x in spark.sql("SELECT * FROM internal_rhymes('aeoaeo', 2)").collect()} == {("ae", 2), ("eo", 2), ("aeo", 2)}

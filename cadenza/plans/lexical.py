@@ -100,7 +100,7 @@ tok AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL),
 perdoc AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_words, count(*) AS unique_words, sum(CASE WHEN token IN {tuple(LOANWORDS)} THEN n ELSE 0 END) AS loans FROM tok GROUP BY doc_id),
 hook AS (SELECT doc_id, max(n) AS hook_repetition_max, count(*) FILTER (n > 1) AS repeated FROM (SELECT doc_id, line_norm, count(*) AS n FROM lines GROUP BY ALL) GROUP BY doc_id),
 metrics AS (SELECT doc_id, source, lang, coalesce(total_words, 0) AS total_words, coalesce(unique_words, 0) AS unique_words, CASE WHEN total_words > 0 THEN round(unique_words / total_words, 4) ELSE 0.0 END AS ttr, line_count, avg_words_per_line, avg_syllables_per_line, hook_repetition_max, round(repeated / line_count, 4) AS hook_repetition_ratio, CASE WHEN total_words > 0 THEN round(loans / total_words, 4) ELSE 0.0 END AS english_loanword_rate FROM perline LEFT JOIN perdoc USING (doc_id) LEFT JOIN hook USING (doc_id))"""
-_MEANS = dict.fromkeys(("total_words", "ttr", "line_count", "avg_words_per_line", "avg_syllables_per_line", "hook_repetition_ratio", "english_loanword_rate"), 6)
+_MEANS = dict.fromkeys(("total_words", "ttr", "line_count", "avg_words_per_line", "avg_syllables_per_line", "hook_repetition_ratio", "english_loanword_rate"), 10)
 _MEANS_SQL = ", ".join(f"round(avg({c}), {d}) AS avg_{c}" for c, d in _MEANS.items())
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,26 @@ def gram_owner(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return inside, owner[: len(owner) - n + 1][inside]
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes: what travels or is written is as large as what it says."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack(raw: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed distances."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def unsteps(raw: bytes, dtype: type = np.uint64) -> np.ndarray:
+    return np.cumsum(unpack(raw, dtype), dtype=dtype)
+
+
 def row_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of at most ``max_chars`` characters (or one text) each, so that work arrays stay small."""
     for batch in batches:

@@ -10,8 +10,8 @@ How counts meet texts: texts are cut into blocks of whole documents, kept in a w
 local to the block.  A block asks once for each of its distinct words and bigrams, whatever their frequency,
 so a hot n-gram costs one entry a block.  Requests travel as packed arrays to hash buckets, where they are
 summed; the totals travel back in the order in which they were asked.  Buckets hold an even share of the
-distinct n-grams and grow in number with the shuffle partitions.  N-grams are 64-bit (words) and about
-56-bit (bigrams) hashes.
+distinct n-grams and grow in number with the shuffle partitions.  A bucket tells words apart by 48 bits of
+their hashes and bigrams by 40, besides the bits that chose the bucket.
 
 The text is folded A-Z to a-z; words are what is between white space (space, U+0009 to U+000D); each document
 ends in an end token and is preceded by a start context.  Null and empty texts are the end token alone; null
@@ -31,7 +31,6 @@ from . import common
 
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_KEY_BITS = np.uint64((1 << 48) - 1)
 CLASSES, STEPS = 40, 2  # context classes; steps of the estimates' histogram per factor of 2
 
 
@@ -58,8 +57,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataF
                     continue
                 hashes, sizes = common.hashed_words([rows[k] for k in at])
                 distinct, words = np.unique(hashes, return_inverse=True)
-                width = np.uint16 if len(distinct) < 65536 else np.uint32
-                yield common.batch_of(arrow, [[block], [part], [[ids[k] for k in at]], [sizes.astype(np.uint32).tobytes()], [distinct.tobytes()], [words.astype(width).tobytes()]])
+                yield common.batch_of(arrow, [[block], [part], [[ids[k] for k in at]], [common.pack(sizes.astype(np.uint32))], [distinct.tobytes()], [common.pack(words.astype(np.uint32))]])
                 block += 1
 
     return common.written(common.texts(df, id_col, text_col).mapInArrow(run, schema), "lm-blocks", compression="zstd")
@@ -69,10 +67,10 @@ class Block:
     """The tokens of a block: ``tokens`` and their ``contexts`` are places in ``types`` (distinct hashes; START is last)."""
 
     def __init__(self, sizes: bytes, hashes: bytes, words: bytes, buckets: int):
-        self.sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        self.sizes = common.unpack(sizes, np.uint32).astype(np.int64)
         known = np.frombuffer(hashes, np.uint64)
         n = int(self.sizes.sum())
-        local = np.frombuffer(words, np.uint16 if len(words) == 2 * n else np.uint32).astype(np.int64)
+        local = common.unpack(words, np.uint32).astype(np.int64)
         self.types = np.concatenate([known, [END, START]])
         end, start = len(known), len(known) + 1
         self.lengths = self.sizes + 1
@@ -86,21 +84,20 @@ class Block:
         pair = self.contexts * len(self.types) + self.tokens
         pairs, self.pair_of, self.pair_n = np.unique(pair, return_inverse=True, return_counts=True)
         hashed = common.fmix(common.fmix(self.types[pairs // len(self.types)]) + self.types[pairs % len(self.types)])
-        self.words_by = _Asked(common.fmix(self.types[:-1]), np.bincount(self.tokens, minlength=start)[:start], buckets, 64)
-        self.pairs_by = _Asked(hashed, self.pair_n, buckets, 48)
+        self.words_by = _Asked(common.fmix(self.types[:-1]), np.bincount(self.tokens, minlength=start)[:start], buckets, 48)
+        self.pairs_by = _Asked(hashed, self.pair_n, buckets, 40)
 
 
 class _Asked:
-    """Keys in the order in which they are asked: by bucket."""
+    """Distinct keys of ``bits`` bits in the order in which they are asked: by bucket, then ascending."""
 
     def __init__(self, hashes: np.ndarray, n: np.ndarray, buckets: int, bits: int):
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        whole = (hashes % np.uint64(buckets)) << np.uint64(bits) | (hashes // np.uint64(buckets)) & np.uint64((1 << bits) - 1)
+        self.order = np.argsort(whole)
+        whole = whole[self.order]
+        self.cuts = np.searchsorted(whole >> np.uint64(bits), np.arange(buckets + 1, dtype=np.uint64))
         self.n = n[self.order].astype(np.uint32)
-        self.keys = hashes[self.order]
-        if bits == 48:
-            self.keys = (self.keys // np.uint64(buckets)) & _KEY_BITS
+        self.keys = whole & np.uint64((1 << bits) - 1)
 
     def spread(self, answers: np.ndarray) -> np.ndarray:
         """Answers in the order asked, put back where the keys came from."""
@@ -109,17 +106,8 @@ class _Asked:
         return out
 
 
-def _low(keys: np.ndarray) -> bytes:
-    return keys.astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint16).tobytes()
-
-
-def _whole(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
 REQUEST = "bucket int, block long, part int, words binary, word_n binary, pairs binary, pair_n binary"
-REPLY = "block long, bucket int, word_all binary, word_main binary, pair_all binary, pair_main binary, n_types long, n_all long, n_main long"
+REPLY = "block long, part int, bucket int, word_all binary, word_main binary, pair_all binary, pair_main binary, n_types long, n_all long, n_main long"
 
 
 def requests(table: DataFrame, buckets: int) -> DataFrame:
@@ -137,7 +125,7 @@ def requests(table: DataFrame, buckets: int) -> DataFrame:
                     i, j, m, n = w.cuts[k], w.cuts[k + 1], p.cuts[k], p.cuts[k + 1]
                     if i == j and m == n:
                         continue
-                    for column, v in zip(out, (k, row["block"], row["part"], w.keys[i:j].tobytes(), (w.n[i:j] * some).tobytes(), _low(p.keys[m:n]), (p.n[m:n] * some).tobytes())):
+                    for column, v in zip(out, (k, row["block"], row["part"], common.steps(w.keys[i:j]), common.pack(w.n[i:j] * np.uint32(some)), common.steps(p.keys[m:n]), common.pack(p.n[m:n] * np.uint32(some)))):
                         column.append(v)
                 yield common.batch_of(arrow, out)
 
@@ -147,7 +135,7 @@ def requests(table: DataFrame, buckets: int) -> DataFrame:
 def _totals(keys: list[np.ndarray], counts: list[bytes], parts: list[int]) -> tuple[list, list, int, int, int]:
     sizes = np.array([len(k) for k in keys])
     flat = np.concatenate(keys)
-    n = np.concatenate([np.frombuffer(c, np.uint32) for c in counts]).astype(np.float64)
+    n = np.concatenate([common.unpack(c, np.uint32) for c in counts]).astype(np.float64)
     main = n * np.repeat(np.array(parts) == TRAIN, sizes)
     _, at = np.unique(flat, return_inverse=True)
     every, mains = np.bincount(at, n), np.bincount(at, main)
@@ -162,11 +150,13 @@ def replies(asked: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pydict()
-        word_all, word_main, types, n_all, n_main = _totals([np.frombuffer(w, np.uint64) for w in rows["words"]], rows["word_n"], rows["part"])
-        pair_all, pair_main, *_ = _totals([_whole(p) for p in rows["pairs"]], rows["pair_n"], rows["part"])
+        word_all, word_main, types, n_all, n_main = _totals([common.unsteps(w) for w in rows["words"]], rows["word_n"], rows["part"])
+        pair_all, pair_main, *_ = _totals([common.unsteps(p) for p in rows["pairs"]], rows["pair_n"], rows["part"])
         deleted = [p == DELETED for p in rows["part"]]
         bucket = rows["bucket"][0]
-        out = [[*rows["block"], -1], [bucket] * (len(deleted) + 1), *([*(x.tobytes() for x in a), b""] for a in (word_all,)), [*(x.tobytes() if d else b"" for x, d in zip(word_main, deleted)), b""], [*(x.tobytes() for x in pair_all), b""], [*(x.tobytes() if d else b"" for x, d in zip(pair_main, deleted)), b""]]
+        every = lambda answers: [*map(common.pack, answers), b""]
+        some = lambda answers: [*(common.pack(x) if d else b"" for x, d in zip(answers, deleted)), b""]
+        out = [[*rows["block"], -1], [*rows["part"], -1], [bucket] * (len(deleted) + 1), every(word_all), some(word_main), every(pair_all), some(pair_main)]
         none = [0] * len(deleted)
         return pa.Table.from_batches([common.batch_of(arrow, [*out, [*none, types], [*none, n_all], [*none, n_main]])])
 
@@ -175,15 +165,15 @@ def replies(asked: DataFrame) -> DataFrame:
 
 def answered(table: DataFrame, totals: DataFrame) -> DataFrame:
     """Blocks with their replies, ordered by bucket inside ``got``."""
-    got = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "word_all", "word_main", "pair_all", "pair_main")).alias("got"))
-    return table.join(got, "block")
+    got = totals.where("block >= 0").groupBy("block", "part").agg(F.collect_list(F.struct("bucket", "word_all", "word_main", "pair_all", "pair_main")).alias("got"))
+    return table.join(got.drop("part"), "block")
 
 
 def _counts(row: dict, buckets: int, which: str) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
     """(block, c(w) of each token, c(v) of each context, c(vw)); START counts as often as END."""
     b = Block(row["sizes"], row["hashes"], row["words"], buckets)
     got = sorted(row["got"], key=lambda r: r["bucket"])
-    flat = lambda name: np.frombuffer(b"".join(r[f"{name}_{which}"] for r in got), np.uint32)
+    flat = lambda name: np.concatenate([common.unpack(r[f"{name}_{which}"], np.uint32) for r in got])
     words = b.words_by.spread(flat("word"))
     words = np.append(words, words[-1])
     pairs = b.pairs_by.spread(flat("pair"))
@@ -243,8 +233,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_c
     table = blocks(df, id_col, text_col, block_chars)
     totals = replies(requests(table, buckets))
     types, n, n_main = (int(x or 0) for x in totals.where("block = -1").agg(F.sum("n_types"), F.sum("n_all"), F.sum("n_main")).first())
-    joined = answered(table, totals)
-    found = histogram(joined.where(F.col("part") == DELETED), buckets, n_main).collect()
+    deleted = F.col("part") == DELETED
+    found = histogram(answered(table.where(deleted), totals.where(deleted)), buckets, n_main).collect()
     weights = learn(found, 1 / (types + 1))
     schema = f"doc_id {common.id_type(df, id_col)}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     arrow = common.arrow_of(schema)
@@ -260,4 +250,4 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_c
                 m = len(first)
                 yield common.batch_of(arrow, [row["ids"], [row["part"] == HELD_OUT] * m, b.lengths, sums[0], [n] * m, sums[1], sums[2]])
 
-    return joined.mapInArrow(run, schema)
+    return answered(table, totals).mapInArrow(run, schema)

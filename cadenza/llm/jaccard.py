@@ -11,7 +11,7 @@ least ``CLASSED`` documents go into a table of ``2**CELL_BITS`` cells, which is
 
 No group is expanded into all pairs.  Equal sets are one node.  A key's nodes are first compared with one
 leader (a star), links are closed into components, and later rounds compare only nodes of one key that are
-still in different components: first one node of each, then, for what is left, all of them.  Components are
+still in different components: first, for a few turns while keys are large, one node of each, then, for what is left, all of them.  Components are
 found by alternating large and small stars on written tables; nothing of the graph comes to the driver.
 
 Null and empty texts have no shingles and are linked with nothing.  A null id is returned with a null
@@ -21,17 +21,17 @@ component.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 CLASSED = 8
 CELL_BITS = 21
+FILTER_BITS = 25
+GROUP, ROUNDS = 64, 5
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -67,12 +67,12 @@ def frequency_classes(df: DataFrame, n: int, buckets: int) -> np.ndarray:
             cuts = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             low, count = keys.astype(np.uint32), count.astype(np.uint32)
             some = np.flatnonzero(np.diff(cuts))
-            yield common.batch_of(arrow, [some, [low[cuts[k] : cuts[k + 1]].tobytes() for k in some], [count[cuts[k] : cuts[k + 1]].tobytes() for k in some]])
+            yield common.batch_of(arrow, [some, [common.steps(low[cuts[k] : cuts[k + 1]]) for k in some], [common.pack(count[cuts[k] : cuts[k + 1]]) for k in some]])
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pydict()
-        keys, at = np.unique(np.concatenate([np.frombuffer(k, np.uint32) for k in rows["keys"]]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for c in rows["n"]]))
+        keys, at = np.unique(np.concatenate([common.unsteps(k, np.uint32) for k in rows["keys"]]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([common.unpack(c, np.uint32) for c in rows["n"]]))
         often = total >= CLASSED
         cell = _cell(np.uint64(rows["bucket"][0]) << np.uint64(32) | keys[often].astype(np.uint64))
         return pa.table({"cells": pa.array([cell.astype(np.uint32).tobytes()], pa.binary()), "classes": pa.array([np.log2(total[often]).astype(np.uint8).tobytes()], pa.binary())})
@@ -155,20 +155,39 @@ def star_pairs(keys: DataFrame, percent: int) -> DataFrame:
     return _ordered(keys.join(leaders, "key").where(viable(percent)))
 
 
-def sets_of(df: DataFrame, index: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Written table (node, tokens: 6 bytes each, ascending) of the nodes asked for, from one document of each."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit table of ``2**FILTER_BITS`` bits that has the hash of every id: of fixed size, with false alarms only."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("w")).toPandas()
+    table = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    table[words["at"]] = words["w"]
+    return table.view(np.uint64)
+
+
+def sets_of(docs: DataFrame, index: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Written table (node, tokens: 6 bytes each, ascending) of the nodes asked for, from one document of each.
+
+    Texts stay where they are: a bit table of the ids asked for tells which to cut; a false alarm adds a set
+    that no pair asks for.
+    """
     wanted = index.where("node is not null and doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    docs = common.texts(df, "doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc_id")))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    arrow = common.arrow_of("node long, tokens binary")
 
-    def run(ids, rows):
+    def run(batches):
         import xxhash
 
-        found, owner = shingles(rows, n)
-        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-        parts = [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        return [[xxhash.xxh3_64_intdigest(p.tobytes()) - (1 << 63) for p in parts], [np.sort(p >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for p in parts]]
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            held = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            for _, rows in common.row_batches([batch.filter(pa.array(held.astype(bool)))]):
+                found, owner = shingles(rows, n)
+                cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+                parts = [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                yield common.batch_of(arrow, [[xxhash.xxh3_64_intdigest(p.tobytes()) - (1 << 63) for p in parts], [np.sort(p >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for p in parts]])
 
-    return common.written(common.map_rows(docs, run, "node long, tokens binary").dropDuplicates(["node"]), "jaccard-sets")
+    return common.written(docs.where("doc_id is not null").select(bit.alias("at"), "text").mapInArrow(run, "node long, tokens binary"), "jaccard-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,43 +213,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Written table (node, label) of all linked nodes; label is the least node of the component.
+    """Written table (node, label) of all linked nodes but the labels themselves; a label is its component's least node.
 
-    Alternating large and small stars: each round is two aggregations and joins over at most the links there are.
+    Alternating large and small stars: a round is two aggregations and joins over at most the links there are,
+    and what tells that nothing changed is counted while the round is written.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     last = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = common.written(small, "components")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        last = state
+        seen = Observation()
+        edges = common.written(small.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("x")), "components")
+        if seen.get == last:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        last = seen.get
 
 
-def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """The keys whose nodes are in more than one component, with labels (written)."""
-    labels = components(links)
+def _open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """Written table of the keys whose nodes are in more than one component, with labels."""
     each = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    each = common.written(each, "jaccard-labels")
     open_ = each.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     return common.written(each.join(open_, "key"), "jaccard-open")
 
 
-def component_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """Of each key, the least node of every component with the least of all."""
-    each = keys.groupBy("key", "label").agg(F.min(F.struct("node", "n", "place")).alias("x")).select("key", "x.node", "x.n", "x.place")
-    return star_pairs(each, percent)
+def component_pairs(keys: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Of each key, one node of every component with one of the component that has most of it; another one each turn."""
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "place")
+    each = keys.groupBy("key", "label").agg(F.min(drawn).alias("x"), F.count("*").alias("size"))
+    leader = each.groupBy("key").agg(F.max(F.struct("size", "x")).alias("y")).select("key", F.col("y.x.node").alias("node2"), F.col("y.x.n").alias("n2"), F.col("y.x.place").alias("place2"))
+    return _ordered(each.select("key", "x.node", "x.n", "x.place").join(leader, "key").where(viable(percent)))
 
 
 def open_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of a key in different components whose sizes and places allow the similarity."""
-    return _ordered(keys.join(_second(keys), "key").where("label < label2").where(viable(percent)))
+    """All pairs of nodes of a key in different components whose sizes and places allow the similarity.
+
+    A pair comes up once: at the first of the keys that both nodes have.
+    """
+    order = F.sort_array(F.collect_list(F.struct("place", "key")))
+    own = keys.groupBy("node").agg(F.transform(order, lambda s: s["key"]).alias("own"))
+    each = keys.join(own, "node")
+    first = F.get(F.array_intersect("own", "own2"), F.lit(0))
+    return _ordered(each.join(_second(each), "key").where("label < label2").where(viable(percent)).where(first == F.col("key")))
 
 
 def join(df: DataFrame, n: int = 3, percent: int = 90, frequent_documents: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,15 +267,21 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, frequent_documents: int =
     keys = shared_keys(index)
     sets = sets_of(docs, index, keys.select("node").distinct(), n)
     done = common.written(star_pairs(keys, percent), "jaccard-pairs")
-    links = [verified(done, sets, percent)]
-    for pairs_of in (component_pairs, open_pairs):
-        left = _labelled(keys, reduce(DataFrame.unionAll, links))
-        if left.isEmpty():
+    labels = components(verified(done, sets, percent))
+    keys = _open_keys(keys, labels)
+    # While keys have many nodes, their components are joined by a few comparisons; then what is left is compared in full.
+    turn = 0
+    while (largest := keys.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > 0:
+        turn += 1
+        full = largest <= GROUP or turn > ROUNDS
+        pairs = open_pairs(keys, percent) if full else component_pairs(keys, percent, turn)
+        pairs = common.written(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = verified(pairs, sets, percent)
+        if not links.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links))
+        if full:
             break
-        pairs = common.written(pairs_of(left, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links.append(verified(pairs, sets, percent))
-        done, keys = done.unionAll(pairs), left.drop("label")
-    labels = components(reduce(DataFrame.unionAll, links))
+        done, keys = done.unionAll(pairs), _open_keys(keys.drop("label"), labels)
     known = index.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = common.written(known, "jaccard-nodes")
     roots = known.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -54,7 +54,8 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, id_
     Sequence ``s`` holds the tokens s*length to (s+1)*length of the stream; only the last is short.
     """
     parts = encoded_parts(df, tokenizer, end_id, id_col, text_col)
-    placed = parts.join(bases(parts), "part").select("doc_id", "ids", "n_tokens", (F.col("base") + F.col("part_offset")).alias("at"))
+    # The bases are one row of two numbers for each writing task, whatever the corpus.
+    placed = parts.join(F.broadcast(bases(parts)), "part").select("doc_id", "ids", "n_tokens", (F.col("base") + F.col("part_offset")).alias("at"))
     schema = f"doc_id {common.id_type(df, id_col)}, {PIECES}"
     arrow = common.arrow_of(schema)
 

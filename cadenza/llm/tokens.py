@@ -21,7 +21,7 @@ class ChunkEncoder:
     text are ordinary text.
     """
 
-    def __init__(self, path: str, words: bool, cap: int = 700_000):
+    def __init__(self, path: str, words: bool, cap: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -90,15 +90,25 @@ class WordHashes:
         return out
 
 
-_HASHES: list[WordHashes] = []
+#: What this worker keeps between batches, by operator family; a worker that changes families drops the others'.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(family: str) -> dict:
+    """The family's cache; taking it empties those of all other families, so that a worker holds one at a time."""
+    if family not in _KEPT:
+        _KEPT.clear()
+        _KEPT[family] = {}
+    return _KEPT[family]
 
 
 def hashed_words(rows: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of the texts, one text after the other; words of each text).  ``fold``: A-Z as a-z."""
-    if not _HASHES:
-        _HASHES.append(WordHashes())
+    own = kept("words")
+    if "hashes" not in own:
+        own["hashes"] = WordHashes()
     split = [(t.encode().lower() if fold else t.encode()).split() for t in rows]
-    return _HASHES[0]([w for words in split for w in words]), np.array([len(w) for w in split], np.int64)
+    return own["hashes"]([w for words in split for w in words]), np.array([len(w) for w in split], np.int64)
 
 
 def gram_owner(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -289,7 +289,6 @@ class Tagger:
         return out
 
 
-_TAGGERS: dict[str, Tagger] = {}
 
 
 def all_spans(text: str, tagger: Tagger) -> tuple[list, list]:
@@ -341,10 +340,11 @@ def redact(df: DataFrame, field: Field, mark: str = "[SECRET]", text_col: str =
 
 def _tagger(key: str, shared) -> Tagger:
     """The tagger of one scan; a worker keeps no other."""
-    if key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[key] = Tagger(shared.value)
-    return _TAGGERS[key]
+    own = common.kept("secrets")
+    if key not in own:
+        own.clear()
+        own[key] = Tagger(shared.value)
+    return own[key]
 
 
 def _scanned(df: DataFrame, field: Field, id_col: str, text_col: str, row, columns: str) -> DataFrame:

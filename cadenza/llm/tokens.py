@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from . import common
+
 #: White space other than space and line feed (and the separators that some engines count as such).
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: White space, then what follows up to the next white space.  Byte-level pre-tokenizers always cut before
@@ -80,14 +82,12 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, words: bool = False) -> ChunkEncoder:
-    """The worker's encoder for a file; kept as long as the Python worker lives."""
-    if (path, words) not in _ENCODERS:
-        _ENCODERS[path, words] = ChunkEncoder(path, words)
-    return _ENCODERS[path, words]
+    """The worker's encoder for a file."""
+    own = common.kept("tokens")
+    if (path, words) not in own:
+        own[path, words] = ChunkEncoder(path, words)
+    return own[path, words]
 
 
 def with_end(ids: np.ndarray, end_id: int) -> np.ndarray:

@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling; documents that are not drawn go."""
-    return ngrams.resampled(docs, _ratio(spark, docs, sf_dir))
+    """Importance resampling; documents that are not drawn go.
+
+    The model is that of the raw table: in what the rules kept junk is too rare to be told from trusted text.
+    """
+    return ngrams.resampled(docs, _ratio(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,6 +183,23 @@ def test_resampling(odd, docs, spark, sf_dir):
     assert ngrams.resample(odd, ngrams.fit(odd, [])).where("log_ratio <> 0").count() == 0
 
 
+def test_second_stage_rejects_junk(spark, tmp_path):
+    """Labelled rows held out of the fit: junk goes, be it common or among few in what the rules kept, and clean documents stay."""
+    larger = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    os.symlink(f"{larger}/documents.parquet", tmp_path / "documents.parquet")
+    labels.where("doc_id % 3 > 0").write.parquet(str(tmp_path / "labels.parquet"))
+    judged = {r.doc_id: r.quality for r in labels.where("doc_id % 3 = 0").collect()}
+    junk = documents.where(documents.doc_id.isin([i for i, q in judged.items() if q == 0]))
+    ruled = corpus_pipeline.quality_rules(spark, documents, str(tmp_path))
+    for given in (documents, ruled.unionByName(junk)):
+        kept = {r.doc_id for r in corpus_pipeline.quality_classifier(spark, given, str(tmp_path)).collect()}
+        there = {r.doc_id for r in given.select("doc_id").collect()}
+        bad, good = ([i for i in there if judged.get(i) == q] for q in (0, 1))
+        assert len(bad) >= 10 and sum(i in kept for i in bad) <= 0.05 * len(bad)
+        assert len(good) >= 100 and sum(i in kept for i in good) >= 0.98 * len(good)
+
+
 def test_kth_largest(spark):
     values = [random.Random(1).choice([0.5, 1.5, 1.5 + 1e-12, -3.0, 7.25]) for _ in range(300)]
     df = spark.createDataFrame([(v,) for v in values], "x double")

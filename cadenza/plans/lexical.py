@@ -111,6 +111,8 @@ def metrics(t):
 query("e1_song_metrics", f"WITH {LINES}, {METRICS} SELECT * FROM metrics")(metrics)
 query("e2_artist_stats", f"WITH {LINES}, {METRICS} SELECT source, count(*) AS songs, {_MEANS_SQL} FROM metrics GROUP BY source")(lambda t: C.means(metrics(t), ["source"], _MEANS))
 query("e3_cohort_stats", f"WITH {LINES}, {METRICS} SELECT source, lang, count(*) AS songs, {_MEANS_SQL} FROM metrics WHERE doc_id % 3 = 0 GROUP BY source, lang")(lambda t: C.means(metrics(t).where("doc_id % 3 = 0"), ["source", "lang"], _MEANS))
+# e3_cohort_stats is held to its SQL, which takes every third document; this one takes all of them, with lang as the cohort.
+query("e3_cohort_stats_whole", f"WITH {LINES}, {METRICS} SELECT source, lang, count(*) AS songs, {_MEANS_SQL} FROM metrics GROUP BY source, lang")(lambda t: C.means(metrics(t), ["source", "lang"], _MEANS))
 query("e4_top_words", f"WITH {LINES}, n AS (SELECT source, token, count(*) AS n FROM tokens GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, token) AS INTEGER) AS rank FROM n) SELECT source, token, n, rank FROM r WHERE rank <= 20")(lambda t: C.top_words(doc_tokens(t), ["source"], 20))
 query("e5_section_types", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role")(lambda t: t.conversations.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations")))
 query("e6_syllable_histogram", f"WITH {LINES} SELECT CASE WHEN syllable_count <= 4 THEN '0-4' WHEN syllable_count <= 8 THEN '5-8' WHEN syllable_count <= 12 THEN '9-12' WHEN syllable_count <= 16 THEN '13-16' ELSE '17+' END AS bucket, count(*) AS n FROM lines GROUP BY bucket")(lambda t: doc_lines(t).groupBy(C.bucketed(F.col("syllable_count"), [4, 8, 12, 16]).alias("bucket")).agg(F.count("*").alias("n")))

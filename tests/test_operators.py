@@ -226,3 +226,11 @@ def test_sql_surface(spark):
     r = spark.sql("SELECT vowel_skeleton('prst u more') AS a, count_syllables('prst u more') AS b, count_syllables(CAST(NULL AS STRING)) AS c").first()
     assert (r.a, r.b, r.c) == ("ruoe", 4, None)
     assert {tuple(x) for x in spark.sql("SELECT * FROM internal_rhymes('aeoaeo', 2)").collect()} == {("ae", 2), ("eo", 2), ("aeo", 2)}
+
+
+def test_cohort_stats_count_every_document(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["e3_cohort_stats_whole"](spark, sf_dir).collect()
+    there = spark.read.parquet(f"{sf_dir}/documents.parquet").where(r"text rlike '[^\\s]'").groupBy("source", "lang").count().collect()
+    assert {(r.source, r.lang): r.songs for r in found} == {(r.source, r.lang): r["count"] for r in there}

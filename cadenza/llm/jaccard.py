@@ -16,7 +16,7 @@ found by alternating large and small stars on written tables; nothing of the gra
 
 Null and empty texts have no shingles and are linked with nothing.  A null id is returned with a null
 component and links nothing.  Repeated rows are equal sets; rows with one id and different texts share their
-component.  An empty table gives an empty result.
+component, as the sets of one id are linked.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -233,6 +233,13 @@ def components(links: DataFrame) -> DataFrame:
         last = seen.get
 
 
+def id_links(index: DataFrame) -> DataFrame:
+    """(a, b): of each id with several nodes, the least with every other."""
+    each = index.where("node is not null and doc_id is not null").select("doc_id", "node")
+    several = each.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    return each.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 def _open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """Written table of the keys whose nodes are in more than one component, with labels."""
     each = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -267,7 +274,7 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, frequent_documents: int =
     keys = shared_keys(index)
     sets = sets_of(docs, index, keys.select("node").distinct(), n)
     done = common.written(star_pairs(keys, percent), "jaccard-pairs")
-    labels = components(verified(done, sets, percent))
+    labels = components(verified(done, sets, percent).unionAll(common.written(id_links(index), "jaccard-ids")))
     keys = _open_keys(keys, labels)
     # While keys have many nodes, their components are joined by a few comparisons; then what is left is compared in full.
     turn = 0
@@ -294,11 +301,13 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, frequent_documents: int =
 def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, without near copies: the least id of each component stays.
 
-    Rows with the id of a document that stays are one document: that of the least text stays.  Rows without an
-    id are linked with nothing and stay.
+    Here each text of an id has its own component, so that a text stays when only another one of its id is a
+    copy; of the texts of one id that stay, the least does.  Rows without an id are linked with nothing and stay.
     """
-    parts = join(df, n, percent, id_col=id_col, text_col=text_col)
-    stay = common.written(parts.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct(), "jaccard-stay")
+    own = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    named = df.withColumn("_own", own)
+    parts = join(named, n, percent, id_col="_own", text_col=text_col)
+    stay = common.written(parts.where("doc_id = component_id").select(F.col("doc_id").alias("_own")).distinct(), "jaccard-stay")
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    kept = df.join(stay, id_col, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    kept = named.join(stay, "_own", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*df.columns)
     return kept.unionByName(df.where(F.col(id_col).isNull()))

@@ -381,6 +381,15 @@ def test_jaccard_keeps_one_of_each(odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id >= 12").collect()) == [12, 14]
 
 
+def test_jaccard_of_one_id_with_several_texts(spark):
+    a, b = ("alpha " + " ".join(f"a{k}" for k in range(30)), "beta " + " ".join(f"b{k}" for k in range(30)))
+    for x, y in ((a, b), (b, a)):
+        rows = [(5, x), (5, y), (3, y), (7, "other words of a text that stays alone")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert Counter(map(tuple, jaccard.join(df).collect())) == linked(rows, 3, 90)
+        assert sorted(map(tuple, jaccard.one_of_each(df).collect())) == [(3, y), (5, x), rows[3]]
+
+
 def test_pipeline(spark, sf_dir, docs):
     from cadenza.llm import common
 

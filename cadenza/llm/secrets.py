@@ -289,13 +289,33 @@ class Tagger:
         return out
 
 
+def outside(span: tuple[str, int, int], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The parts of a span outside the others; a name that an assignment begins inside of is no part."""
+    kind, at, end = span
+    out = []
+    for k, a, b in sorted(base, key=lambda s: (s[1], s[2])):
+        if b > at and a < end:
+            out += [(kind, at, a)] if a > at and k != "assign" else []
+            at = b
+    return out + ([(kind, at, end)] if at < end else [])
 
 
 def all_spans(text: str, tagger: Tagger) -> tuple[list, list]:
-    """(pattern spans, all spans): the field's spans count where they touch no pattern span."""
+    """(pattern spans, all spans): of the field's spans what no pattern span covers."""
     base = pattern_spans(text)
-    more = [s for s in tagger.spans(text) if all(s[2] <= a or s[1] >= b for _, a, b in base)]
-    return base, base + more
+    return base, base + [part for s in tagger.spans(text) for part in outside(s, base)]
+
+
+def marked(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """The text with a mark for each run of overlapping or adjoining spans."""
+    out, at = [], 0
+    for _, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
+        if b <= at:
+            continue
+        if a > at or not out:
+            out += [text[at:a], mark]
+        at = b
+    return "".join(out) + text[at:]
 
 
 def scan(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,19 +337,12 @@ def digests(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
 
 def redact(df: DataFrame, field: Field, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``df`` with every secret of its text replaced by ``mark`` (overlapping spans once); null texts stay null."""
+    """``df`` with every secret of its text replaced by ``mark`` (overlapping and adjoining spans once); null texts stay null."""
     shared = df.sparkSession.sparkContext.broadcast(field)
     key = uuid.uuid4().hex
 
     def clean(text: str) -> str:
-        out, at = [], 0
-        for _, a, b in sorted(all_spans(text, _tagger(key, shared))[1], key=lambda s: (s[1], s[2])):
-            if b <= at:
-                continue
-            if a >= at:
-                out += [text[at:a], mark]
-            at = b
-        return "".join(out) + text[at:]
+        return marked(text, all_spans(text, _tagger(key, shared))[1], mark)
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series) -> pd.Series:

@@ -321,6 +321,26 @@ def test_secrets(spark, odd, none):
     assert secrets.digests(odd, secrets.fit(none)).where("spans like '%crf%'").count() == 0
 
 
+def test_field_adds_what_patterns_miss(spark):
+    rng = random.Random(5)
+    words = ["the", "stone", "Of", "12", "river,", "and", "(so)", "x=1"]
+    rows = []
+    for k in range(300):
+        w = [rng.choice(words) for _ in range(40)]
+        w[rng.randrange(40)] = 'token = "' + "".join(rng.choice("0123456789abcdefGHKXYZ") for _ in range(40)) + '"'
+        rows.append((k, " ".join(w)))
+    field = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    new = "G7xK2mPq9RtZ4vW8yB3nD6fHk1Ls5TqW0eRuYiOp"
+    partly = "ZKXYGH" + SECRET[:24] + "XYZKGH9Z"
+    texts = [f'the river token is "{x}" and the stone of 12' for x in (new, partly)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df, field).collect():
+        text, secret = texts[r.doc_id], (new, partly)[r.doc_id]
+        covered = {k for s in r.spans for k in range(s.start, s.end)}
+        assert covered == set(range(text.index(secret), text.index(secret) + len(secret))) and "crf" in {s.kind for s in r.spans}
+    assert [r.text for r in secrets.redact(df, field).orderBy("doc_id").collect()] == ['the river token is "[SECRET]" and the stone of 12'] * 2
+
+
 def test_viterbi_by_brute_force():
     import itertools
 

@@ -20,15 +20,17 @@ _S33 = np.uint64(33)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
+    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``, else below the session's checkpoint folder.
 
-    Only where neither that setting nor a checkpoint folder exists (local tests) a
-    temporary folder is made and set as the checkpoint folder.
+    Where neither is set, a local master (as in tests) gets a temporary checkpoint folder; a cluster, whose
+    machines do not share one, gets an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cadenza-"))
         root = context._jsc.sc().getCheckpointDir().get()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -38,7 +40,25 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that no later step reads, on whatever file system they are."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,24 +90,49 @@ def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     return fmix(out) if n > 1 else out
 
 
-class WordHashes:
-    """Words to 64-bit hashes; a worker keeps those of at most ``cap`` words between batches."""
+_BASE = 0x9E3779B97F4A7C15
+_UNIT = 1 << 18
+_STEPS = [np.cumprod(np.r_[np.uint64(1), np.full(_UNIT, b, np.uint64)], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+
+
+def _powers(n: int, which: int) -> np.ndarray:
+    """Powers of the base (0) or of its inverse (1) modulo 2**64."""
+    if n <= _UNIT:
+        return _STEPS[which][:n]
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _STEPS[which][1])], dtype=np.uint64)
+
 
-    def __init__(self, cap: int = 500_000):
-        import xxhash
+def string_bytes(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts laid end to end, the offsets of each text in them), without copies."""
+    rows = rows.fill_null("") if rows.null_count else rows
+    kind = np.int64 if pa.types.is_large_string(rows.type) else np.int32
+    offsets = np.frombuffer(rows.buffers()[1], kind)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    raw = rows.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
 
-        self.hash, self.cap, self.known = xxhash.xxh3_64_intdigest, cap, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, digest = self.known, self.hash
-        new = set(words).difference(known)
-        known.update((w, digest(w)) for w in new)
-        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        full = len(known) > self.cap
-        for w in new:
-            if full or len(w) > 40:
-                del known[w]
-        return out
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of marked bytes; a run ends where its text ends."""
+    starts, ends = inside.copy(), np.zeros(len(inside) + 1, bool)
+    starts[1:] &= ~inside[:-1]
+    ends[1:] = inside
+    ends[1:-1] &= ~inside[1:]
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(inside))]
+    starts[cuts] = inside[cuts]
+    ends[cuts] = inside[cuts - 1]
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: differences of a polynomial's prefix sums, shifted back to where each span starts."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    values = data.astype(np.uint64)
+    values += np.uint64(1)
+    values *= _powers(len(data), 0)
+    np.cumsum(values, out=sums[1:])
+    return fmix((sums[ends] - sums[starts]) * _powers(len(data) + 1, 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 #: What this worker keeps between batches, by operator family; a worker that changes families drops the others'.
@@ -102,13 +147,27 @@ def kept(family: str) -> dict:
     return _KEPT[family]
 
 
-def hashed_words(rows: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def text_blocks(offsets: np.ndarray, size: int = 96_000) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``size`` bytes: work arrays of this size stay in the processor's cache."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
+def hashed_words(rows: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of the texts, one text after the other; words of each text).  ``fold``: A-Z as a-z."""
-    own = kept("words")
-    if "hashes" not in own:
-        own["hashes"] = WordHashes()
-    split = [(t.encode().lower() if fold else t.encode()).split() for t in rows]
-    return own["hashes"]([w for words in split for w in words]), np.array([len(w) for w in split], np.int64)
+    whole, offsets = string_bytes(rows)
+    hashes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for i, j in text_blocks(offsets):
+        data, cuts = whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if fold:
+            data = data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
+        starts, ends = runs_of((data != 32) & ((data - np.uint8(9)) > 4), cuts)
+        hashes.append(span_hashes(data, starts, ends))
+        sizes.append(np.diff(np.searchsorted(starts, cuts)))
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 def gram_owner(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,21 +199,12 @@ def unsteps(raw: bytes, dtype: type = np.uint64) -> np.ndarray:
     return np.cumsum(unpack(raw, dtype), dtype=dtype)
 
 
-def row_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of at most ``max_chars`` characters (or one text) each, so that work arrays stay small."""
+def row_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 2_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of at most ``max_bytes`` bytes (or one text) each, so that work arrays stay small."""
     for batch in batches:
-        ids, rows = batch.column(0).to_pylist(), batch.column(1)
-        start, chars = 0, 0
-        held: list[str] = []
-        for k in range(len(rows)):
-            text = rows[k].as_py() or ""
-            held.append(text)
-            chars += len(text)
-            if chars >= max_chars:
-                yield ids[start : k + 1], held
-                start, chars, held = k + 1, 0, []
-        if held:
-            yield ids[start:], held
+        _, offsets = string_bytes(batch.column(1))
+        for i, j in text_blocks(offsets, max_bytes):
+            yield batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
 
 
 def arrow_of(schema: str) -> pa.Schema:
@@ -166,14 +216,19 @@ def arrow_of(schema: str) -> pa.Schema:
 
 
 def batch_of(arrow: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
+
+
+def lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """An array of lists from their sizes and all values end to end."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
 
 
-def map_rows(df: DataFrame, fn: Callable[[list, list[str]], list], schema: str, max_chars: int = 2_000_000) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.Array, pa.Array], list], schema: str, max_bytes: int = 2_000_000) -> DataFrame:
     """``fn(ids, texts) -> columns`` over row batches of a two-column frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows in row_batches(batches, max_chars):
+        for ids, rows in row_batches(batches, max_bytes):
             yield batch_of(arrow, fn(ids, rows))
 
     arrow = arrow_of(schema)

@@ -1,18 +1,30 @@
 """N-gram Jaccard join by token-combination prefixes, exact for every pair of texts.
 
-Tokens are hashed word shingles, ordered by (frequency class, hash): rare ones first.  Two sets of sizes a, b
-with Jaccard of at least t share at least ceil(t*max(a, b)) tokens, so their first n - ceil(t*n) + k tokens
-share at least k.  Tokens of rare classes in the prefix (k = 1) are indexed alone; when all that two sets share
-is frequent, the prefix is extended by one (k = 2) and pairs of frequent tokens are indexed instead.  What
-meets in a key is verified on the whole sets.
-
-Frequency classes: shingles' document counts are summed in hash buckets from packed arrays; only those of at
-least ``CLASSED`` documents go into a table of ``2**CELL_BITS`` cells, which is all that is broadcast.
-
-No group is expanded into all pairs.  Equal sets are one node.  A key's nodes are first compared with one
-leader (a star), links are closed into components, and later rounds compare only nodes of one key that are
-still in different components: first, for a few turns while keys are large, one node of each, then, for what is left, all of them.  Components are
-found by alternating large and small stars on written tables; nothing of the graph comes to the driver.
+Tokens are hashed word shingles, ordered by (frequency class, hash), rare ones first.  Let a set of n tokens be
+linked with another at ``percent``: at most d = n - ceil(percent * n / 100) of its tokens are not shared, and at
+most D = n * (100 - percent) // percent tokens of the two sets together.
+
+* Single tokens.  One of the first d + 1 tokens is shared.  Rare tokens among these are indexed alone.
+* Combinations.  If all f rare tokens of a set are not shared, all that is shared is frequent.  The first
+  L = d - f + (k - 1) * (D - f) + k frequent tokens hold at least L - (d - f) shared ones, and each token that is
+  not shared can part at most k - 1 of their runs of k; so one run of k neighbours is the same in both prefixes
+  extended to L.  These runs are indexed instead of the frequent tokens: keys grow with the prefix, not with its
+  power.  Sets with fewer than L frequent tokens are indexed by single ones besides.
+
+What meets in a key is first held against 512-bit parity sketches (the sets differ in at least as many tokens
+as their sketches in bits, so nothing is lost), then verified on the whole sets.
+
+Frequencies are occurrences in ``2**CELL_BITS`` cells, counted over all texts.  A token is frequent where its cell
+holds more than twice the mean and 32 more, so less than half of the cells are frequent at any size, a rare
+token's key is bounded by that, and the table of one byte a cell is all that is broadcast.
+
+No group is expanded into all pairs.  Equal sets are one node.  A key's nodes are compared with one leader (a
+star) and links are closed into components.  Then keys of at most ``GROUP`` nodes compare what is still apart.
+Larger keys compare one node of each component with one of the largest, for as long as that joins many; nodes
+that are then apart in such a key are indexed again by longer combinations (``LONGER``), and what shares even
+the longest in a large key is compared where it is still apart.  How large keys are decides only what it costs.
+Components are found by alternating large and small stars on written tables; nothing of the graph comes to
+the driver, and tables are deleted when their successors are written.
 
 Null and empty texts have no shingles and are linked with nothing.  A null id is returned with a null
 component and links nothing.  Repeated rows are equal sets; rows with one id and different texts share their
@@ -23,171 +35,209 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common
 
-CLASSED = 8
-CELL_BITS = 21
-FILTER_BITS = 25
-GROUP, ROUNDS = 64, 5
-_LOW = np.uint64(0xFFFFFFFF)
+CELL_BITS, CHUNK_BITS, FAN_IN = 22, 16, 256
+CLASS_SHIFT = 59  # a token is its class above 59 bits of its hash
+SKETCH = 8  # words of 64 bits
+GROUP, TURNS, LONGER = 16, 6, (4, 8)
+FILTER_BITS = 28
+_NODE = "n int, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+
 
+# ---- sets ----
 
-def shingles(rows: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of the distinct n-word shingles of each text, by text and hash; short texts are one shingle."""
+
+def shingles(rows: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all n-word shingles, one text after the other; shingles of each text); a shorter text is one shingle."""
     hashes, sizes = common.hashed_words(rows)
-    inside, owner = common.gram_owner(sizes, n)
+    inside, _ = common.gram_owner(sizes, n)
     found = common.chain(hashes, n)[inside] if len(hashes) >= n else np.empty(0, np.uint64)
-    first = np.cumsum(sizes) - sizes
-    for k in np.flatnonzero((sizes > 0) & (sizes < n)):
-        one = common.chain(hashes[first[k] : first[k] + sizes[k]], int(sizes[k]))
-        found, owner = np.append(found, common.fmix(one + np.uint64(sizes[k]))), np.append(owner, k)
-    order = np.lexsort((found, owner))
-    found, owner = found[order], owner[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-    return found[new], owner[new]
-
-
-def _key(found: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the high half, 32 bits of the hash in the low."""
-    b = np.uint64(buckets)
-    return (found % b) << np.uint64(32) | (found // b) & _LOW
-
-
-def frequency_classes(df: DataFrame, n: int, buckets: int) -> np.ndarray:
-    """[cell] log2 of the largest document count of the shingles of at least ``CLASSED`` documents in that cell."""
-    arrow = common.arrow_of("bucket int, keys binary, n binary")
-
-    def ask(batches):
-        for _, rows in common.row_batches(batches, 4_000_000):
-            keys, count = np.unique(_key(shingles(rows, n)[0], buckets), return_counts=True)
-            cuts = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            low, count = keys.astype(np.uint32), count.astype(np.uint32)
-            some = np.flatnonzero(np.diff(cuts))
-            yield common.batch_of(arrow, [some, [common.steps(low[cuts[k] : cuts[k + 1]]) for k in some], [common.pack(count[cuts[k] : cuts[k + 1]]) for k in some]])
-
-    def answer(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        keys, at = np.unique(np.concatenate([common.unsteps(k, np.uint32) for k in rows["keys"]]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([common.unpack(c, np.uint32) for c in rows["n"]]))
-        often = total >= CLASSED
-        cell = _cell(np.uint64(rows["bucket"][0]) << np.uint64(32) | keys[often].astype(np.uint64))
-        return pa.table({"cells": pa.array([cell.astype(np.uint32).tobytes()], pa.binary()), "classes": pa.array([np.log2(total[often]).astype(np.uint8).tobytes()], pa.binary())})
+    counts = np.maximum(sizes - n + 1, 0)
+    short = np.flatnonzero((sizes > 0) & (sizes < n))
+    if len(short):
+        first, at = np.cumsum(sizes) - sizes, (np.cumsum(counts) - counts)[short]
+        alone = [common.fmix(common.chain(hashes[first[k] : first[k] + sizes[k]], int(sizes[k])) + np.uint64(sizes[k])) for k in short]
+        found = np.insert(found, at, np.concatenate(alone))
+        counts[short] = 1
+    return found, counts
+
+
+def _cell(found: np.ndarray) -> np.ndarray:
+    return found >> np.uint64(64 - CELL_BITS)
+
+
+def token_sets(rows: pa.Array, n: int, classes: np.ndarray) -> list[np.ndarray]:
+    """The distinct tokens of each text, ascending: rare classes first."""
+    found, counts = shingles(rows, n)
+    low = np.uint64((1 << CLASS_SHIFT) - 1)
+    tokens = classes[_cell(found)].astype(np.uint64) << np.uint64(CLASS_SHIFT) | found & low
+    out, ends = [], np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist()):
+        x = np.sort(tokens[a:b])
+        out.append(x[np.r_[True, x[1:] != x[:-1]]] if len(x) > 1 else x)
+    return out
+
 
-    asked = common.texts(df, "doc_id", "text").mapInArrow(ask, "bucket int, keys binary, n binary")
-    table = np.zeros(1 << CELL_BITS, np.uint8)
-    for row in asked.groupBy("bucket").applyInArrow(answer, "cells binary, classes binary").toLocalIterator():
-        np.maximum.at(table, np.frombuffer(row["cells"], np.uint32), np.frombuffer(row["classes"], np.uint8))
-    return table
+def frequency_classes(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """([cell] log2 of the shingles in that cell, the least frequent class), over all texts.
 
+    A task keeps one dense table and sends it in compressed chunks of ``2**CHUNK_BITS`` cells, at most
+    ``FAN_IN`` of which are summed in one group, level after level; one chunk each comes to the driver.
+    """
+    schema = "chunk int, part int, counts binary"
+    arrow = common.arrow_of(schema)
+    chunks = 1 << CELL_BITS - CHUNK_BITS
+
+    def count(batches):
+        from pyspark import TaskContext
+
+        table = np.zeros(1 << CELL_BITS, np.int64)
+        for _, rows in common.row_batches(batches):
+            cells, times = np.unique(_cell(shingles(rows, n)[0]).astype(np.uint32), return_counts=True)
+            table[cells] += times
+        part = TaskContext.get().partitionId()
+        for k, counts in enumerate(table.reshape(chunks, -1)):
+            if counts.any():
+                yield common.batch_of(arrow, [[k], [part], [common.pack(counts)]])
+
+    def total(group: pa.Table) -> pa.Table:
+        rows = group.to_pydict()
+        counts = np.sum([common.unpack(x, np.int64) for x in rows["counts"]], axis=0)
+        return pa.Table.from_batches([common.batch_of(arrow, [rows["chunk"][:1], [rows["part"][0] // FAN_IN], [common.pack(counts)]])])
 
-def _cell(key: np.ndarray) -> np.ndarray:
-    return common.fmix(key) & np.uint64((1 << CELL_BITS) - 1)
+    table = common.written(docs.mapInArrow(count, schema), "jaccard-counts")
+    parts = (table.agg(F.max("part")).first()[0] or 0) + 1
+    tables = [table]
+    while True:
+        tables.append(common.written(tables[-1].groupBy("chunk", F.floor(F.col("part") / FAN_IN)).applyInArrow(total, schema), "jaccard-counts"))
+        parts = -(-parts // FAN_IN)
+        if parts <= 1:
+            break
+    counts = np.zeros((chunks, 1 << CHUNK_BITS), np.int64)
+    for row in tables[-1].collect():
+        counts[row["chunk"]] = common.unpack(row["counts"], np.int64)
+    common.drop(*tables)
+    classes = np.minimum(np.log2(counts.ravel() + 1), 31).astype(np.uint8)
+    return classes, int(np.ceil(np.log2(2 * counts.mean() + 32)))
 
 
-def prefix_keys(found: np.ndarray, classes: np.ndarray, percent: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, position of a single token or -1) of one set."""
-    n = len(found)
+def prefix_keys(tokens: np.ndarray, percent: int, frequent: int, run: int) -> np.ndarray:
+    """The keys of a set: single rare tokens, and runs of ``run`` frequent ones.  ``frequent`` 0: all are."""
+    n = len(tokens)
     if 100 * n < percent * (n + 1):  # no other set is similar enough
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    order = np.lexsort((found, classes))
-    spare = n - -(-percent * n // 100)
-    often = classes[order] >= frequent
-    single = np.flatnonzero(~often[: spare + 1])
-    combined = found[order[: spare + 2][often[: spare + 2]]]
-    a, b = np.triu_indices(len(combined), 1)
-    pairs = common.fmix(common.fmix(combined[a]) + combined[b])
-    return np.concatenate([found[order[single]], pairs]), np.concatenate([single, np.full(len(pairs), -1)])
-
-
-def prefix_index(df: DataFrame, n: int, percent: int, frequent: int) -> DataFrame:
-    """Written table, one row a document: doc_id, node (hash of its set, null if empty), n_shingles, keys, places."""
-    kind = common.id_type(df, "doc_id")
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = df.sparkSession.sparkContext.broadcast(frequency_classes(df, n, buckets))
-
-    def run(ids, rows):
-        import xxhash
-
-        found, owner = shingles(rows, n)
-        classes = shared.value[_cell(_key(found, buckets))]
-        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-        nodes, keys, places = [], [], []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            nodes.append(xxhash.xxh3_64_intdigest(found[a:b].tobytes()) - (1 << 63) if b > a else None)
-            k, p = prefix_keys(found[a:b], classes[a:b], percent, frequent)
-            keys.append(k.view(np.int64))
-            places.append(p)
-        return [ids, nodes, np.diff(cuts), keys, places]
-
-    schema = f"doc_id {kind}, node long, n_shingles long, keys array<long>, places array<int>"
-    return common.written(common.map_rows(common.texts(df, "doc_id", "text"), run, schema), "jaccard-index", compression="zstd")
+        return tokens[:0]
+    spare, both = n + -percent * n // 100, n * (100 - percent) // percent
+    rare = int(np.searchsorted(tokens, np.uint64(frequent << CLASS_SHIFT))) if frequent < 32 else n
+    if rare > spare:
+        return tokens[: spare + 1]
+    often = tokens[rare:]
+    length = spare - rare + (run - 1) * max(0, both - rare) + run
+    runs = often[:length]
+    mixed = common.fmix(common.chain(runs, run) + np.uint64(run))
+    singles = tokens[: spare + 1] if length > len(often) else tokens[:rare]
+    return np.concatenate([singles, mixed])
 
 
-def shared_keys(index: DataFrame) -> DataFrame:
-    """Written table (key, node, n, place) of the keys that more than one node has."""
-    each = index.where("node is not null and doc_id is not null").select("node", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("x")).select(F.col("x.keys").alias("key"), "node", "n", F.col("x.places").alias("place"))
-    several = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    return common.written(each.join(several, "key").dropDuplicates(["key", "node"]), "jaccard-keys")
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens in each of 512 cells."""
+    odd = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).view(np.int64), minlength=64 * SKETCH).astype(np.uint8) & np.uint8(1)
+    return np.packbits(odd).view(np.int64)
 
 
-def viable(percent: int):
-    """Sizes and places of a, b allow the similarity; a place bounds what is shared if it is the first shared token."""
-    most = F.least("n", "n2")
-    ahead = F.when(F.col("place") < 0, most).otherwise(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")))
-    return (F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")) & (ahead * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
+def _node_columns(sets: list[np.ndarray]) -> tuple[pa.Array, list]:
+    """(node: a hash of the set, null if empty; columns of ``_NODE``)."""
+    import xxhash
 
+    nodes = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in sets], pa.int64())
+    sketches = np.array([sketch(x) for x in sets], np.int64).reshape(-1, SKETCH)
+    return nodes, [[len(x) for x in sets], *(np.ascontiguousarray(sketches[:, k]) for k in range(SKETCH))]
 
-def _second(df: DataFrame) -> DataFrame:
-    return df.select("key", *(F.col(c).alias(f"{c}2") for c in df.columns if c != "key"))
 
+def _keys_column(keys: list[np.ndarray]) -> pa.Array:
+    return common.lists(np.array([len(k) for k in keys], np.int64), np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64))
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).where("a <> b").distinct()
 
+def prefix_index(docs: DataFrame, n: int, percent: int, shared, frequent: int, run: int) -> DataFrame:
+    """Written table, one row a document: doc_id, node, n, s0.., keys."""
+
+    def rows_of(ids, rows):
+        sets = token_sets(rows, n, shared.value)
+        nodes, columns = _node_columns(sets)
+        return [ids, nodes, *columns, _keys_column([prefix_keys(x, percent, frequent, run) for x in sets])]
+
+    schema = f"doc_id {common.id_type(docs, 'doc_id')}, node long, {_NODE}, keys array<long>"
+    return common.written(common.map_rows(docs, rows_of, schema), "jaccard-index", compression="zstd")
 
-def star_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """Each key's nodes with one of them."""
-    leaders = keys.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("x")).select("key", F.col("x.node").alias("node2"), F.col("x.n").alias("n2"), F.col("x.place").alias("place2"))
-    return _ordered(keys.join(leaders, "key").where(viable(percent)))
 
+def id_filter(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(bit table that has the hash of every id, its number of bits): 16 bits an id, ``2**FILTER_BITS`` at most; false alarms only."""
+    bits = min(FILTER_BITS, max(16, n.bit_length() + 4))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("w")).toArrow()
+    table = np.zeros(1 << bits - 6, np.int64)
+    table[words["at"].to_numpy()] = words["w"].to_numpy()
+    return table.view(np.uint64), bits
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit table of ``2**FILTER_BITS`` bits that has the hash of every id: of fixed size, with false alarms only."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("w")).toPandas()
-    table = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    table[words["at"]] = words["w"]
-    return table.view(np.uint64)
 
+def held(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
-def sets_of(docs: DataFrame, index: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Written table (node, tokens: 6 bytes each, ascending) of the nodes asked for, from one document of each.
+
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, shared) -> DataFrame:
+    """Written table (node, tokens: 8 bytes each, ascending) of the nodes asked for, from one document of each.
 
     Texts stay where they are: a bit table of the ids asked for tells which to cut; a false alarm adds a set
-    that no pair asks for.
+    that no pair asks for.  More ids than the table has room for are found by a join instead.
     """
-    wanted = index.where("node is not null and doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("doc_id")))
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    ids = common.written(nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id")), "jaccard-ids")
+    count = ids.count()
+    if count > 1 << FILTER_BITS - 2:
+        docs = docs.join(ids, "doc_id", "left_semi")
+    table, bits = id_filter(ids, count)
+    filter_ = docs.sparkSession.sparkContext.broadcast(table)
     arrow = common.arrow_of("node long, tokens binary")
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            held = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            for _, rows in common.row_batches([batch.filter(pa.array(held.astype(bool)))]):
-                found, owner = shingles(rows, n)
-                cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-                parts = [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-                yield common.batch_of(arrow, [[xxhash.xxh3_64_intdigest(p.tobytes()) - (1 << 63) for p in parts], [np.sort(p >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for p in parts]])
+            hit = batch.filter(pa.array(held(filter_.value, batch.column(0).to_numpy())))
+            for _, rows in common.row_batches([hit]):
+                sets = token_sets(rows, n, shared.value)
+                yield common.batch_of(arrow, [_node_columns(sets)[0], [x.tobytes() for x in sets]])
 
-    return common.written(docs.where("doc_id is not null").select(bit.alias("at"), "text").mapInArrow(run, "node long, tokens binary"), "jaccard-sets")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    out = common.written(docs.where("doc_id is not null").select(at.alias("at"), "text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "jaccard-sets")
+    common.drop(ids)
+    return out
+
+
+# ---- candidates ----
+
+
+def shared_keys(index: DataFrame) -> DataFrame:
+    """Written table (key, node, leader, rows) of the keys that more than one node has; ``rows`` counts repeated sets too."""
+    each = index.where("node is not null").select("node", F.explode("keys").alias("key"))
+    several = each.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last"), F.count("*").alias("rows")).where("leader <> _last").drop("_last")
+    return common.written(each.join(several, "key").dropDuplicates(["key", "node"]), "jaccard-keys", compression="zstd")
+
+
+def viable(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *(F.col(f"s{k}").alias(f"{c}{k}") for k in range(SKETCH)))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    least, size = F.least("na", "nb"), F.col("na") + F.col("nb")
+    differ: Column = F.lit(0)
+    for k in range(SKETCH):
+        differ = differ + F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
+    shared = F.ceil(F.lit(percent) * size / (100 + percent))
+    return both.where((100 * least >= percent * F.greatest("na", "nb")) & (differ <= size - 2 * shared)).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,18 +245,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     arrow = common.arrow_of("a long, b long")
 
-    def whole(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return out.view(np.uint64).ravel()
-
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = whole(x.as_py()), whole(y.as_py())
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                merged = np.sort(np.concatenate([x, y]))
+                same = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                keep.append(100 * same >= percent * (len(merged) - same))
             yield pa.RecordBatch.from_arrays(list(batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).columns), schema=arrow)
 
     return common.written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
@@ -219,7 +265,7 @@ def components(links: DataFrame) -> DataFrame:
     and what tells that nothing changed is counted while the round is written.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    last = None
+    last = before = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -228,86 +274,173 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         seen = Observation()
         edges = common.written(small.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("x")), "components")
+        if before is not None:
+            common.drop(before)
+        before = edges
         if seen.get == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out.written_path = edges.written_path
+            return out
         last = seen.get
 
 
 def id_links(index: DataFrame) -> DataFrame:
     """(a, b): of each id with several nodes, the least with every other."""
-    each = index.where("node is not null and doc_id is not null").select("doc_id", "node")
+    each = index.where("node is not null").select("doc_id", "node")
     several = each.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     return each.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """Written table of the keys whose nodes are in more than one component, with labels."""
-    each = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = each.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return common.written(each.join(open_, "key"), "jaccard-open")
-
-
-def component_pairs(keys: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Of each key, one node of every component with one of the component that has most of it; another one each turn."""
-    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "place")
-    each = keys.groupBy("key", "label").agg(F.min(drawn).alias("x"), F.count("*").alias("size"))
-    leader = each.groupBy("key").agg(F.max(F.struct("size", "x")).alias("y")).select("key", F.col("y.x.node").alias("node2"), F.col("y.x.n").alias("n2"), F.col("y.x.place").alias("place2"))
-    return _ordered(each.select("key", "x.node", "x.n", "x.place").join(leader, "key").where(viable(percent)))
-
-
-def open_pairs(keys: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of a key in different components whose sizes and places allow the similarity.
-
-    A pair comes up once: at the first of the keys that both nodes have.
+# ---- the join ----
+
+
+class _Search:
+    """The components found so far, and the steps that add links to them."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int, shared):
+        self.docs, self.nodes, self.n, self.percent, self.shared = docs, nodes, n, percent, shared
+        self.labels: DataFrame | None = None
+        self.sets: list[DataFrame] = []
+
+    def labelled(self, keys: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return keys.withColumn("label", F.col("node"))
+        return keys.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def close(self, links: DataFrame) -> None:
+        """Joins the components that the links connect."""
+        old = self.labels
+        self.labels = components(links if old is None else links.unionAll(old.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        if old is not None:
+            common.drop(old)
+
+    def compare(self, pairs: DataFrame, more: DataFrame | None = None) -> bool:
+        """Verifies candidate pairs; True if any is linked.  ``more``: links that are known without it."""
+        able = common.written(viable(pairs, self.nodes, self.percent), "jaccard-pairs")
+        asked = able.select(F.col("a").alias("node")).unionAll(able.select(F.col("b").alias("node"))).distinct()
+        sets = sets_of(self.docs, self.nodes, asked, self.n, self.shared)
+        links = verified(able, sets, self.percent)
+        common.drop(able, sets)
+        every = links if more is None else links.unionAll(more)
+        some = not every.isEmpty()
+        if some or self.labels is None:
+            self.close(every)
+        common.drop(links)
+        return some
+
+    def apart(self, keys: DataFrame) -> DataFrame:
+        """Written table (key, node, label, nodes) of the keys whose nodes are in more than one component."""
+        each = self.labelled(keys.select("key", "node"))
+        open_ = each.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("nodes")).where("x <> y").select("key", "nodes")
+        return common.written(each.join(open_, "key"), "jaccard-apart", compression="zstd")
+
+    def all_pairs(self, keys: DataFrame) -> DataFrame:
+        """The nodes of one key that are in different components."""
+        left, right = (keys.select("key", F.col("node").alias(x), F.col("label").alias(f"{x}l")) for x in "xy")
+        return _ordered(left.join(right, "key").where("xl < yl"))
+
+    def drawn(self, keys: DataFrame, turn: int) -> DataFrame:
+        """Of each key, one node of every component with one of the component that has most of it; others each turn."""
+        draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node")
+        each = keys.groupBy("key", "label").agg(F.min(draw).alias("d"), F.count("*").alias("size"))
+        leader = each.groupBy("key").agg(F.max(F.struct("size", "d")).alias("m")).select("key", F.col("m.d.node").alias("y"))
+        return _ordered(each.select("key", F.col("d.node").alias("x")).join(leader, "key"))
+
+    def search(self, keys: DataFrame) -> DataFrame | None:
+        """Links what meets in the keys; returns (written) the large keys that are still apart, or None."""
+        open_ = self.apart(keys)
+        common.drop(keys)
+        small = open_.where(F.col("nodes").between(3, GROUP))  # the star was all of two
+        if not small.isEmpty():
+            self.compare(self.all_pairs(small))
+        large, size = open_.where(F.col("nodes") > GROUP), None
+        for turn in range(TURNS):
+            rest = self.apart(large)
+            common.drop(open_)
+            open_, large = rest, rest
+            left = rest.select("key", "label").distinct().count()
+            if not left:
+                common.drop(rest)
+                return None
+            if size is not None and 3 * left > 2 * size:
+                break
+            size = left
+            if not self.compare(self.drawn(rest, turn)):
+                break
+        return rest
+
+    def longer(self, keys: DataFrame, run: int) -> DataFrame:
+        """The keys by runs of ``run`` of all tokens, for the nodes of the given keys."""
+        sets = sets_of(self.docs, self.nodes, keys.select("node").distinct(), self.n, self.shared)
+        percent = self.percent
+        arrow = common.arrow_of("node long, keys array<long>")
+
+        def cut(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    found = [prefix_keys(np.frombuffer(x.as_buffer(), np.uint64), percent, 0, run) for x in part.column(1)]
+                    yield common.batch_of(arrow, [part.column(0), _keys_column(found)])
+
+        out = shared_keys(sets.mapInArrow(cut, "node long, keys array<long>"))
+        common.drop(sets, keys)
+        return out
+
+
+def join(df: DataFrame, n: int = 3, percent: int = 90, run: int = 2, frequent: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links of ``100 * shared >= percent * union``).
+
+    ``run``: tokens of a combination.  ``frequent``: the least class (log2 of its cell's occurrences) that is
+    indexed by combinations; by default set from the mean.  Neither changes the result.
     """
-    order = F.sort_array(F.collect_list(F.struct("place", "key")))
-    own = keys.groupBy("node").agg(F.transform(order, lambda s: s["key"]).alias("own"))
-    each = keys.join(own, "node")
-    first = F.get(F.array_intersect("own", "own2"), F.lit(0))
-    return _ordered(each.join(_second(each), "key").where("label < label2").where(viable(percent)).where(first == F.col("key")))
-
-
-def join(df: DataFrame, n: int = 3, percent: int = 90, frequent_documents: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links of ``100 * shared >= percent * union``)."""
     docs = common.texts(df, id_col, text_col)
-    index = prefix_index(docs, n, percent, int(np.log2(frequent_documents)))
-    keys = shared_keys(index)
-    sets = sets_of(docs, index, keys.select("node").distinct(), n)
-    done = common.written(star_pairs(keys, percent), "jaccard-pairs")
-    labels = components(verified(done, sets, percent).unionAll(common.written(id_links(index), "jaccard-ids")))
-    keys = _open_keys(keys, labels)
-    # While keys have many nodes, their components are joined by a few comparisons; then what is left is compared in full.
-    turn = 0
-    while (largest := keys.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > 0:
-        turn += 1
-        full = largest <= GROUP or turn > ROUNDS
-        pairs = open_pairs(keys, percent) if full else component_pairs(keys, percent, turn)
-        pairs = common.written(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = verified(pairs, sets, percent)
-        if not links.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(links))
-        if full:
+    classes, above = frequency_classes(docs, n)
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    index = prefix_index(docs, n, percent, shared, above if frequent is None else frequent, run)
+    known = index.where("node is not null and doc_id is not null")
+    sketches = [F.min(c).alias(c) for c in ("n", *(f"s{k}" for k in range(SKETCH)))]
+    nodes = common.written(known.groupBy("node").agg(F.min("doc_id").alias("least"), *sketches), "jaccard-nodes")
+    search = _Search(docs, nodes, n, percent, shared)
+    keys = shared_keys(known)
+    search.compare(_ordered(keys.select(F.col("node").alias("x"), F.col("leader").alias("y"))), id_links(known))
+    left = search.search(keys)
+    for longer in LONGER:
+        if left is None:
             break
-        done, keys = done.unionAll(pairs), _open_keys(keys.drop("label"), labels)
-    known = index.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = common.written(known, "jaccard-nodes")
-    roots = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    placed = known.join(roots, "label").select("node", "component_id")
-    out = index.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
+        keys = search.longer(left, longer)
+        search.compare(_ordered(keys.select(F.col("node").alias("x"), F.col("leader").alias("y"))))
+        left = search.search(keys)
+    if left is not None:
+        search.compare(search.all_pairs(left))
+        common.drop(left)
+    placed = search.labelled(nodes.select("node", "least"))
+    roots = placed.groupBy("label").agg(F.min("least").alias("component_id"))
+    out = index.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "node").join(placed.join(roots, "label").select("node", "component_id"), "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-
 def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, without near copies: the least id of each component stays.
+    """The documents, with all their columns, without near copies: of each component one stays.
+
+    That is the document of least id, of one id's texts the one of least hash; documents without an id come
+    last but count like others.  So an id with several texts keeps each that is no copy of another document.
+    Rows that repeat both id and text stay once.  Texts without words are linked with nothing and stay.
 
-    Here each text of an id has its own component, so that a text stays when only another one of its id is a
-    copy; of the texts of one id that stay, the least does.  Rows without an id are linked with nothing and stay.
+    Documents that surely stay are not shuffled: a bit table of those that may go picks what is joined.
     """
-    own = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
-    named = df.withColumn("_own", own)
-    parts = join(named, n, percent, id_col="_own", text_col=text_col)
-    stay = common.written(parts.where("doc_id = component_id").select(F.col("doc_id").alias("_own")).distinct(), "jaccard-stay")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    kept = named.join(stay, "_own", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*df.columns)
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    own = common.fresh(df, "own")
+    named = df.withColumn(own, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    parts = join(named, n, percent, id_col=own, text_col=text_col)
+    asked = parts.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("component_id").alias("least")).where("rows > 1 or least <> doc_id")
+    asked = common.written(asked.select("doc_id", (F.col("least") != F.col("doc_id")).alias("goes")), "jaccard-asked")
+    table, bits = id_filter(asked, asked.count())
+    filter_ = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_go(at):
+        return at.__class__(held(filter_.value, at.to_numpy()))
+
+    hit = may_go(F.pmod(F.xxhash64(own), F.lit(1 << bits)))
+    gone = asked.where("goes").select(F.col("doc_id").alias(own))
+    some = named.where(hit).join(gone, own, "left_anti").dropDuplicates([own])
+    return named.where(~hit).unionByName(some).select(*df.columns)

@@ -50,14 +50,14 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataF
 
         block = TaskContext.get().partitionId() << 32
         for ids, rows in common.row_batches(batches, block_chars):
-            parts = np.array([part_of(i) for i in ids])
+            parts = np.array([part_of(i) for i in ids.to_pylist()])
             for part in (TRAIN, DELETED, HELD_OUT):
                 at = np.flatnonzero(parts == part)
                 if not len(at):
                     continue
-                hashes, sizes = common.hashed_words([rows[k] for k in at])
+                hashes, sizes = common.hashed_words(rows.take(pa.array(at)))
                 distinct, words = np.unique(hashes, return_inverse=True)
-                yield common.batch_of(arrow, [[block], [part], [[ids[k] for k in at]], [common.pack(sizes.astype(np.uint32))], [distinct.tobytes()], [common.pack(words.astype(np.uint32))]])
+                yield common.batch_of(arrow, [[block], [part], [ids.take(pa.array(at)).to_pylist()], [common.pack(sizes.astype(np.uint32))], [distinct.tobytes()], [common.pack(words.astype(np.uint32))]])
                 block += 1
 
     return common.written(common.texts(df, id_col, text_col).mapInArrow(run, schema), "lm-blocks", compression="zstd")

@@ -221,7 +221,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """Written table doc_id, n_bytes, media: every whole text as a Matroska stream."""
 
     def run(ids, rows):
-        found = [padded(t) for t in rows]
+        found = [padded(t) for t in rows.to_pylist()]
         return [ids, [n for _, n in found], [mux(p) for p, _ in found]]
 
     schema = f"doc_id {common.id_type(df, id_col)}, n_bytes long, media binary"

@@ -13,13 +13,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from . import common
-from .tokens import _CHUNK, _OTHER_SPACE
+
+#: White space other than space and line feed (and the separators that some engines count as such).
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space, then what follows up to the next white space: the pattern always cuts before white space that
+#: follows something else, so these chunks are encoded alone as they are in the text.
+_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -160,7 +166,7 @@ def encoder(path: str, pattern: str) -> MergeEncoder:
 def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int> of every whole text.  Nulls: a null text has no ids; null and repeated ids stay, one row each."""
     schema = f"doc_id {common.id_type(df, id_col)}, ids array<int>"
-    return common.map_rows(common.texts(df, id_col, text_col), lambda ids, rows: [ids, [x.tolist() for x in encoder(ranks, pattern).encode(rows)]], schema)
+    return common.map_rows(common.texts(df, id_col, text_col), lambda ids, rows: [ids, [x.tolist() for x in encoder(ranks, pattern).encode(rows.to_pylist())]], schema)
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -180,8 +186,8 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
 
     def run(ids, rows):
         e = encoder(ranks, pattern)
-        found = e.encode(rows)
+        found = e.encode(rows.to_pylist())
         return [ids, [len(x) for x in found], [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], [hashlib.sha256(e.decode(x)).hexdigest() for x in found]]
 
     schema = f"doc_id {common.id_type(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return common.map_rows(common.texts(df, id_col, text_col), run, schema, max_chars=4_000_000)
+    return common.map_rows(common.texts(df, id_col, text_col), run, schema, max_bytes=4_000_000)

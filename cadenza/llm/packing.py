@@ -32,11 +32,10 @@ def encoded_parts(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
 
         part, offset = TaskContext.get().partitionId(), 0
         for ids, rows in common.row_batches(batches):
-            found = [tokens.with_end(x, end_id) for x in tokens.encoder(tokenizer).encode(rows)]
-            sizes = np.array([len(x) for x in found])
+            found, sizes = tokens.encoder(tokenizer).encode(rows, [end_id])
             before = offset + np.cumsum(sizes) - sizes
             offset += int(sizes.sum())
-            yield common.batch_of(arrow, [ids, sizes, [x.tobytes() for x in found], [part] * len(ids), before])
+            yield common.batch_of(arrow, [ids, sizes, tokens.binaries(found, sizes), [part] * len(ids), before])
 
     return common.written(common.texts(df, id_col, text_col).mapInArrow(run, schema), "packing", compression="zstd")
 

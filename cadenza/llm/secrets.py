@@ -222,7 +222,7 @@ def fit(df: DataFrame, max_documents: int = 600, max_windows: int = 6, id_col: s
 
     def run(batches):
         for ids, rows in common.row_batches(batches):
-            out = [(i, *w) for i, t in zip(ids, rows) if i in chosen.value for w in windows(t)[:max_windows]]
+            out = [(i, *w) for i, t in zip(ids.to_pylist(), rows.to_pylist()) if i in chosen.value for w in windows(t)[:max_windows]]
             if out:
                 yield common.batch_of(arrow, [*zip(*out)])
 
@@ -366,6 +366,6 @@ def _scanned(df: DataFrame, field: Field, id_col: str, text_col: str, row, colum
 
     def run(ids, rows):
         tagger = _tagger(key, shared)
-        return [ids, *zip(*(row(*all_spans(t, tagger), t) for t in rows))]
+        return [ids, *zip(*(row(*all_spans(t, tagger), t) for t in rows.to_pylist()))]
 
     return common.map_rows(common.texts(df, id_col, text_col), run, f"doc_id {common.id_type(df, id_col)}, {columns}")

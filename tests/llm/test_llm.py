@@ -9,12 +9,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cadenza.llm import crc, jaccard, licenses, lm, media, merges, ngrams, packing, queries, records, secrets, tokens
+from cadenza.llm import common, crc, jaccard, licenses, lm, media, merges, ngrams, packing, queries, records, secrets, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,10 +63,22 @@ def test_crc():
 
 @pytest.mark.parametrize("path,words", [(BYTE, False), (WORDS, True)])
 def test_chunks(path, words, docs):
-    e = tokens.ChunkEncoder(path, words, cap=100)
-    rows = [t or "" for t in ODD] + [t for _, t in texts(docs)[:50]]
-    assert [x.tolist() for x in e.encode(rows)] == [x.ids for x in e.tokenizer.encode_batch(rows, add_special_tokens=False)]
-    assert len(e.known) <= 100 or len(e.known) < 10_000
+    rows = [t or "" for t in ODD] + ["\u3000a\u2003b", "x\u0085y\u1680z", "<|endoftext|> x", "ÉCOLE Straße, ÀÉ.", " "] + [t for _, t in texts(docs)[:50]]
+    for cap in (100, 1_000_000):
+        e = tokens.ChunkEncoder(path, words, cap)
+        wanted = [[*x.ids, 7] for x in e.tokenizer.encode_batch(rows, add_special_tokens=False)]
+        for _ in range(2):  # the second time from the table
+            ids, sizes = e.encode(pa.array(rows), [7])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted
+        assert e.table.n <= cap
+
+
+def test_word_hashes():
+    rows = [t or "" for t in ODD] + ["a b  c", "A\tb\x0bc", "x" * 300_000 + " b"]
+    hashes, sizes = common.hashed_words(pa.array(rows).slice(1))
+    words = [w for t in rows[1:] for w in WORD.findall(t.translate(FOLD))]
+    assert sizes.tolist() == [len(WORD.findall(t)) for t in rows[1:]] and len(hashes) == len(words)
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
 
 
 def test_records(odd, none, docs):
@@ -174,13 +188,45 @@ def test_counts_are_those_of_all_documents(docs):
 
 def test_resampling(odd, docs, spark, sf_dir):
     model = ngrams.fit(docs, ngrams.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality"))
-    for k in (0, 1, 17, 10_000):
-        found = ngrams.resample(docs, model, k=k).collect()
-        best = sorted((r.key for r in found), reverse=True)[:k]
+    rows = dict(texts(docs))
+    # The models by brute force: both multinomials over hashed cells, and the weight of each whole text.
+    cells = {i: ngrams.cells(pa.array([t]), model.bits)[0].tolist() for i, t in rows.items()}
+    good = set(ngrams.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality"))
+    raw, target = Counter(), Counter()
+    for i, c in cells.items():
+        raw.update(c)
+        target.update(c if i in good else [])
+    share = sum(target.values()) / sum(raw.values())
+    weight = lambda c: math.log((target[c] + 20 * share) / ((raw[c] + 20) * share))
+    for k in (0, 1, 17, 10_000, None):
+        found = ngrams.resample(docs, model, k).collect()
+        best = sorted((r.key for r in found), reverse=True)[: sum(r.log_ratio >= ngrams.FLOOR for r in found) if k is None else k]
         assert sorted((r.key for r in found if r.kept), reverse=True) == best
-        assert ngrams.resampled(docs, model, k=k).count() == len(best)
+        assert ngrams.resampled(docs, model, k).count() == len(best)
+    for r in found:
+        assert r.n_grams == len(cells[r.doc_id]) and math.isclose(r.log_weight, sum(map(weight, cells[r.doc_id])), abs_tol=1e-6)
+        assert math.isclose(r.log_ratio, r.log_weight / (r.n_grams + 20))
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", ngrams.gumbel(0, "doc_id", "text").alias("g")).collect()}
+    assert all(math.isclose(r.key, 50 * r.log_ratio + noise[r.doc_id]) for r in found)
+    plain = ngrams.resample(docs, model, share=0.5, effective=None).collect()
+    assert all(math.isclose(r.key, r.log_weight + noise[r.doc_id]) for r in plain) and sum(r.kept for r in plain) == round(len(plain) / 2)
     assert ngrams.resample(odd, model).count() == odd.count()
-    assert ngrams.resample(odd, ngrams.fit(odd, [])).where("log_ratio <> 0").count() == 0
+    assert ngrams.resample(odd, ngrams.fit(odd, [])).where("log_weight <> 0").count() == 0
+    clash = docs.withColumnRenamed("source", "importance").withColumnRenamed("lang", "own")
+    assert {tuple(r) for r in ngrams.resampled(clash, model, k=99).collect()} < {tuple(r) for r in clash.collect()}
+
+
+def test_draws_follow_the_weights(spark):
+    """Over many seeds, documents are drawn first in proportion to their weights, and second among those left."""
+    weights = {0: 1.0, 1: 2.0, 2: 4.0, 3: 0.5}
+    df = spark.createDataFrame([(i, str(i), math.log(w)) for i, w in weights.items()], "doc_id long, text string, w double")
+    keys = [(F.col("w") + ngrams.gumbel(seed, "doc_id", "text")).alias(f"k{seed}") for seed in range(800)]
+    drawn = df.select(*keys).toPandas().to_numpy().argsort(axis=0)[::-1]
+    whole = sum(weights.values())
+    for i, w in weights.items():
+        second = sum(v / whole * w / (whole - v) for j, v in weights.items() if j != i)
+        for row, p in ((drawn[0], w / whole), (drawn[1], second)):
+            assert abs((row == i).mean() - p) < 4 * math.sqrt(p * (1 - p) / 800)
 
 
 def test_second_stage_rejects_junk(spark, tmp_path):
@@ -378,8 +424,8 @@ def linked(rows, n, percent):
     return Counter((i, len(s), None if i is None else least[find(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("n,percent,frequent", [(3, 90, 4096), (5, 80, 8), (2, 80, 8)])
-def test_jaccard(spark, odd, n, percent, frequent):
+@pytest.mark.parametrize("n,percent,run,frequent", [(3, 90, 2, None), (5, 80, 2, 0), (2, 80, 2, 4), (3, 80, 3, 0)])
+def test_jaccard(spark, odd, n, percent, run, frequent):
     rng = random.Random(n)
     rows = []
     for family in range(12):
@@ -390,9 +436,9 @@ def test_jaccard(spark, odd, n, percent, frequent):
                 w[rng.randrange(len(w))] = f"v{rng.randrange(500)}"
             rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, jaccard.join(df, n, percent, frequent).collect())) == linked(rows, n, percent)
+    assert Counter(map(tuple, jaccard.join(df, n, percent, run, frequent).collect())) == linked(rows, n, percent)
     if n == 3:
-        assert Counter(map(tuple, jaccard.join(odd, n, percent, frequent).collect())) == linked(texts(odd), n, percent)
+        assert Counter(map(tuple, jaccard.join(odd, n, percent).collect())) == linked(texts(odd), n, percent)
 
 
 def test_jaccard_keeps_one_of_each(odd, none):
@@ -411,8 +457,6 @@ def test_jaccard_of_one_id_with_several_texts(spark):
 
 
 def test_pipeline(spark, sf_dir, docs):
-    from cadenza.llm import common
-
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     found = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

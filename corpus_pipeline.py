@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 from cadenza.llm import common, jaccard, ngrams, packing, secrets
 
 
-def _ratio(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ngrams.RatioModel:
-    trusted = ngrams.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
-    return ngrams.fit(docs, trusted)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or whose text is unlike trusted text go."""
-    return ngrams.passing(docs, _ratio(spark, docs, sf_dir))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return ngrams.passing(docs, ngrams.fit(docs, ngrams.trusted_ids(labels, "quality")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling; documents that are not drawn go.
 
-    The model is that of the raw table: in what the rules kept junk is too rare to be told from trusted text.
+    The raw model is that of the whole table: in what the rules kept, junk is too rare to be told from trusted
+    text.  The sample is as large as the number of documents that are about as likely under either model; weights
+    are tempered less than by default, so that a filter draws little that is unlike the target.
     """
-    return ngrams.resampled(docs, _ratio(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir))
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    trusted = ngrams.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality")
+    return ngrams.resampled(docs, ngrams.fit(raw, trusted), effective=200.0)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

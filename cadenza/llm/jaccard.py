@@ -19,10 +19,12 @@ holds more than twice the mean and 32 more, so less than half of the cells are f
 token's key is bounded by that, and the table of one byte a cell is all that is broadcast.
 
 No group is expanded into all pairs.  Equal sets are one node.  A key's nodes are compared with one leader (a
-star) and links are closed into components.  Then keys of at most ``GROUP`` nodes compare what is still apart.
-Larger keys compare one node of each component with one of the largest, for as long as that joins many; nodes
-that are then apart in such a key are indexed again by longer combinations (``LONGER``), and what shares even
-the longest in a large key is compared where it is still apart.  How large keys are decides only what it costs.
+star) and links are closed into components.  Keys whose nodes are then still apart compare those in different
+components, if that is at most ``PAIRS`` comparisons of sketches for each row of a key.  Otherwise keys of at
+most ``GROUP`` nodes do so; larger ones compare one node of each component with one of the largest, for as long
+as that joins many; nodes that are still apart in such a key are indexed again by longer combinations
+(``LONGER``), and what shares even the longest is compared where it is still apart.  How large keys are decides
+only what it costs.
 Components are found by alternating large and small stars on written tables; nothing of the graph comes to
 the driver, and tables are deleted when their successors are written.
 
@@ -43,7 +45,7 @@ from . import common
 CELL_BITS, CHUNK_BITS, FAN_IN = 22, 16, 256
 CLASS_SHIFT = 59  # a token is its class above 59 bits of its hash
 SKETCH = 8  # words of 64 bits
-GROUP, TURNS, LONGER = 16, 6, (4, 8)
+GROUP, PAIRS, TURNS, LONGER = 16, 64, 6, (4, 8)
 FILTER_BITS = 28
 _NODE = "n int, " + ", ".join(f"s{k} long" for k in range(SKETCH))
 
@@ -224,16 +226,23 @@ def shared_keys(index: DataFrame) -> DataFrame:
     return common.written(each.join(several, "key").dropDuplicates(["key", "node"]), "jaccard-keys", compression="zstd")
 
 
+def _side(nodes: DataFrame, c: str, node: str) -> DataFrame:
+    """node, and its size and sketch as ``c``n, ``c``0.. ."""
+    return nodes.select(F.col("node").alias(node), F.col("n").alias(f"{c}n"), *(F.col(f"s{k}").alias(f"{c}{k}") for k in range(SKETCH)))
+
+
+def _able(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes and sketches of two sides allow the similarity."""
+    na, nb, differ = F.col(f"{a}n"), F.col(f"{b}n"), F.lit(0)
+    for k in range(SKETCH):
+        differ = differ + F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
+    shared = F.ceil(F.lit(percent) * (na + nb) / (100 + percent))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= na + nb - 2 * shared)
+
+
 def viable(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), *(F.col(f"s{k}").alias(f"{c}{k}") for k in range(SKETCH)))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    least, size = F.least("na", "nb"), F.col("na") + F.col("nb")
-    differ: Column = F.lit(0)
-    for k in range(SKETCH):
-        differ = differ + F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")))
-    shared = F.ceil(F.lit(percent) * size / (100 + percent))
-    return both.where((100 * least >= percent * F.greatest("na", "nb")) & (differ <= size - 2 * shared)).select("a", "b")
+    return pairs.join(_side(nodes, "x", "a"), "a").join(_side(nodes, "y", "b"), "b").where(_able("x", "y", percent)).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -329,15 +338,20 @@ class _Search:
         return some
 
     def apart(self, keys: DataFrame) -> DataFrame:
-        """Written table (key, node, label, nodes) of the keys whose nodes are in more than one component."""
+        """Written table (key, node, label, nodes) of the keys of three nodes or more that are in more than one component."""
         each = self.labelled(keys.select("key", "node"))
-        open_ = each.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("nodes")).where("x <> y").select("key", "nodes")
-        return common.written(each.join(open_, "key"), "jaccard-apart", compression="zstd")
+        open_ = each.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("nodes"))
+        open_ = open_.where("x <> y and nodes > 2").select("key", "nodes")  # the star was all of two
+        out = common.written(each.join(open_, "key"), "jaccard-apart", compression="zstd")
+        common.drop(keys)
+        return out
 
     def all_pairs(self, keys: DataFrame) -> DataFrame:
-        """The nodes of one key that are in different components."""
-        left, right = (keys.select("key", F.col("node").alias(x), F.col("label").alias(f"{x}l")) for x in "xy")
-        return _ordered(left.join(right, "key").where("xl < yl"))
+        """The nodes of one key that are in different components and whose sketches allow it."""
+        each = keys.select("key", "node", "label")
+        left = each.withColumnRenamed("label", "l").join(_side(self.nodes, "x", "node"), "node").withColumnRenamed("node", "x")
+        right = each.withColumnRenamed("label", "m").join(_side(self.nodes, "y", "node"), "node").withColumnRenamed("node", "y")
+        return _ordered(left.join(right, (left["key"] == right["key"]) & (F.col("l") < F.col("m")) & _able("x", "y", self.percent)).select("x", "y"))
 
     def drawn(self, keys: DataFrame, turn: int) -> DataFrame:
         """Of each key, one node of every component with one of the component that has most of it; others each turn."""
@@ -347,27 +361,27 @@ class _Search:
         return _ordered(each.select("key", F.col("d.node").alias("x")).join(leader, "key"))
 
     def search(self, keys: DataFrame) -> DataFrame | None:
-        """Links what meets in the keys; returns (written) the large keys that are still apart, or None."""
-        open_ = self.apart(keys)
-        common.drop(keys)
-        small = open_.where(F.col("nodes").between(3, GROUP))  # the star was all of two
-        if not small.isEmpty():
-            self.compare(self.all_pairs(small))
-        large, size = open_.where(F.col("nodes") > GROUP), None
+        """Links what meets in the keys after their stars; returns (written) the large keys that are still apart, or None."""
+        keys, last = self.apart(keys), None
         for turn in range(TURNS):
-            rest = self.apart(large)
-            common.drop(open_)
-            open_, large = rest, rest
-            left = rest.select("key", "label").distinct().count()
-            if not left:
-                common.drop(rest)
+            each = keys.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("same"))
+            rows, pairs = (int(x or 0) for x in each.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first())
+            if pairs <= PAIRS * rows:
+                if rows:
+                    self.compare(self.all_pairs(keys))
+                common.drop(keys)
                 return None
-            if size is not None and 3 * left > 2 * size:
-                break
-            size = left
-            if not self.compare(self.drawn(rest, turn)):
+            if last is not None and 3 * rows > 2 * last:
                 break
-        return rest
+            if last is None:
+                self.compare(self.all_pairs(keys.where(F.col("nodes") <= GROUP)))
+                large = common.written(keys.where(F.col("nodes") > GROUP), "jaccard-large")
+                common.drop(keys)
+                keys = self.apart(large)
+            last = rows
+            self.compare(self.drawn(keys, turn))
+            keys = self.apart(keys)
+        return keys
 
     def longer(self, keys: DataFrame, run: int) -> DataFrame:
         """The keys by runs of ``run`` of all tokens, for the nodes of the given keys."""

@@ -441,6 +441,22 @@ def test_jaccard(spark, odd, n, percent, run, frequent):
         assert Counter(map(tuple, jaccard.join(odd, n, percent).collect())) == linked(texts(odd), n, percent)
 
 
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    """Groups too large to be compared in full: turns, longer combinations and the last comparison."""
+    monkeypatch.setattr(jaccard, "PAIRS", 0)
+    monkeypatch.setattr(jaccard, "GROUP", 2)
+    rng = random.Random(9)
+    first = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        w = list(first)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(500)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.join(df, 3, 80).collect())) == linked(rows, 3, 80)
+
+
 def test_jaccard_keeps_one_of_each(odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.one_of_each(none).count() == 0
     kept = jaccard.one_of_each(odd)

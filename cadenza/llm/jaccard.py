@@ -11,7 +11,7 @@ most D = n * (100 - percent) // percent tokens of the two sets together.
   extended to L.  These runs are indexed instead of the frequent tokens: keys grow with the prefix, not with its
   power.  Sets with fewer than L frequent tokens are indexed by single ones besides.
 
-What meets in a key is first held against 512-bit parity sketches (the sets differ in at least as many tokens
+What meets in a key is first held against parity sketches of 512 bits, of 8,192 for long sets (the sets differ in at least as many tokens
 as their sketches in bits, so nothing is lost), then verified on the whole sets.
 
 Frequencies are occurrences in ``2**CELL_BITS`` cells, counted over all texts.  A token is frequent where its cell
@@ -37,17 +37,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 CELL_BITS, CHUNK_BITS, FAN_IN = 22, 16, 256
 CLASS_SHIFT = 59  # a token is its class above 59 bits of its hash
-SKETCH = 8  # words of 64 bits
-GROUP, PAIRS, TURNS, LONGER = 16, 64, 6, (4, 8)
+SKETCH, LONG, LONG_SKETCH = 8, 2000, 128  # words of 64 bits; sets of LONG tokens have a second, larger sketch
+GROUP, PAIRS, TURNS, LONGER = 16, 1024, 6, (4, 8)
 FILTER_BITS = 28
-_NODE = "n int, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+_NODE = "n int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", more array<long>"
 
 
 # ---- sets ----
@@ -144,19 +144,23 @@ def prefix_keys(tokens: np.ndarray, percent: int, frequent: int, run: int) -> np
     return np.concatenate([singles, mixed])
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens in each of 512 cells."""
-    odd = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).view(np.int64), minlength=64 * SKETCH).astype(np.uint8) & np.uint8(1)
+def sketch(tokens: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parity of the tokens in each of ``words`` * 64 cells."""
+    odd = np.bincount((tokens & np.uint64(64 * words - 1)).view(np.int64), minlength=64 * words).astype(np.uint8) & np.uint8(1)
     return np.packbits(odd).view(np.int64)
 
 
-def _node_columns(sets: list[np.ndarray]) -> tuple[pa.Array, list]:
-    """(node: a hash of the set, null if empty; columns of ``_NODE``)."""
+def node_ids(sets: list[np.ndarray]) -> pa.Array:
+    """A hash of each set, null if empty."""
     import xxhash
 
-    nodes = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in sets], pa.int64())
+    return pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in sets], pa.int64())
+
+
+def _node_columns(sets: list[np.ndarray]) -> list:
     sketches = np.array([sketch(x) for x in sets], np.int64).reshape(-1, SKETCH)
-    return nodes, [[len(x) for x in sets], *(np.ascontiguousarray(sketches[:, k]) for k in range(SKETCH))]
+    more = pa.array([sketch(x, LONG_SKETCH) if len(x) >= LONG else None for x in sets], pa.list_(pa.int64()))
+    return [[len(x) for x in sets], *(np.ascontiguousarray(sketches[:, k]) for k in range(SKETCH)), more]
 
 
 def _keys_column(keys: list[np.ndarray]) -> pa.Array:
@@ -168,16 +172,15 @@ def prefix_index(docs: DataFrame, n: int, percent: int, shared, frequent: int, r
 
     def rows_of(ids, rows):
         sets = token_sets(rows, n, shared.value)
-        nodes, columns = _node_columns(sets)
-        return [ids, nodes, *columns, _keys_column([prefix_keys(x, percent, frequent, run) for x in sets])]
+        return [ids, node_ids(sets), *_node_columns(sets), _keys_column([prefix_keys(x, percent, frequent, run) for x in sets])]
 
     schema = f"doc_id {common.id_type(docs, 'doc_id')}, node long, {_NODE}, keys array<long>"
     return common.written(common.map_rows(docs, rows_of, schema), "jaccard-index", compression="zstd")
 
 
 def id_filter(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """(bit table that has the hash of every id, its number of bits): 16 bits an id, ``2**FILTER_BITS`` at most; false alarms only."""
-    bits = min(FILTER_BITS, max(16, n.bit_length() + 4))
+    """(bit table that has the hash of every id, its number of bits): 256 bits an id, ``2**FILTER_BITS`` at most; false alarms only."""
+    bits = min(FILTER_BITS, max(16, n.bit_length() + 8))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("w")).toArrow()
     table = np.zeros(1 << bits - 6, np.int64)
@@ -208,7 +211,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, shared
             hit = batch.filter(pa.array(held(filter_.value, batch.column(0).to_numpy())))
             for _, rows in common.row_batches([hit]):
                 sets = token_sets(rows, n, shared.value)
-                yield common.batch_of(arrow, [_node_columns(sets)[0], [x.tobytes() for x in sets]])
+                yield common.batch_of(arrow, [node_ids(sets), [x.tobytes() for x in sets]])
 
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     out = common.written(docs.where("doc_id is not null").select(at.alias("at"), "text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"]), "jaccard-sets")
@@ -236,13 +239,25 @@ def _able(a: str, b: str, percent: int) -> Column:
     na, nb, differ = F.col(f"{a}n"), F.col(f"{b}n"), F.lit(0)
     for k in range(SKETCH):
         differ = differ + F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")))
-    shared = F.ceil(F.lit(percent) * (na + nb) / (100 + percent))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= na + nb - 2 * shared)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= _most(na, nb, percent))
+
+
+def _most(na: Column, nb: Column, percent: int) -> Column:
+    """In how many tokens linked sets can differ."""
+    return na + nb - 2 * F.ceil(F.lit(percent) * (na + nb) / (100 + percent))
+
+
+def _of_long(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the larger sketches of long sets allow too."""
+    side = lambda c: nodes.where("more is not null").select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("more").alias(f"more{c}"))
+    differ = F.aggregate(F.zip_with("morea", "moreb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce(differ <= _most(F.col("na"), F.col("nb"), percent), F.lit(True))).select("a", "b")
 
 
 def viable(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity."""
-    return pairs.join(_side(nodes, "x", "a"), "a").join(_side(nodes, "y", "b"), "b").where(_able("x", "y", percent)).select("a", "b")
+    return _of_long(pairs.join(_side(nodes, "x", "a"), "a").join(_side(nodes, "y", "b"), "b").where(_able("x", "y", percent)).select("a", "b"), nodes, percent)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -270,27 +285,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Written table (node, label) of all linked nodes but the labels themselves; a label is its component's least node.
 
-    Alternating large and small stars: a round is two aggregations and joins over at most the links there are,
-    and what tells that nothing changed is counted while the round is written.
+    Alternating large and small stars: a round is two aggregations and joins over at most the links there are.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    last = before = None
+    before = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = common.written(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        seen = Observation()
-        edges = common.written(small.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("x")), "components")
-        if before is not None:
-            common.drop(before)
+        edges = common.written(small, "components")
+        common.drop(large, *([before] if before is not None else []))
         before = edges
-        if seen.get == last:
+        # Done when every node has one edge, to a label that has none of its own.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("own")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("own")))
+        if ends.groupBy("x").agg(F.sum("own").alias("own"), F.count("*").alias("all")).where("own > 1 or own = 1 and all > 1").isEmpty():
             out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
             out.written_path = edges.written_path
             return out
-        last = seen.get
 
 
 def id_links(index: DataFrame) -> DataFrame:
@@ -325,7 +338,7 @@ class _Search:
 
     def compare(self, pairs: DataFrame, more: DataFrame | None = None) -> bool:
         """Verifies candidate pairs; True if any is linked.  ``more``: links that are known without it."""
-        able = common.written(viable(pairs, self.nodes, self.percent), "jaccard-pairs")
+        able = common.written(pairs, "jaccard-pairs")
         asked = able.select(F.col("a").alias("node")).unionAll(able.select(F.col("b").alias("node"))).distinct()
         sets = sets_of(self.docs, self.nodes, asked, self.n, self.shared)
         links = verified(able, sets, self.percent)
@@ -346,19 +359,24 @@ class _Search:
         common.drop(keys)
         return out
 
+    def star(self, keys: DataFrame) -> DataFrame:
+        """Each node of a key with the key's leader."""
+        return viable(_ordered(keys.select(F.col("node").alias("x"), F.col("leader").alias("y"))), self.nodes, self.percent)
+
     def all_pairs(self, keys: DataFrame) -> DataFrame:
         """The nodes of one key that are in different components and whose sketches allow it."""
         each = keys.select("key", "node", "label")
         left = each.withColumnRenamed("label", "l").join(_side(self.nodes, "x", "node"), "node").withColumnRenamed("node", "x")
         right = each.withColumnRenamed("label", "m").join(_side(self.nodes, "y", "node"), "node").withColumnRenamed("node", "y")
-        return _ordered(left.join(right, (left["key"] == right["key"]) & (F.col("l") < F.col("m")) & _able("x", "y", self.percent)).select("x", "y"))
+        met = _ordered(left.join(right, (left["key"] == right["key"]) & (F.col("l") < F.col("m")) & _able("x", "y", self.percent)).select("x", "y"))
+        return _of_long(met, self.nodes, self.percent)
 
     def drawn(self, keys: DataFrame, turn: int) -> DataFrame:
         """Of each key, one node of every component with one of the component that has most of it; others each turn."""
         draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node")
         each = keys.groupBy("key", "label").agg(F.min(draw).alias("d"), F.count("*").alias("size"))
         leader = each.groupBy("key").agg(F.max(F.struct("size", "d")).alias("m")).select("key", F.col("m.d.node").alias("y"))
-        return _ordered(each.select("key", F.col("d.node").alias("x")).join(leader, "key"))
+        return viable(_ordered(each.select("key", F.col("d.node").alias("x")).join(leader, "key")), self.nodes, self.percent)
 
     def search(self, keys: DataFrame) -> DataFrame | None:
         """Links what meets in the keys after their stars; returns (written) the large keys that are still apart, or None."""
@@ -412,17 +430,17 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, run: int = 2, frequent: i
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     index = prefix_index(docs, n, percent, shared, above if frequent is None else frequent, run)
     known = index.where("node is not null and doc_id is not null")
-    sketches = [F.min(c).alias(c) for c in ("n", *(f"s{k}" for k in range(SKETCH)))]
+    sketches = [F.min(c).alias(c) for c in ("n", *(f"s{k}" for k in range(SKETCH)), "more")]
     nodes = common.written(known.groupBy("node").agg(F.min("doc_id").alias("least"), *sketches), "jaccard-nodes")
     search = _Search(docs, nodes, n, percent, shared)
     keys = shared_keys(known)
-    search.compare(_ordered(keys.select(F.col("node").alias("x"), F.col("leader").alias("y"))), id_links(known))
+    search.compare(search.star(keys), id_links(known))
     left = search.search(keys)
     for longer in LONGER:
         if left is None:
             break
         keys = search.longer(left, longer)
-        search.compare(_ordered(keys.select(F.col("node").alias("x"), F.col("leader").alias("y"))))
+        search.compare(search.star(keys))
         left = search.search(keys)
     if left is not None:
         search.compare(search.all_pairs(left))

@@ -14,8 +14,10 @@ decoded alone.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,7 +143,7 @@ def decode(scores: np.ndarray, field: Field) -> np.ndarray:
     return tags
 
 
-def train(masks: np.ndarray, files: np.ndarray, tags: np.ndarray, rounds: int = 120, rate: float = 0.1, l2: float = 1e-3) -> Field:
+def train(masks: np.ndarray, files: np.ndarray, tags: np.ndarray, rounds: int = 80, rate: float = 0.1, l2: float = 1e-3) -> Field:
     """Maximum likelihood of whole tag sequences by gradient ascent (Adam), with forward and backward sums.
 
     ``masks``, ``tags``: [sequence, token] windows of one length; ``files``: [sequence, feature].
@@ -176,13 +178,31 @@ def train(masks: np.ndarray, files: np.ndarray, tags: np.ndarray, rounds: int =
 
 
 WINDOW = 21
+_SEPARATOR, _WORD = 1 << 16, 1 << 15
+#: Cues that a window is also shown without: the separator; the separator and the key word.
+_HIDDEN = (0, _SEPARATOR, _WORD | _SEPARATOR)
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = (_LETTERS + _LETTERS.upper() + _DIGITS, _LETTERS + _LETTERS.upper() + _DIGITS + "-_", _LETTERS + _DIGITS, _LETTERS.upper() + _DIGITS, _LETTERS + _LETTERS.upper() + _DIGITS + "-_.")
 
 
-def windows(text: str) -> list[tuple[list[int], list[float], list[int]]]:
-    """Training windows of a document: around each pattern span, and as many at even distances elsewhere."""
+def drawn(rng: random.Random, short: bool) -> str:
+    """A made-up value: of 8 to 14 characters or of 18 to 60, perhaps in quotes or behind a prefix."""
+    alphabet = _ALPHABETS[0] if short else rng.choice(_ALPHABETS)
+    value = "".join(rng.choice(alphabet) for _ in range(rng.randrange(8, 15) if short else rng.randrange(18, 61)))
+    value = rng.choice(("", "", "", "sk-", "ghp_")) + value if not short else value + rng.choice(_DIGITS)
+    return f'"{value}"' if rng.random() < 0.3 else value
+
+
+def windows(text: str, most: int = 6) -> list[tuple[list[int], list[float], list[int]]]:
+    """Training windows of a document: around ``most`` pattern spans, and at even distances elsewhere.
+
+    The patterns' own values are all alike, so each window around a span is also given without separators, without
+    key words, with a word between the key word and the value, and with made-up values of several alphabets in
+    the place of its own: the field has to learn what secrets look like, not what the patterns match.
+    """
     found = list(_TOKEN.finditer(text))
-    masks = np.array([shape(m[0]) for m in found], np.int64)
-    tags = np.zeros(len(found), np.int64)
+    masks = [shape(m[0]) for m in found]
+    tags = [O] * len(found)
     hits = []
     starts = np.array([m.start() for m in found], np.int64)
     for kind, a, b in pattern_spans(text):
@@ -190,23 +210,37 @@ def windows(text: str) -> list[tuple[list[int], list[float], list[int]]]:
             a = _ASSIGN.match(text, a).start(2)
         first, last = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b, "left"))
         tags[first] = B if tags[first] == O else tags[first]
-        tags[first + 1 : last] = I
+        tags[first + 1 : last] = [I] * (last - first - 1)
         hits.append(first)
-    other = list(range(0, len(found), max(1, len(found) // (len(hits) + 2))))
-    file = file_features(masks).tolist()
+    file = file_features(np.array(masks, np.int64))
+    rng = random.Random(zlib.crc32(text.encode()))
     out = []
-    for at in [*hits, *other]:
-        a = max(0, min(at - WINDOW // 2, len(found) - WINDOW))
-        m, t = masks[a : a + WINDOW].tolist(), tags[a : a + WINDOW].tolist()
-        if t and t[0] == I:
-            continue
+
+    def add(m: list[int], t: list[int], hidden: int = 0) -> None:
+        if not t or t[0] == I:
+            return
+        m, t, seen = m[:WINDOW], t[:WINDOW], file.copy()
+        seen[2:4] *= not hidden & _WORD
         short = WINDOW - len(m)
-        out.append((m + [0] * short, file, t + [O] * short))
+        out.append(([x & ~hidden for x in m] + [0] * short, seen.tolist(), t + [O] * short))
+
+    for at in hits[:most]:
+        a = max(0, min(at - WINDOW // 2, len(found) - WINDOW))
+        m, t, k = masks[a : a + WINDOW], tags[a : a + WINDOW], at - a
+        for hidden in _HIDDEN:
+            add(m, t, hidden)
+            add(m[:k] + [shape(drawn(rng, False))] + m[k + 1 :], t, hidden)
+        if k:
+            for hidden, short in ((_SEPARATOR, True), (_SEPARATOR, False)):
+                add(m[:k] + [shape("is"), shape(drawn(rng, short))] + m[k + 1 :], t[:k] + [O] + t[k:], hidden)
+    for at in range(0, len(found), max(1, len(found) // (2 * min(len(hits), most) + 2))):
+        a = max(0, min(at - WINDOW // 2, len(found) - WINDOW))
+        add(masks[a : a + WINDOW], tags[a : a + WINDOW])
     return out
 
 
-def fit(df: DataFrame, max_documents: int = 600, max_windows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Trains the field on at most ``max_documents`` documents and ``max_windows`` windows of each.
+def fit(df: DataFrame, max_documents: int = 200, max_windows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Trains the field on at most ``max_documents`` documents, and on windows around ``max_windows`` spans of each.
 
     Without any such document the field tags everything O.
     """
@@ -222,7 +256,7 @@ def fit(df: DataFrame, max_documents: int = 600, max_windows: int = 6, id_col: s
 
     def run(batches):
         for ids, rows in common.row_batches(batches):
-            out = [(i, *w) for i, t in zip(ids.to_pylist(), rows.to_pylist()) if i in chosen.value for w in windows(t)[:max_windows]]
+            out = [(i, *w) for i, t in zip(ids.to_pylist(), rows.to_pylist()) if i in chosen.value for w in windows(t, max_windows)]
             if out:
                 yield common.batch_of(arrow, [*zip(*out)])
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -387,6 +388,30 @@ def test_field_adds_what_patterns_miss(spark):
     assert [r.text for r in secrets.redact(df, field).orderBy("doc_id").collect()] == ['the river token is "[SECRET]" and the stone of 12'] * 2
 
 
+def test_field_finds_secrets_of_kinds_that_no_pattern_knows():
+    """Recall on planted secrets that no pattern matches, and no span in documents without any."""
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    hinted = [t for t in rows if "AKIA" in t or any(k in t.lower() for k in secrets.KEYWORDS)]
+    windows = [w for t in hinted for w in secrets.windows(t)]
+    tagger = secrets.Tagger(secrets.train(*(np.array([w[k] for w in windows]) for k in range(3))))
+    clean = [t for t in rows if len(t) > 500 and not spans(t)][:1500]
+    assert sum(bool(tagger.spans(t)) for t in clean) <= 0.002 * len(clean)
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = (lambda: "ghp_" + draw(36), lambda: "sk-" + draw(40), lambda: "eyJ" + draw(30) + "." + draw(60) + "." + draw(40), lambda: f'token is "{draw(24)}"', lambda: "the key was " + draw(32), lambda: "password is " + draw(7).lower() + draw(4) + "7")
+    for kind in kinds:
+        found = 0
+        for _ in range(60):
+            text, planted = rng.choice(clean), kind()
+            at = text.index(" ", rng.randrange(len(text) - 250))
+            text, secret = f"{text[:at]} {planted}{text[at:]}", planted.split(" ")[-1].strip('"')
+            a = text.index(secret)
+            assert not any(x <= a < y for _, x, y in spans(text))
+            found += any(x <= a and y >= a + len(secret) for _, x, y in tagger.spans(text))
+        assert found >= 0.8 * 60, planted
+
+
 def test_viterbi_by_brute_force():
     import itertools
 

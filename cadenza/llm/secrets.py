@@ -21,7 +21,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,7 +270,7 @@ def fit(df: DataFrame, max_documents: int = 200, max_windows: int = 6, id_col: s
 class Tagger:
     """A worker's field with the shapes of the tokens it has met (at most ``cap`` kept)."""
 
-    def __init__(self, field: Field, cap: int = 400_000):
+    def __init__(self, field: Field, cap: int = 150_000):
         self.field, self.cap, self.known = field, cap, {}
         self.masks: dict[int, int] = {}
         self.list: list[int] = []
@@ -378,9 +378,13 @@ def redact(df: DataFrame, field: Field, mark: str = "[SECRET]", text_col: str =
     def clean(text: str) -> str:
         return marked(text, all_spans(text, _tagger(key, shared))[1], mark)
 
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series) -> pd.Series:
-        return text.map(clean, na_action="ignore")
+    @F.arrow_udf("string")
+    def cleaned(text: pa.Array) -> pa.Array:
+        parts = []
+        _, offsets = common.string_bytes(text)
+        for i, j in common.text_blocks(offsets, 1_000_000):
+            parts.append(pa.array([None if t is None else clean(t) for t in text.slice(i, j - i).to_pylist()], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return df.withColumn(text_col, cleaned(F.col(text_col)))
 

@@ -15,13 +15,34 @@ LATIN_WORD = "[a-zA-ZÀ-ÿ]+"
 VOWEL = r"[aeiou]|(?<![aeiou])r(?![aeiou])"
 # Leading words of a label that is only the song's title.
 TITLE_LABELS = ("tekst pesme", "tekst pjesme", "teksti", "tekste", "songtext", "paroles", "lyrics")
-# Section words and their types (a dimension; callers may pass their own).
+# Section words, folded, and their types (a dimension; callers may pass their own).
 SECTION_TYPES = {
-    "intro": "intro", "uvod": "intro", "verse": "strofa", "strofa": "strofa", "couplet": "strofa", "part": "strofa",
-    "chorus": "refren", "refren": "refren", "refrain": "refren", "hook": "hook", "bridge": "bridge", "most": "bridge",
-    "outro": "outro", "zavrsetak": "outro", "interlude": "interlude", "skit": "interlude", "instrumental": "instrumental",
-    "pre-chorus": "pre-chorus", "pred-refren": "pre-chorus", "post-chorus": "post-chorus", "break": "interlude",
-    "user": "strofa", "assistant": "refren", "system": "intro",
+    "refren": "refren", "chorus": "refren", "refrain": "refren", "ref": "refren", "coro": "refren", "pripjev": "refren", "pripev": "refren",
+    "strofa": "strofa", "verse": "strofa", "couplet": "strofa", "vers": "strofa", "part": "strofa", "stofa": "strofa", "verso": "strofa",
+    "prvi": "strofa", "drugi": "strofa", "treci": "strofa", "cetvrti": "strofa", "peti": "strofa", "sesti": "strofa", "sedmi": "strofa", "osmi": "strofa", "deveti": "strofa", "deseti": "strofa",
+    "bridge": "bridge", "brigde": "bridge", "prelaz": "bridge", "prijelaz": "bridge", "most": "bridge", "puente": "bridge", "breakdown": "bridge",
+    "intro": "intro", "uvod": "intro", "outro": "outro", "zavrsetak": "outro", "zavrsnica": "outro",
+    "prerefren": "prerefren", "predrefren": "prerefren", "pred-refren": "prerefren", "pre-chorus": "prerefren", "pre-refren": "prerefren", "pre-hook": "prerefren", "pre-coro": "prerefren", "pre-refrain": "prerefren", "build-up": "prerefren", "buildup": "prerefren",
+    "postrefren": "postrefren", "post-refren": "postrefren", "post-refern": "postrefren", "post-chorus": "postrefren", "post-hook": "postrefren", "post-coro": "postrefren",
+    "hook": "hook", "drop": "hook", "izgovoreno": "spoken", "improvizacija": "spoken", "interlude": "interlude", "pauza": "instrumental", "netekstualni": "instrumental",
+    "call-response": "call_response", "call_response": "call_response", "calls": "call_response",
+}
+# Section words of drafts and of a library's export (tried as prefixes in this order), performers' words, labels of types.
+DRAFT_TYPES = {
+    "build-up": "prerefren", "buildup": "prerefren", "breakdown": "bridge", "call-response": "call_response", "call_response": "call_response", "calls": "call_response",
+    "verse": "strofa", "chorus": "refren", "hook": "hook", "intro": "intro", "outro": "outro", "bridge": "bridge",
+    "pre-chorus": "prerefren", "pre-hook": "prerefren", "post-chorus": "postrefren", "drop": "hook",
+}
+LIBRARY_TYPES = {
+    "verse": "strofa", "chorus": "refren", "refren": "refren", "strofa": "strofa", "bridge": "bridge", "intro": "intro", "outro": "outro", "hook": "hook",
+    "pre": "prerefren", "pre-chorus": "prerefren", "pre-refren": "prerefren", "post": "postrefren", "post-chorus": "postrefren", "post-refren": "postrefren",
+    "drop": "hook", "spoken": "spoken", "interlude": "interlude", "instrumental": "instrumental",
+}
+PERFORMERS = ("male", "female", "both", "duet", "male calls", "female calls")
+LIBRARY_PERFORMERS = ("female", "male", "vocal", "choir", "crowd", "ad")
+TYPE_LABELS = {
+    "strofa": "Strofa", "refren": "Refren", "prerefren": "Pred-Refren", "postrefren": "Post-Refren", "bridge": "Prelaz", "hook": "Hook", "intro": "Uvod", "outro": "Završetak",
+    "call_response": "Call-Response", "instrumental": "Instrumentalna pauza", "interlude": "Interlude", "spoken": "Izgovoreno",
 }
 SECTION_PHRASES = {"instrumentalna pauza": "instrumental", "netekstualni vokali": "instrumental", "tekst iz isjecka": "interlude", "tekst iz isecka": "interlude"}
 
@@ -242,3 +263,43 @@ def section_label(label: Column, types: dict[str, str] | None = None, phrases: d
     kind, number, _ = parsed(right)
     out = out.when((right != "") & (kind != "other") & (parsed(left)[0] == "other"), row(kind, number, F.array(left)))
     return out.otherwise(row(*parsed(text)))
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), key)
+
+
+def library_label(label: Column, types: dict[str, str] | None = None) -> Column:
+    """Type of an exported label: the whole label, else the first section word it begins with, else a performer's word (``strofa``), else ``other``."""
+    table = types or LIBRARY_TYPES
+    text = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    begins = F.coalesce(*(F.when(text.startswith(k), v) for k, v in table.items()))
+    performs = F.exists(F.array(*map(F.lit, LIBRARY_PERFORMERS)), lambda w: F.contains(text, w))
+    return F.coalesce(_lookup(table, text), begins, F.when(performs, "strofa").otherwise("other"))
+
+
+def dash_spaced(label: Column) -> Column:
+    """A space after each dash that has one before it."""
+    return F.regexp_replace(label, r" -(\S)", " - $1")
+
+
+def canonical_label(label: Column) -> Column:
+    """The canonical form of a draft's label that ``section_label`` does not know; null where there is none or it is known.
+
+    In this order: calls and answers, ``performer - type``, a performer alone.
+    """
+    text = F.trim(F.coalesce(label, F.lit("")))
+    low = F.lower(text)
+    sides = F.filter(F.split(text, r"\s*-\s*", 2), lambda x: F.trim(x) != "")
+    answers = F.concat(F.lit("Call-Response: "), F.array_join(F.transform(sides, lambda x: F.regexp_extract(F.trim(x), r"^(\S+)", 1)), " & "))
+    kind = _lookup(DRAFT_TYPES, F.trim(F.lower(ascii_fold(F.trim(F.regexp_extract(text, r"(?s)^.*? - (.*)$", 1))))))
+    typed = F.concat(_lookup(TYPE_LABELS, kind), F.lit(": "), F.substring_index(text, " - ", 1))
+    out = F.when((text == "") | (section_label(text)["type"] != "other"), None)
+    out = out.when(F.contains(low, F.lit("calls")) & F.contains(low, F.lit("answer")), answers)
+    return out.when(F.contains(text, F.lit(" - ")), typed).when(low.isin(*PERFORMERS), F.concat(F.lit("Refren: "), text))
+
+
+def collab_type(category: Column, featured: Column) -> Column:
+    """trio, duo or featured by the category's words in this order, or by featured artists; else solo."""
+    has = lambda w: F.coalesce(F.contains(F.lower(category), F.lit(w)), F.lit(False))
+    return F.when(has("trio"), "trio").when(has("duo"), "duo").when(has("featured") | (F.coalesce(F.size(featured), F.lit(0)) > 0), "featured").otherwise("solo")

@@ -92,10 +92,11 @@ def lexicon_top(lexicon: DataFrame, direction: str | None, k: int) -> DataFrame:
 
 
 def shares(df: DataFrame, by: list[str], item: str) -> DataFrame:
-    """Share of each item among its group's rows."""
+    """Share of each item among its group's rows; groups are summed apart and joined, so that none has to fit in a task."""
     counted = df.groupBy(*by, item).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(whole))
+    totals = counted.groupBy(*by).agg(F.sum("n").alias("_all"))
+    both = counted.join(totals, by) if by else counted.crossJoin(F.broadcast(totals))  # totals: one row
+    return both.withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def aligned(p: DataFrame, q: DataFrame, item: str) -> DataFrame:

@@ -30,9 +30,18 @@ def phonetic_issues(lines: DataFrame, doc: str, no: str, line: str, phonetic: Da
 
 
 def label_issues(lines: DataFrame, doc: str, no: str, line: str) -> DataFrame:
-    """Labels whose dash lacks its space."""
-    bad = F.col(line).rlike(r"^\[.* -\S.*\]$")
-    return lines.where(bad).select(*issue(doc, F.col(no), "label", "low", F.col(line), F.regexp_replace(line, r" -(\S)", " - $1"), True))
+    """Label lines whose dash lacks its space (safe to mend), and those, so mended, that have a canonical form.
+
+    A performer alone is only flagged: which section it stands for is a guess.
+    """
+    raw = F.regexp_extract(line, r"^\[(.+?)\]\s*$", 1)
+    labels = lines.where(raw != "").withColumn("_raw", raw).withColumn("_dash", raw.rlike(r" -\S")).withColumn("_mended", F.when(F.col("_dash"), T.dash_spaced(raw)).otherwise(raw))
+    named = labels.withColumn("_to", T.canonical_label(F.col("_mended")))
+    bracket = lambda c: F.concat(F.lit("["), F.col(c), F.lit("]"))
+    dashes = labels.where("_dash").select(*issue(doc, F.col(no), "label", "low", bracket("_raw"), bracket("_mended"), True))
+    other = named.where("_to is not null and _to <> _raw")
+    severity = F.when(F.lower(F.trim("_raw")).isin(*T.PERFORMERS) & ~F.col("_dash"), "flag").otherwise("suggest")
+    return dashes.unionByName(other.select(*issue(doc, F.col(no), "label_form", "suggest", bracket("_mended"), bracket("_to"), False), severity.alias("_s")).withColumn("severity", F.col("_s")).drop("_s"))
 
 
 def all_issues(parts: list[DataFrame]) -> DataFrame:
@@ -57,12 +66,17 @@ def apply_fixes(drafts: DataFrame, issues: DataFrame, doc: str, text: str, safe_
     return rows.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), "\n").alias(text))
 
 
-def scheme_check(schemes: DataFrame, key: str, letters: str, expected: str) -> DataFrame:
-    """key, match (share of lines whose letter is the expected one, the expected scheme padded with ?), broken (line numbers)."""
-    pairs = F.arrays_zip(F.filter(F.split(letters, ""), lambda x: x != "").alias("got"), F.filter(F.split(F.rpad(F.lit(expected), 10_000, "?"), ""), lambda x: x != "").alias("want"))
-    n = F.length(letters)
-    wrong = F.filter(F.transform(F.slice(pairs, F.lit(1), n), lambda p, k: F.when((p["want"] != "?") & (p["got"] != p["want"]), k + 1)), lambda k: k.isNotNull())
-    return schemes.select(key, F.when(n > 0, F.round(1 - F.size(wrong) / n, 6)).otherwise(1.0).alias("match"), wrong.alias("broken"))
+def scheme_check(schemes: DataFrame, key: str, codes: str, expected: str) -> DataFrame:
+    """key, match (share of lines with the expected letter), broken (numbers of the other lines).
+
+    ``codes``: the groups' numbers by line (1 is A).  Lines beyond the expected scheme have no letter to match and
+    are broken; an empty scheme and a text without lines match in full.
+    """
+    wanted = F.array(*(F.lit(ord(c) - ord("A") + 1) for c in expected.upper())).cast("array<int>")
+    wrong = F.filter(F.transform(F.col(codes), lambda c, k: F.when(~F.coalesce(F.get(wanted, k) == c, F.lit(False)), k + 1)), lambda k: k.isNotNull())
+    n = F.size(codes)
+    whole = (n <= 0) | F.lit(not expected)
+    return schemes.select(key, F.when(whole, 1.0).otherwise(F.round(1 - F.size(wrong) / n, 6)).alias("match"), F.when(whole, F.array().cast("array<int>")).otherwise(wrong).alias("broken"))
 
 
 def partner_lines(letters: DataFrame, key: str, no: str, letter: str) -> DataFrame:

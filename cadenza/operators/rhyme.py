@@ -17,16 +17,50 @@ def groups(lines: DataFrame, key: str, n: int = 2) -> DataFrame:
     return at.agg(F.sort_array(F.collect_list("ordinal")).alias("members"), F.count("*").alias("size")).where("size >= 2")
 
 
+def repeated_parts(skel: str, n: int, longest: int) -> dict[str, int]:
+    """Parts of n to ``longest`` letters that occur twice or more, with their number of places.
+
+    Level by level: a part of m + 1 letters can only be repeated where its first m letters are.
+    """
+    out: dict[str, int] = {}
+    places = {"": list(range(len(skel)))}
+    for m in range(1, longest + 1):
+        longer: dict[str, list[int]] = {}
+        for part in places.values():
+            for k in part:
+                if k + m <= len(skel):
+                    longer.setdefault(skel[k : k + m], []).append(k)
+        places = {p: ks for p, ks in longer.items() if len(ks) > 1}
+        if not places:
+            break
+        if m >= n:
+            out.update((p, len(ks)) for p, ks in places.items())
+    return out
+
+
 def internal(lines: DataFrame, key: str, n: int = 2, longest: int | None = None) -> DataFrame:
     """key, ordinal, part, times of each skeleton part of n letters or more that a line has twice (overlap counts).
 
-    The parts of a line grow with the square of its skeleton; ``longest`` bounds the length of a part.
+    Parts are as long as half the skeleton at most; ``longest`` bounds them further.  The rows of one line are
+    its repeated parts, found in an Arrow function that holds one line at a time.
     """
-    top = F.floor(F.length("skel") / 2).cast("int")
-    top = top if longest is None else F.least(top, F.lit(longest))
-    sized = lines.where(F.length("skel") >= 2 * n).select(key, "ordinal", "skel", F.explode(F.sequence(F.lit(n), top)).alias("m"))
-    parts = sized.select(key, "ordinal", F.explode(F.transform(F.sequence(F.lit(1), F.length("skel") - F.col("m") + 1), lambda i: F.substring("skel", i, F.col("m")))).alias("part"))
-    return parts.groupBy(key, "ordinal", "part").agg(F.count("*").alias("times")).where("times >= 2")
+    schema = f"{key} {lines.schema[key].dataType.simpleString()}, ordinal {lines.schema['ordinal'].dataType.simpleString()}, part string, times long"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, parts, times = [], [], []
+            for k, skel in enumerate(batch.column(2).to_pylist()):
+                top = len(skel) // 2 if longest is None else min(len(skel) // 2, longest)
+                found = repeated_parts(skel, n, top)
+                at += [k] * len(found)
+                parts += found.keys()
+                times += found.values()
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(parts, pa.string()), pa.array(times, pa.int64())], names=[key, "ordinal", "part", "times"])
+
+    return lines.where(F.length("skel") >= 2 * n).select(key, "ordinal", "skel").mapInArrow(run, schema)
 
 
 def peel(skeletons: list[str], least: int = 2) -> list[tuple[int, str] | None]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import drafts as D
 from ..operators import rhyme as R
@@ -52,7 +53,7 @@ def _two(t):
     return m.groupBy("source", "lang").agg(F.count("*").alias("songs"), F.round(F.avg("ttr"), 6).alias("ttr"), F.round(F.median("total_words"), 6).alias("words"))
 
 
-query("r8_scheme_check")(lambda t: D.scheme_check(R.scheme(skeletons(t), found(t), "doc_id").where("letters <> 'free'"), "doc_id", "letters", "AABB").withColumn("broken", F.array_join("broken", ",")))
+query("r8_scheme_check")(lambda t: D.scheme_check(R.scheme(skeletons(t), found(t), "doc_id").where("letters <> 'free'"), "doc_id", "scheme", "AABB").withColumn("broken", F.array_join("broken", ",")))
 query("r9_partners")(lambda t: D.partner_lines(found(t), "doc_id", "ordinal", "suffix"))
 query("t11_slang_injection")(lambda t: D.injected(doc_lines(t), "doc_id", C.lexicon_top(lexicon(t), "a", 200).select(F.col("token").alias("form"), "distinctiveness"), 0.02))
 query("d13_alternatives", f"WITH {LINES}, n AS (SELECT left(token, 3) AS stem, token, count(*) AS n FROM tokens GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY stem ORDER BY n DESC, token) AS INTEGER) AS rank FROM n) SELECT * FROM r WHERE rank <= 3")(lambda t: D.alternatives(doc_tokens(t).withColumn("stem", F.left("token", F.lit(3))), "stem", "token"))
@@ -75,3 +76,35 @@ def _themes(t):
     s = C.shares(t.embeddings.withColumn("side", F.col("vec_id") % 2), ["side"], "label")
     gap = F.col("p") - F.col("q")
     return C.aligned(s.where("side = 0"), s.where("side = 1"), "label").select("label", F.round(gap, 6).alias("gap"), F.when(gap > 0.02, "over").when(gap < -0.02, "under").otherwise("even").alias("verdict"))
+
+
+# Labels of every rule, dealt over the turns: (label, type, number, performers) by the rules, and the other two readings.
+FORMS = [
+    ("Refren", "refren", None, "", "refren"), ("Strofa 2: Ana & Ivo", "strofa", 2, "Ana,Ivo", "strofa"), ("Pre-Chorus", "prerefren", None, "", "prerefren"), ("Pred-Refren: Ana", "prerefren", None, "Ana", "prerefren"),
+    ("Post-Hook", "postrefren", None, "", "postrefren"), ("Završetak: Ivo", "outro", None, "Ivo", "other"), ("Instrumentalna pauza", "instrumental", None, "", "instrumental"), ("Tekst iz isječka", "interlude", None, "", "other"),
+    ("Strofa 4 - Ivo", "strofa", 4, "Ivo", "strofa"), ("Ana Ivić:Strofa 1", "strofa", 1, "Ana Ivić", "other"), ("Refrain/Refren: Ana", "refren", None, "Ana", "other"), ("2. Strofa", "strofa", 2, "", "other"),
+    ("Songtext zu X", "tekst", None, "", "other"), ("Drop", "hook", None, "", "hook"), ("Female", "other", None, "", "strofa"), ("...", "other", None, "", "other"),
+]
+_VALUES = ", ".join("({}, '{}', '{}', {}, '{}', '{}')".format(k, f[0], f[1], "NULL" if f[2] is None else f[2], f[3], f[4]) for k, f in enumerate(FORMS))
+
+
+def _forms(t):
+    labels = F.array(*(F.lit(f[0]) for f in FORMS))
+    each = t.conversations.select("conv_id", "turn", F.get(labels, ((F.col("conv_id") + F.col("turn")) % len(FORMS)).cast("int")).alias("label"))
+    return each.select("conv_id", "turn", "label", T.section_label(F.col("label")).alias("p"), T.library_label(F.col("label")).alias("library"))
+
+
+query("b9_label_forms", f"WITH f(k, label, type, number, performers, library) AS (VALUES {_VALUES}) SELECT conv_id, turn, label, type, CAST(number AS INTEGER) AS number, performers FROM conversations JOIN f ON (conv_id + turn) % {len(FORMS)} = k")(lambda t: _forms(t).select("conv_id", "turn", "label", "p.type", "p.number", F.array_join("p.performers", ",").alias("performers")))
+query("b10_library_label", f"WITH f(k, label, type, number, performers, library) AS (VALUES {_VALUES}) SELECT conv_id, turn, library FROM conversations JOIN f ON (conv_id + turn) % {len(FORMS)} = k")(lambda t: _forms(t).select("conv_id", "turn", "library"))
+
+DRAFT_LABELS = [("Male - Verse", "Strofa: Male"), ("Female - Build-up", "Pred-Refren: Female"), ("Male calls - Female answers", "Call-Response: Male & Female"), ("Female", "Refren: Female"), ("Ana - Songs", None), ("Verse 1", None)]
+_DRAFTS = ", ".join("({}, '{}', {})".format(k, a, "NULL" if b is None else f"'{b}'") for k, (a, b) in enumerate(DRAFT_LABELS))
+
+
+def _draft_labels(t):
+    labels = F.array(*(F.lit(a) for a, _ in DRAFT_LABELS))
+    each = t.conversations.select("conv_id", "turn", F.get(labels, ((F.col("conv_id") + F.col("turn")) % len(DRAFT_LABELS)).cast("int")).alias("label"))
+    return each.select("conv_id", "turn", T.canonical_label(F.col("label")).alias("canonical"))
+
+
+query("b11_canonical_label", f"WITH f(k, label, canonical) AS (VALUES {_DRAFTS}) SELECT conv_id, turn, canonical FROM conversations JOIN f ON (conv_id + turn) % {len(DRAFT_LABELS)} = k")(_draft_labels)

@@ -11,6 +11,7 @@ from .registry import query
 
 LOANWORDS = ["the", "on", "all", "of", "to", "in", "and"]
 CLICHES = ["the", "is", "with"]
+ROLES = {"user": "strofa", "assistant": "refren", "system": "intro"}
 KEYWORDS = ["stone", "tion", "eau", "ción", "ung", "that"]
 
 _FOLD = "translate(replace(replace({0}, 'đ', 'dj'), 'Đ', 'Dj'), 'čćšžČĆŠŽ', 'ccszCCSZ')"
@@ -91,7 +92,7 @@ def _sections(t):
     return C.sections(C.lines(_labelled(t), "text", ["conv_id"]), ["conv_id"], "ordinal", "line")
 
 
-query("b9_section_label", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'strofa' WHEN 'assistant' THEN 'refren' WHEN 'system' THEN 'intro' ELSE 'other' END AS type, CAST(turn + 1 AS INTEGER) AS number, 'A,B' AS performers FROM conversations")(lambda t: t.conversations.select("conv_id", "turn", T.section_label(F.format_string("%s %d: A & B", F.initcap("role"), F.col("turn") + 1)).alias("p")).select("conv_id", "turn", "p.type", "p.number", F.array_join("p.performers", ",").alias("performers")))
+query("b9_section_label", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'strofa' WHEN 'assistant' THEN 'refren' WHEN 'system' THEN 'intro' ELSE 'other' END AS type, CAST(turn + 1 AS INTEGER) AS number, 'A,B' AS performers FROM conversations")(lambda t: t.conversations.select("conv_id", "turn", T.section_label(F.format_string("%s %d: A & B", F.initcap("role"), F.col("turn") + 1), ROLES).alias("p")).select("conv_id", "turn", "p.type", "p.number", F.array_join("p.performers", ",").alias("performers")))
 
 # ---- lexical measures ----
 

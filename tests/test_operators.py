@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
 from cadenza.operators import corpus as C
+from cadenza.operators import drafts as D
 from cadenza.operators import intervals as I
 from cadenza.operators import rhyme as R
 from cadenza.sources import readers, writers
@@ -40,7 +41,7 @@ def test_text_cases(spark):
 @pytest.mark.parametrize("label,wanted", [
     ("Strofa 2: Jala & Buba", ("strofa", 2, ["Jala", "Buba"])), ("Buba:Refren", ("refren", None, ["Buba"])), ("Refrain/Refren: X", ("refren", None, ["X"])),
     ("Refren - Jala", ("refren", None, ["Jala"])), ("Refren:", ("refren", None, [])), ("2. Strofa", ("strofa", 2, [])), ("Tekst pesme \"x\"", ("tekst", None, [])),
-    ("Instrumentalna pauza", ("instrumental", None, [])), ("", ("other", None, [])), (None, ("other", None, [])), ("Zzz", ("other", None, [])), ("Pre-Chorus 3", ("pre-chorus", 3, [])),
+    ("Instrumentalna pauza", ("instrumental", None, [])), ("", ("other", None, [])), (None, ("other", None, [])), ("Zzz", ("other", None, [])), ("Pre-Chorus 3", ("prerefren", 3, [])), ("Predrefren: X", ("prerefren", None, ["X"])), ("Post-Refern: X", ("postrefren", None, ["X"])), ("Vers", ("strofa", None, [])), ("Prvi", ("strofa", None, [])), ("Završetak", ("outro", None, [])), ("Strofa 1/Couplet 1: X", ("strofa", 1, ["X"])),
 ])
 def test_labels(spark, label, wanted):
     r = column(spark, [label], "string", T.section_label)[0]
@@ -234,3 +235,23 @@ def test_cohort_stats_count_every_document(spark, sf_dir):
     found = entry.queries()["e3_cohort_stats_whole"](spark, sf_dir).collect()
     there = spark.read.parquet(f"{sf_dir}/documents.parquet").where(r"text rlike '[^\\s]'").groupBy("source", "lang").count().collect()
     assert {(r.source, r.lang): r.songs for r in found} == {(r.source, r.lang): r["count"] for r in there}
+
+
+def test_draft_and_library_labels(spark):
+    assert column(spark, ["Verse 2", "PRE", "Female and Male", "vocal chops", "zzz", None], "string", T.library_label) == ["strofa", "prerefren", "strofa", "strofa", "other", "other"]
+    assert column(spark, ["Male - Verse", "Male calls - Female answers", "Female", "Ana - Songs", "Verse", "", None], "string", T.canonical_label) == ["Strofa: Male", "Call-Response: Male & Female", "Refren: Female", None, None, None, None]
+    lines = spark.createDataFrame([(1, 1, "[Male -Verse]"), (1, 2, "[Female]"), (1, 3, "a line -x"), (1, 4, "[Verse 1]")], "doc int, no int, line string")
+    found = {(r.line_no, r.category, r.severity, r.original, r.suggested, r.auto_safe) for r in D.label_issues(lines, "doc", "no", "line").collect()}
+    assert found == {(1, "label", "low", "[Male -Verse]", "[Male - Verse]", True), (1, "label_form", "suggest", "[Male - Verse]", "[Strofa: Male]", False), (2, "label_form", "flag", "[Female]", "[Refren: Female]", False)}
+
+
+def test_scheme_check(spark):
+    df = spark.createDataFrame([(1, [1, 1, 2, 2]), (2, [1, 2, 1, 2, 3]), (3, [])], "k int, scheme array<int>")
+    assert {r.k: (r.match, r.broken) for r in D.scheme_check(df, "k", "scheme", "AABB").collect()} == {1: (1.0, []), 2: (0.4, [2, 3, 5]), 3: (1.0, [])}
+    assert all(r.match == 1 and not r.broken for r in D.scheme_check(df, "k", "scheme", "").collect())
+
+
+def test_collab_types(spark):
+    rows = [("a-b-trio", []), ("a-duo", ["x"]), ("a-solo", ["x"]), ("a-solo", []), (None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, c string, f array<string>")
+    assert [r.t for r in df.orderBy("k").select(T.collab_type(F.col("c"), F.col("f")).alias("t")).collect()] == ["trio", "duo", "featured", "solo", "solo"]

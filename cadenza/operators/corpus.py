@@ -42,11 +42,14 @@ def sections(lines_df: DataFrame, keys: list[str], order: str, line_col: str, de
 
 def song_metrics(lines_df: DataFrame, key: list[str], loanwords: list[str]) -> DataFrame:
     """Per song: words, distinct words, ttr, lines, means per line, hook repetition and loanword rate."""
-    per_line = lines_df.groupBy(*key).agg(F.count("*").alias("line_count"), F.round(F.avg("word_count"), 2).alias("avg_words_per_line"), F.round(F.avg("syllable_count"), 2).alias("avg_syllables_per_line"))
-    per_token = tokens(lines_df, key).groupBy(*key, "token").agg(F.count("*").alias("n"))
-    words = per_token.groupBy(*key).agg(F.sum("n").alias("total_words"), F.count("*").alias("unique_words"), F.sum(F.when(F.col("token").isin(loanwords), F.col("n")).otherwise(0)).alias("_loans"))
-    hooks = lines_df.groupBy(*key, "line_norm").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("hook_repetition_max"), F.count_if(F.col("n") > 1).alias("_repeated"))
-    out = per_line.join(words, key, "left").join(hooks, key, "left").fillna(0, ["total_words", "unique_words", "_loans"])
+    words = F.coalesce(T.words(F.col("line_norm")), F.array().cast("array<string>"))
+    mine = lines_df.select(*key, "line_norm", "word_count", "syllable_count").repartition(*key)  # the only shuffle: both groupings keep it
+    each = mine.groupBy(*key, "line_norm").agg(F.count("*").alias("n"), F.sum("word_count").alias("_words"), F.sum("syllable_count").alias("_syllables")).withColumn("_tokens", words)
+    loans = F.size(F.filter("_tokens", lambda w: w.isin(loanwords)))
+    out = each.groupBy(*key).agg(
+        F.sum(F.size("_tokens") * F.col("n")).alias("total_words"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("_tokens"))))).cast("long").alias("unique_words"), F.sum(loans * F.col("n")).alias("_loans"),
+        F.sum("n").alias("line_count"), F.round(F.sum("_words") / F.sum("n"), 2).alias("avg_words_per_line"), F.round(F.sum("_syllables") / F.sum("n"), 2).alias("avg_syllables_per_line"),
+        F.max("n").alias("hook_repetition_max"), F.count_if(F.col("n") > 1).alias("_repeated"))
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 4)).otherwise(0.0)
     return out.select(*key, "total_words", "unique_words", share("unique_words", "total_words").alias("ttr"), "line_count", "avg_words_per_line", "avg_syllables_per_line", "hook_repetition_max", share("_repeated", "line_count").alias("hook_repetition_ratio"), share("_loans", "total_words").alias("english_loanword_rate"))
 

@@ -66,7 +66,8 @@ def ascii_fold(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Cyrillic to Latin, folded, lower case; null stays null.  Compose first (``nfc``) where marks may be apart."""
-    return F.lower(ascii_fold(to_latin(text)))
+    plain = F.octet_length(text) == F.char_length(text)  # all ASCII: nothing to replace
+    return F.lower(F.when(plain, text).otherwise(ascii_fold(to_latin(text))))
 
 
 def clean_lyrics(text: Column) -> Column:
@@ -300,6 +301,6 @@ def canonical_label(label: Column) -> Column:
 
 
 def collab_type(category: Column, featured: Column) -> Column:
-    """trio, duo or featured by the category's words in this order, or by featured artists; else solo."""
-    has = lambda w: F.coalesce(F.contains(F.lower(category), F.lit(w)), F.lit(False))
+    """trio, duo or featured by the category's words (lower case) in this order, or by featured artists; else solo."""
+    has = lambda w: F.coalesce(F.contains(category, F.lit(w)), F.lit(False))
     return F.when(has("trio"), "trio").when(has("duo"), "duo").when(has("featured") | (F.coalesce(F.size(featured), F.lit(0)) > 0), "featured").otherwise("solo")

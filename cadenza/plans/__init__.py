@@ -1,6 +1,6 @@
 """The library's queries over the standard tables."""
 
-from . import checks, lexical, library, rhymes, tracks
+from . import catalogue, checks, lexical, library, rhymes, tracks
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "checks", "lexical", "library", "rhymes", "tracks"]
+__all__ = ["QUERIES", "SQL", "catalogue", "checks", "lexical", "library", "rhymes", "tracks"]

@@ -43,6 +43,16 @@ def unified_index(songs_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranked.where("_n = 1").drop("_n", "duplicate_of"), ranked.where("_n > 1").select("title", "primary_artist", F.col("path").alias("source_path"), "duplicate_of")
 
 
+def library(spark: SparkSession, root: str) -> DataFrame:
+    """clip_id, date_folder, title of every ``*_metadata.json`` below a folder; unreadable files are left out."""
+    fields = "id string, clip_id string, title string, _corrupt_record string"
+    df = spark.read.schema(fields).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_metadata.json").json(root).select("*", F.col("_metadata.file_path").alias("_path"))
+    named = lambda c: F.nullif(c, F.lit(""))
+    inside = F.element_at(F.split("_path", F.lit(r"\Q" + root.rstrip("/") + r"\E/")), -1)
+    folder, stem = F.regexp_replace(inside, "/?[^/]*$", ""), F.regexp_replace(inside, r"^.*/|\.json$", "")
+    return df.where("_corrupt_record is null").select(F.coalesce(named("id"), named("clip_id"), stem).alias("clip_id"), folder.alias("date_folder"), F.coalesce(named("title"), F.lit("Untitled")).alias("title"))
+
+
 def dataset(df: DataFrame) -> DataFrame:
     """A dataset document's songs, one a row, with ``lyrics_latin``."""
     return df.select(F.explode("songs").alias("s")).select("s.*").withColumn("lyrics_latin", T.clean_lyrics(F.col("lyrics")))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as T
+from cadenza.operators import catalogue as K
 from cadenza.operators import corpus as C
 from cadenza.operators import drafts as D
 from cadenza.operators import intervals as I
@@ -255,3 +256,54 @@ def test_collab_types(spark):
     rows = [("a-b-trio", []), ("a-duo", ["x"]), ("a-solo", ["x"]), ("a-solo", []), (None, None)]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, c string, f array<string>")
     assert [r.t for r in df.orderBy("k").select(T.collab_type(F.col("c"), F.col("f")).alias("t")).collect()] == ["trio", "duo", "featured", "solo", "solo"]
+
+
+def test_collabs(spark):
+    rows = [(1, "x-trio", None, "A"), (2, "x-DUO", None, "A"), (3, "x-featured", [], "B"), (4, "solo", ["Ana B"], "C"), (5, "solo", None, "A"), (6, None, [], "D")]
+    df = spark.createDataFrame(rows, "id int, category string, featured array<string>, artist string")
+    assert sorted((r.id, r.collab_type) for r in K.collabs(df, "category", "featured").collect()) == [(1, "trio"), (2, "solo"), (3, "featured"), (4, "featured"), (6, "solo")]
+    assert sorted(r.id for r in K.collabs(df, "category", "featured", F.lit("A"), "artist").collect()) == [1, 2, 4]
+
+
+def test_attribution_of_sections_without_lines(spark):
+    sections = spark.createDataFrame([(1, "a"), (2, "b")], "section int, type string")
+    lines = spark.createDataFrame([(1, 3), (1, 4), (1, None)], "section int, syllable_count int")
+    assert sorted(map(tuple, K.attribution(sections, lines, ["section"]).collect())) == [(1, "a", 3, 3.5), (2, "b", 0, 0.0)]
+
+
+def test_chosen_files(spark):
+    df = spark.createDataFrame([("b.mp3",), ("a Beat.mp3",), ("c beat.mp3",), (None,), ("d.mp3",)], "name string")
+    assert [tuple(r) for r in K.chosen_files(df, "name", [("x", "BEAT"), ("y", "none")]).collect()] == [("x", "a Beat.mp3")]
+    assert sorted(r.file for r in K.chosen_files(df.where("name is not null"), "name", [("y", "none")]).collect()) == ["a Beat.mp3", "b.mp3", "c beat.mp3"]
+    assert K.chosen_files(df.limit(0), "name", [("y", "none")]).count() == 0
+
+
+def test_recovery(spark):
+    whole = ["t_voice_analysis.json", "recipe.md", "stems/a.wav", "stems/b.wav"]
+    rows = [("full", p) for p in whole] + [("few", p) for p in whole[:3]] + [("deep", "x/" + p) for p in whole] + [("seen", p) for p in whole] + [("lost", p) for p in whole]
+    tracks = K.completeness(spark.createDataFrame(rows, "slug string, path string"), "slug", "path")
+    assert {r.slug: r.is_complete for r in tracks.collect()} == {"full": True, "few": False, "deep": False, "seen": True, "lost": True}
+    sources = spark.createDataFrame([(s, f"in/{s}") for s in ("full", "few", "deep", "seen")], "slug string, source string")
+    status = spark.createDataFrame([("in/seen", "completed"), ("in/full", "failed")], "source string, status string")
+    got = {r.slug: r.outcome for r in K.recovered(tracks, sources, status, "slug", "source").collect()}
+    assert got == {"full": "recovered", "few": "incomplete", "deep": "incomplete", "seen": "known", "lost": "no match"}
+
+
+def test_library_scan(spark, tmp_path):
+    for name, body in (("2024/a_metadata.json", {"id": "1", "title": "T"}), ("2024/x/b_metadata.json", {"clip_id": "2", "id": "", "title": ""}), ("c_metadata.json", {}), ("other.json", {"id": "9"}), ("bad_metadata.json", None)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(body) if body is not None else "{broken")
+    assert sorted(map(tuple, readers.library(spark, str(tmp_path)).collect())) == [("1", "2024", "T"), ("2", "2024/x", "Untitled"), ("c_metadata", "", "Untitled")]
+
+
+def test_normalize_touches_plain_text_alike(spark):
+    assert column(spark, ["ABC đŠ", "Plain Text", "Njegoš", "Њ", "É", "", None], "string", T.normalize) == ["abc djs", "plain text", "njegos", "nj", "é", "", None]
+    assert all(ord(c) > 127 for pair in (T.CYRILLIC_TWO, T.CYRILLIC, T.FOLD_TWO) for k in pair for c in k) and all(ord(c) > 127 for c in T.FOLD[0])
+
+
+def test_song_metrics_by_hand(spark):
+    lines = C.lines(spark.createDataFrame([(1, "the cat\nThe Cat\n\ndog"), (2, "..."), (3, None)], "id int, text string"), "text", ["id"])
+    got = {r.id: r for r in C.song_metrics(lines, ["id"], ["the"]).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].total_words, got[1].unique_words, got[1].line_count, got[1].hook_repetition_max, got[1].hook_repetition_ratio, got[1].english_loanword_rate) == (5, 3, 3, 2, 0.3333, 0.4)
+    assert (got[2].total_words, got[2].unique_words, got[2].ttr, got[2].line_count) == (0, 0, 0.0, 1)

@@ -41,10 +41,12 @@ def sections(lines_df: DataFrame, keys: list[str], order: str, line_col: str, de
 
 
 def song_metrics(lines_df: DataFrame, key: list[str], loanwords: list[str]) -> DataFrame:
-    """Per song: words, distinct words, ttr, lines, means per line, hook repetition and loanword rate."""
+    """Per song: words, distinct words, ttr, lines, means per line, hook repetition and loanword rate.
+
+    Lines of texts that were repartitioned by a part of the key before they were cut need no further shuffle here.
+    """
     words = F.coalesce(T.words(F.col("line_norm")), F.array().cast("array<string>"))
-    mine = lines_df.select(*key, "line_norm", "word_count", "syllable_count").repartition(*key)  # the only shuffle: both groupings keep it
-    each = mine.groupBy(*key, "line_norm").agg(F.count("*").alias("n"), F.sum("word_count").alias("_words"), F.sum("syllable_count").alias("_syllables")).withColumn("_tokens", words)
+    each = lines_df.groupBy(*key, "line_norm").agg(F.count("*").alias("n"), F.sum("word_count").alias("_words"), F.sum("syllable_count").alias("_syllables")).withColumn("_tokens", words)
     loans = F.size(F.filter("_tokens", lambda w: w.isin(loanwords)))
     out = each.groupBy(*key).agg(
         F.sum(F.size("_tokens") * F.col("n")).alias("total_words"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("_tokens"))))).cast("long").alias("unique_words"), F.sum(loans * F.col("n")).alias("_loans"),

@@ -9,10 +9,13 @@ from ..functions import text as T
 
 
 def ngrams(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """key, term, tf: the 1- and 2-grams of words of two characters or more."""
+    """key, term, tf: the 1- and 2-grams of words of two characters or more.
+
+    Texts are shuffled by key before they are cut, which is less than their terms would be; counting then stays in place.
+    """
     words = F.filter(T.words(F.col(text_col)), lambda w: F.length(w) >= 2)
     pairs = F.when(F.size("w") >= 2, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return df.select(key, words.alias("w")).select(key, F.explode(F.concat(F.col("w"), pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return df.select(key, text_col).repartition(key).select(key, words.alias("w")).select(key, F.explode(F.concat(F.col("w"), pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(terms: DataFrame, key: str, features: int) -> DataFrame:

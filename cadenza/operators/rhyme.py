@@ -152,6 +152,16 @@ def song_metrics(lines: DataFrame, found: DataFrame, key: str, long_: int = 3) -
     return inner.join(ends, key, "left").select(key, F.coalesce("end_rows", F.lit(0)).alias("end_rows"), F.coalesce("pct_multis", F.lit(0.0)).alias("pct_multis"), "internal_rate")
 
 
+def profile(lines: DataFrame, found: DataFrame, key: str, long_: int = 3) -> DataFrame:
+    """``factor`` and ``song_metrics`` side by side, from one pass over the lines and one over what was found."""
+    pair = F.transform(F.sequence(F.lit(1), F.length("skel") - 1), lambda i: F.substring("skel", i, 2))
+    has = (F.length("skel") >= 4) & (F.size(F.array_distinct(pair)) < F.size(pair))
+    whole = lines.groupBy(key).agg(F.sum(F.length("skel")).alias("_all"), F.round(F.avg(F.when(F.length("skel") >= 4, has).otherwise(False).cast("int")), 4).alias("internal_rate"))
+    hits = found.groupBy(key).agg(F.sum("match_length").alias("_hit"), F.count("*").alias("end_rows"), F.round(F.avg((F.col("match_length") >= long_).cast("int")), 4).alias("pct_multis"))
+    share = F.when(F.col("_all") > 0, F.round(F.coalesce("_hit", F.lit(0)) / F.col("_all"), 4)).otherwise(0.0)
+    return whole.join(hits, key, "left").select(key, F.coalesce("end_rows", F.lit(0)).alias("end_rows"), F.coalesce("pct_multis", F.lit(0.0)).alias("pct_multis"), "internal_rate", share.alias("rhyme_factor"))
+
+
 def suffix_words(forms: DataFrame, target: str, word: str = "token", n: int = 2) -> DataFrame:
     """Words whose skeleton ends as the target column does: an equi-join on the last n letters."""
     return forms.withColumn("rhyme", F.right("skel", F.lit(n))).where(F.length("skel") >= n)

@@ -28,9 +28,9 @@ query("r6_multisyllabic", f"WITH {SKELETONS} SELECT doc_id, right(skel, 3) AS rh
 query("r3_longest_first")(found)
 query("r4_rhyme_factor")(lambda t: R.factor(skeletons(t), found(t), "doc_id"))
 query("r5_scheme")(lambda t: R.scheme(skeletons(t), found(t), "doc_id").withColumn("scheme", F.array_join("scheme", ",")))
-query("r7_song_rhymes")(lambda t: R.song_metrics(skeletons(t), found(t), "doc_id").join(R.factor(skeletons(t), found(t), "doc_id"), "doc_id"))
+query("r7_song_rhymes")(lambda t: R.profile(skeletons(t), found(t), "doc_id"))
 query("e8_rhymes_by_artist", f"WITH {SKELETONS}, g AS (SELECT doc_id, any_value(source) AS source, right(skel, 2) AS rhyme, count(*) AS size FROM sk WHERE length(skel) >= 2 GROUP BY doc_id, right(skel, 2) HAVING count(*) >= 2) SELECT source, count(DISTINCT doc_id) AS songs, count(*) AS n_groups, round(avg(size), 6) AS avg_size, count(*) FILTER (size >= 3) AS large FROM g GROUP BY source")(lambda t: R.groups(skeletons(t), "doc_id").join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.countDistinct("doc_id").alias("songs"), F.count("*").alias("n_groups"), F.round(F.avg("size"), 6).alias("avg_size"), F.count_if(F.col("size") >= 3).alias("large")))
-query("e9_rhyme_fingerprint")(lambda t: R.factor(skeletons(t), found(t), "doc_id").join(R.song_metrics(skeletons(t), found(t), "doc_id"), "doc_id").join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("rhyme_factor", "pct_multis", "internal_rate"))))
+query("e9_rhyme_fingerprint")(lambda t: R.profile(skeletons(t), found(t), "doc_id").join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("rhyme_factor", "pct_multis", "internal_rate"))))
 query("e10_vowel_pairs", f"WITH {SKELETONS}, g AS (SELECT lang, right(skel, 2) AS pair, count(*) AS n FROM sk WHERE length(skel) >= 2 GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, pair) AS INTEGER) AS rank FROM g) SELECT * FROM r WHERE rank <= 10")(lambda t: C.top_k(skeletons(t).where(F.length("skel") >= 2).groupBy("lang", T.end_rhyme(F.col("skel"), 2).alias("pair")).agg(F.count("*").alias("n")), ["lang"], [F.desc("n"), F.asc("pair")], 10))
 query("d15_suffix_words", f"WITH {LINES}, w AS (SELECT token, count(*) AS n FROM tokens GROUP BY token), sk AS (SELECT token, n, {_SKEL.format('token')} AS skel FROM w), f AS (SELECT * FROM sk WHERE length(skel) >= 2 ORDER BY n DESC, token LIMIT 500), l AS (SELECT DISTINCT right({_SKEL.format('lower(text)')}, 2) AS rhyme FROM benchmark) SELECT rhyme, token, n FROM f JOIN l ON right(skel, 2) = rhyme")(lambda t: _suffixes(t))
 

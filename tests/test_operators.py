@@ -307,3 +307,18 @@ def test_song_metrics_by_hand(spark):
     assert set(got) == {1, 2}
     assert (got[1].total_words, got[1].unique_words, got[1].line_count, got[1].hook_repetition_max, got[1].hook_repetition_ratio, got[1].english_loanword_rate) == (5, 3, 3, 2, 0.3333, 0.4)
     assert (got[2].total_words, got[2].unique_words, got[2].ttr, got[2].line_count) == (0, 0, 0.0, 1)
+
+
+def test_rhyme_profile_by_its_parts(spark):
+    rows, df = songs(spark, n=25, seed=7)
+    df = df.unionAll(spark.createDataFrame([(900, 1, ""), (901, 1, None)], df.schema))
+    found = R.assigned(df.where("skel is not null"), "song")
+    both = R.song_metrics(df, found, "song").join(R.factor(df, found, "song"), "song")
+    assert sorted(map(tuple, R.profile(df, found, "song").collect())) == sorted(map(tuple, both.collect()))
+    letters, hits = {}, {}
+    for s, _, skel in rows:
+        letters[s] = letters.get(s, 0) + len(skel)
+    for r in found.collect():
+        hits[r.song] = hits.get(r.song, 0) + r.match_length
+    for r in R.profile(df, found, "song").where("song < 900").collect():
+        assert abs(r.rhyme_factor - (hits.get(r.song, 0) / letters[r.song] if letters[r.song] else 0)) < 1e-4

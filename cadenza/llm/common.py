@@ -90,18 +90,6 @@ def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     return fmix(out) if n > 1 else out
 
 
-_BASE = 0x9E3779B97F4A7C15
-_UNIT = 1 << 18
-_STEPS = [np.cumprod(np.r_[np.uint64(1), np.full(_UNIT, b, np.uint64)], dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-
-
-def _powers(n: int, which: int) -> np.ndarray:
-    """Powers of the base (0) or of its inverse (1) modulo 2**64."""
-    if n <= _UNIT:
-        return _STEPS[which][:n]
-    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _STEPS[which][1])], dtype=np.uint64)
-
-
 def string_bytes(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes of all texts laid end to end, the offsets of each text in them), without copies."""
     rows = rows.fill_null("") if rows.null_count else rows
@@ -125,14 +113,30 @@ def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of a polynomial's prefix sums, shifted back to where each span starts."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    values = data.astype(np.uint64)
-    values += np.uint64(1)
-    values *= _powers(len(data), 0)
-    np.cumsum(values, out=sums[1:])
-    return fmix((sums[ends] - sums[starts]) * _powers(len(data) + 1, 1)[starts] + (ends - starts).astype(np.uint64))
+#: The key of word hashes where results have to be the same in every run.
+KEY = 0x9E3779B97F4A7C15
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_SPAN = 64
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEY) -> np.ndarray:
+    """Keyed 64-bit hashes of byte spans: from the key and the length on, 8 bytes at a time are mixed into the state.
+
+    Spans of more than ``LONG_SPAN`` bytes are hashed by xxh3 with the key as its seed.
+    """
+    import xxhash
+
+    size = ends - starts
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = fmix(lanes[starts] & _LOW[np.minimum(size, 8)] ^ fmix(np.uint64(key) + size.astype(np.uint64)))
+    todo, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(todo):
+        left = size[todo] - k
+        out[todo] = fmix(out[todo] ^ lanes[starts[todo] + k] & _LOW[np.minimum(left, 8)])
+        todo, k = todo[left > 8], k + 8
+    for at in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[at] = xxhash.xxh3_64_intdigest(data[starts[at] : ends[at]], key)
+    return out
 
 
 #: What this worker keeps between batches, by operator family; a worker that changes families drops the others'.
@@ -156,8 +160,8 @@ def text_blocks(offsets: np.ndarray, size: int = 96_000) -> Iterator[tuple[int,
         start = stop
 
 
-def hashed_words(rows: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of the texts, one text after the other; words of each text).  ``fold``: A-Z as a-z."""
+def hashed_words(rows: pa.Array, fold: bool = True, key: int = KEY) -> tuple[np.ndarray, np.ndarray]:
+    """(keyed hashes of all words of the texts, one text after the other; words of each text).  ``fold``: A-Z as a-z."""
     whole, offsets = string_bytes(rows)
     hashes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for i, j in text_blocks(offsets):
@@ -165,7 +169,7 @@ def hashed_words(rows: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndar
         if fold:
             data = data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
         starts, ends = runs_of((data != 32) & ((data - np.uint8(9)) > 4), cuts)
-        hashes.append(span_hashes(data, starts, ends))
+        hashes.append(span_hashes(data, starts, ends, key))
         sizes.append(np.diff(np.searchsorted(starts, cuts)))
     return np.concatenate(hashes), np.concatenate(sizes)
 

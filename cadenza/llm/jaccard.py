@@ -1,6 +1,6 @@
-"""N-gram Jaccard join by token-combination prefixes, exact for every pair of texts.
+"""N-gram Jaccard join by token-combination prefixes, exact for every pair of texts but for hashes that coincide.
 
-Tokens are hashed word shingles, ordered by (frequency class, hash), rare ones first.  Let a set of n tokens be
+Tokens are hashed word shingles (keyed, by a key that each run draws, so that no text can be made to coincide with another), ordered by (frequency class, hash), rare ones first.  Let a set of n tokens be
 linked with another at ``percent``: at most d = n - ceil(percent * n / 100) of its tokens are not shared, and at
 most D = n * (100 - percent) // percent tokens of the two sets together.
 
@@ -35,6 +35,8 @@ component, as the sets of one id are linked.  An empty table gives an empty resu
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,7 +47,7 @@ from . import common
 CELL_BITS, CHUNK_BITS, FAN_IN = 22, 16, 256
 CLASS_SHIFT = 59  # a token is its class above 59 bits of its hash
 SKETCH, LONG, LONG_SKETCH = 8, 2000, 128  # words of 64 bits; sets of LONG tokens have a second, larger sketch
-GROUP, PAIRS, TURNS, LONGER = 16, 1024, 6, (4, 8)
+GROUP, PAIRS, TURNS, LONGER, SALT = 16, 1024, 6, (4, 8), 1024
 FILTER_BITS = 28
 _NODE = "n int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", more array<long>"
 
@@ -53,9 +55,9 @@ _NODE = "n int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", more arr
 # ---- sets ----
 
 
-def shingles(rows: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(rows: pa.Array, n: int, key: int = common.KEY) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all n-word shingles, one text after the other; shingles of each text); a shorter text is one shingle."""
-    hashes, sizes = common.hashed_words(rows)
+    hashes, sizes = common.hashed_words(rows, key=key)
     inside, _ = common.gram_owner(sizes, n)
     found = common.chain(hashes, n)[inside] if len(hashes) >= n else np.empty(0, np.uint64)
     counts = np.maximum(sizes - n + 1, 0)
@@ -72,9 +74,10 @@ def _cell(found: np.ndarray) -> np.ndarray:
     return found >> np.uint64(64 - CELL_BITS)
 
 
-def token_sets(rows: pa.Array, n: int, classes: np.ndarray) -> list[np.ndarray]:
-    """The distinct tokens of each text, ascending: rare classes first."""
-    found, counts = shingles(rows, n)
+def token_sets(rows: pa.Array, n: int, shared: tuple[np.ndarray, int]) -> list[np.ndarray]:
+    """The distinct tokens of each text, ascending: rare classes first.  ``shared``: the classes, the key of the hashes."""
+    classes, key = shared
+    found, counts = shingles(rows, n, key)
     low = np.uint64((1 << CLASS_SHIFT) - 1)
     tokens = classes[_cell(found)].astype(np.uint64) << np.uint64(CLASS_SHIFT) | found & low
     out, ends = [], np.cumsum(counts)
@@ -84,7 +87,7 @@ def token_sets(rows: pa.Array, n: int, classes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def frequency_classes(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+def frequency_classes(docs: DataFrame, n: int, key: int = common.KEY) -> tuple[np.ndarray, int]:
     """([cell] log2 of the shingles in that cell, the least frequent class), over all texts.
 
     A task keeps one dense table and sends it in compressed chunks of ``2**CHUNK_BITS`` cells, at most
@@ -99,7 +102,7 @@ def frequency_classes(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
         table = np.zeros(1 << CELL_BITS, np.int64)
         for _, rows in common.row_batches(batches):
-            cells, times = np.unique(_cell(shingles(rows, n)[0]).astype(np.uint32), return_counts=True)
+            cells, times = np.unique(_cell(shingles(rows, n, key)[0]).astype(np.uint32), return_counts=True)
             table[cells] += times
         part = TaskContext.get().partitionId()
         for k, counts in enumerate(table.reshape(chunks, -1)):
@@ -364,11 +367,16 @@ class _Search:
         return viable(_ordered(keys.select(F.col("node").alias("x"), F.col("leader").alias("y"))), self.nodes, self.percent)
 
     def all_pairs(self, keys: DataFrame) -> DataFrame:
-        """The nodes of one key that are in different components and whose sketches allow it."""
-        each = keys.select("key", "node", "label")
-        left = each.withColumnRenamed("label", "l").join(_side(self.nodes, "x", "node"), "node").withColumnRenamed("node", "x")
+        """The nodes of one key that are in different components and whose sketches allow it.
+
+        A key of more than ``SALT`` nodes is dealt in blocks: each of its nodes meets the others block by block.
+        """
+        each = keys.select("key", "node", "label", F.ceil(F.col("nodes") / SALT).cast("int").alias("blocks"))
+        dealt = each.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        left = dealt.select("key", "block", "node", F.col("label").alias("l")).join(_side(self.nodes, "x", "node"), "node").withColumnRenamed("node", "x")
         right = each.withColumnRenamed("label", "m").join(_side(self.nodes, "y", "node"), "node").withColumnRenamed("node", "y")
-        met = _ordered(left.join(right, (left["key"] == right["key"]) & (F.col("l") < F.col("m")) & _able("x", "y", self.percent)).select("x", "y"))
+        right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = _ordered(left.join(right, ["key", "block"]).where((F.col("l") < F.col("m")) & _able("x", "y", self.percent)).select("x", "y"))
         return _of_long(met, self.nodes, self.percent)
 
     def drawn(self, keys: DataFrame, turn: int) -> DataFrame:
@@ -426,8 +434,9 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, run: int = 2, frequent: i
     indexed by combinations; by default set from the mean.  Neither changes the result.
     """
     docs = common.texts(df, id_col, text_col)
-    classes, above = frequency_classes(docs, n)
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    key = int.from_bytes(os.urandom(8), "little")
+    classes, above = frequency_classes(docs, n, key)
+    shared = docs.sparkSession.sparkContext.broadcast((classes, key))
     index = prefix_index(docs, n, percent, shared, above if frequent is None else frequent, run)
     known = index.where("node is not null and doc_id is not null")
     sketches = [F.min(c).alias(c) for c in ("n", *(f"s{k}" for k in range(SKETCH)), "more")]
@@ -456,7 +465,8 @@ def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
 
     That is the document of least id, of one id's texts the one of least hash; documents without an id come
     last but count like others.  So an id with several texts keeps each that is no copy of another document.
-    Rows that repeat both id and text stay once.  Texts without words are linked with nothing and stay.
+    Rows that repeat both id and text stay once.  Texts without words are linked with nothing and stay, each of them
+    where they have no id.
 
     Documents that surely stay are not shuffled: a bit table of those that may go picks what is joined.
     """
@@ -474,5 +484,6 @@ def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
 
     hit = may_go(F.pmod(F.xxhash64(own), F.lit(1 << bits)))
     gone = asked.where("goes").select(F.col("doc_id").alias(own))
-    some = named.where(hit).join(gone, own, "left_anti").dropDuplicates([own])
-    return named.where(~hit).unionByName(some).select(*df.columns)
+    bare = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(common.WORD)
+    some = named.where(hit & ~bare).join(gone, own, "left_anti").dropDuplicates([own])
+    return named.where(~hit | bare).unionByName(some).select(*df.columns)

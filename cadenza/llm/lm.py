@@ -9,9 +9,9 @@ the counts of all training documents.
 How counts meet texts: texts are cut into blocks of whole documents, kept in a written table with word ids
 local to the block.  A block asks once for each of its distinct words and bigrams, whatever their frequency,
 so a hot n-gram costs one entry a block.  Requests travel as packed arrays to hash buckets, where they are
-summed; the totals travel back in the order in which they were asked.  Buckets hold an even share of the
+summed in 64 bits; the totals travel back in the order in which they were asked.  Buckets hold an even share of the
 distinct n-grams and grow in number with the shuffle partitions.  A bucket tells words apart by 48 bits of
-their hashes and bigrams by 40, besides the bits that chose the bucket.
+their hashes and bigrams by 40, besides the bits that chose the bucket; hashes are keyed, by a key that each run draws.
 
 The text is folded A-Z to a-z; words are what is between white space (space, U+0009 to U+000D); each document
 ends in an end token and is preceded by a start context.  Null and empty texts are the end token alone; null
@@ -20,6 +20,7 @@ ids train.  Repeated rows count and are scored for each row.  An empty table giv
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ def part_of(doc_id: object, folds: int = 7, held: int = 2, deleted: int = 3) ->
     return HELD_OUT if r == held else DELETED if r == deleted else TRAIN
 
 
-def blocks(df: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+def blocks(df: DataFrame, id_col: str, text_col: str, block_chars: int, key: int = common.KEY) -> DataFrame:
     """Written table, one row a block of documents of one part: block, part, ids, sizes, hashes (distinct), words (index of each)."""
     schema = f"block long, part int, ids array<{common.id_type(df, id_col)}>, sizes binary, hashes binary, words binary"
     arrow = common.arrow_of(schema)
@@ -55,7 +56,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataF
                 at = np.flatnonzero(parts == part)
                 if not len(at):
                     continue
-                hashes, sizes = common.hashed_words(rows.take(pa.array(at)))
+                hashes, sizes = common.hashed_words(rows.take(pa.array(at)), key=key)
                 distinct, words = np.unique(hashes, return_inverse=True)
                 yield common.batch_of(arrow, [[block], [part], [ids.take(pa.array(at)).to_pylist()], [common.pack(sizes.astype(np.uint32))], [distinct.tobytes()], [common.pack(words.astype(np.uint32))]])
                 block += 1
@@ -132,6 +133,16 @@ def requests(table: DataFrame, buckets: int) -> DataFrame:
     return table.select("block", "part", "sizes", "hashes", "words").mapInArrow(run, REQUEST)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Counts, of 4 bytes each where they fit, behind a byte that says so."""
+    wide = bool(x.max(initial=0) >= 1 << 32)
+    return bytes([wide]) + common.pack(x.astype(np.uint64 if wide else np.uint32))
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return common.unpack(raw[1:], np.uint64 if raw[0] else np.uint32).astype(np.int64)
+
+
 def _totals(keys: list[np.ndarray], counts: list[bytes], parts: list[int]) -> tuple[list, list, int, int, int]:
     sizes = np.array([len(k) for k in keys])
     flat = np.concatenate(keys)
@@ -140,7 +151,7 @@ def _totals(keys: list[np.ndarray], counts: list[bytes], parts: list[int]) -> tu
     _, at = np.unique(flat, return_inverse=True)
     every, mains = np.bincount(at, n), np.bincount(at, main)
     cuts = np.cumsum(sizes)[:-1]
-    answers = [[x.astype(np.uint32) for x in np.split(total[at], cuts)] for total in (every, mains)]
+    answers = [[x.astype(np.int64) for x in np.split(total[at], cuts)] for total in (every, mains)]
     return *answers, int((every > 0).sum()), int(n.sum()), int(main.sum())
 
 
@@ -154,8 +165,8 @@ def replies(asked: DataFrame) -> DataFrame:
         pair_all, pair_main, *_ = _totals([common.unsteps(p) for p in rows["pairs"]], rows["pair_n"], rows["part"])
         deleted = [p == DELETED for p in rows["part"]]
         bucket = rows["bucket"][0]
-        every = lambda answers: [*map(common.pack, answers), b""]
-        some = lambda answers: [*(common.pack(x) if d else b"" for x, d in zip(answers, deleted)), b""]
+        every = lambda answers: [*map(packed, answers), b""]
+        some = lambda answers: [*(packed(x) if d else b"" for x, d in zip(answers, deleted)), b""]
         out = [[*rows["block"], -1], [*rows["part"], -1], [bucket] * (len(deleted) + 1), every(word_all), some(word_main), every(pair_all), some(pair_main)]
         none = [0] * len(deleted)
         return pa.Table.from_batches([common.batch_of(arrow, [*out, [*none, types], [*none, n_all], [*none, n_main]])])
@@ -173,7 +184,7 @@ def _counts(row: dict, buckets: int, which: str) -> tuple[Block, np.ndarray, np.
     """(block, c(w) of each token, c(v) of each context, c(vw)); START counts as often as END."""
     b = Block(row["sizes"], row["hashes"], row["words"], buckets)
     got = sorted(row["got"], key=lambda r: r["bucket"])
-    flat = lambda name: np.concatenate([common.unpack(r[f"{name}_{which}"], np.uint32) for r in got])
+    flat = lambda name: np.concatenate([unpacked(r[f"{name}_{which}"]) for r in got])
     words = b.words_by.spread(flat("word"))
     words = np.append(words, words[-1])
     pairs = b.pairs_by.spread(flat("pair"))
@@ -230,7 +241,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_c
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the whole text)."""
     spark = df.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = blocks(df, id_col, text_col, block_chars)
+    table = blocks(df, id_col, text_col, block_chars, int.from_bytes(os.urandom(8), "little"))
     totals = replies(requests(table, buckets))
     types, n, n_main = (int(x or 0) for x in totals.where("block = -1").agg(F.sum("n_types"), F.sum("n_all"), F.sum("n_main")).first())
     deleted = F.col("part") == DELETED

@@ -242,7 +242,7 @@ def windows(text: str, most: int = 6) -> list[tuple[list[int], list[float], list
 def fit(df: DataFrame, max_documents: int = 200, max_windows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Trains the field on at most ``max_documents`` documents, and on windows around ``max_windows`` spans of each.
 
-    Without any such document the field tags everything O.
+    Of rows that share an id the text of least hash counts.  Without any such document the field tags everything O.
     """
     docs = common.texts(df, id_col, text_col)
     low = F.lower("text")
@@ -251,16 +251,17 @@ def fit(df: DataFrame, max_documents: int = 200, max_windows: int = 6, id_col: s
         hint = hint | F.contains(low, F.lit(k))
     kind = common.id_type(df, id_col)
     ids = docs.where(hint & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
-    chosen = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in ids.collect()))
+    # At most ``max_documents`` rows: one text of each id.
+    chosen = docs.where(hint).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     arrow = common.arrow_of(f"doc_id {kind}, masks array<long>, file array<double>, tags array<int>")
 
     def run(batches):
         for ids, rows in common.row_batches(batches):
-            out = [(i, *w) for i, t in zip(ids.to_pylist(), rows.to_pylist()) if i in chosen.value for w in windows(t, max_windows)]
+            out = [(i, *w) for i, t in zip(ids.to_pylist(), rows.to_pylist()) for w in windows(t, max_windows)]
             if out:
                 yield common.batch_of(arrow, [*zip(*out)])
 
-    got = docs.mapInArrow(run, f"doc_id {kind}, masks array<long>, file array<double>, tags array<int>").toPandas()
+    got = chosen.mapInArrow(run, f"doc_id {kind}, masks array<long>, file array<double>, tags array<int>").toPandas()
     if got.empty:
         return Field(np.zeros((4, N_SHAPE, 3)), np.zeros((N_FILE, 3)), np.array([[0, -99, -99], [0, -99, -99], [0, -99, -99]], float))
     got = got.assign(key=[str(m) + str(t) for m, t in zip(got["masks"], got["tags"])]).sort_values(["doc_id", "key"], kind="stable")

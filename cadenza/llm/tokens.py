@@ -65,14 +65,16 @@ def chunk_spans(data: np.ndarray, cuts: np.ndarray, words: bool) -> tuple[np.nda
 class ChunkTable:
     """Chunks and their ids: an open-addressed table of at most ``cap`` chunks (14 bytes each, and their ids).
 
-    A chunk is known by a 64-bit hash into which its length and its first 8 bytes are mixed.
+    A chunk is known by 95 bits of two hashes whose keys each table draws for itself: ``keys`` tell its slot, ``checks``
+    that it is the chunk.
     """
 
     def __init__(self, dtype: np.dtype, cap: int):
         self.cap, self.n, self.dtype = cap, 0, dtype
         size = 1 << (2 * cap - 1).bit_length()
         self.mask = np.uint64(size - 1)
-        self.keys = np.zeros(size, np.uint64)
+        self.keys, self.checks = np.zeros(size, np.uint64), np.zeros(size, np.uint32)
+        self.seeds = tuple(int.from_bytes(os.urandom(8), "little") for _ in range(2))
         self.start, self.count = np.zeros(size, np.int32), np.zeros(size, np.uint16)
         self.pool, self.used = np.zeros(1 << 16, dtype), 0
 
@@ -95,14 +97,14 @@ class ChunkTable:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def add(self, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
         """Distinct new chunks."""
         todo = np.arange(len(keys))
         while len(todo):
             at, _ = self.slots(keys[todo])
             _, first = np.unique(at, return_index=True)
             now = todo[first]
-            self.keys[at[first]], self.start[at[first]], self.count[at[first]] = keys[now], starts[now], counts[now]
+            self.keys[at[first]], self.checks[at[first]], self.start[at[first]], self.count[at[first]] = keys[now], checks[now], starts[now], counts[now]
             todo = np.delete(todo, first)
         self.n += len(keys)
 
@@ -166,19 +168,20 @@ class ChunkEncoder:
 
     def _block(self, data: np.ndarray, cuts: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, whole = chunk_spans(data, cuts, self.words)
-        size = (ends - starts).astype(np.uint64)
-        padded = np.r_[data, np.zeros(8, np.uint8)]
-        head = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[starts]
-        head &= np.uint64(0xFFFFFFFFFFFFFFFF) >> np.uint64(8) * (np.uint64(8) - np.minimum(size, np.uint64(8)))
-        keys = common.fmix(common.span_hashes(data, starts, ends) + common.fmix(head) * np.uint64(3)) | np.uint64(1)
         table = self.table
+        keys = common.span_hashes(data, starts, ends, table.seeds[0]) | np.uint64(1)
+        checks = common.span_hashes(data, starts, ends, table.seeds[1]).astype(np.uint32)
         at, hit = table.slots(keys)
+        if (table.checks[at][hit] != checks[hit]).any():
+            return self._anew(data, cuts, end)
         start, count = table.start[at].astype(np.int64), table.count[at].astype(np.int64)
         kept = table.used
         if not hit.all():
             missed = np.flatnonzero(~hit)
             new, first, back = np.unique(keys[missed], return_index=True, return_inverse=True)
             where = missed[first]
+            if (checks[where][back] != checks[missed]).any():
+                return self._anew(data, cuts, end)
             raw = data.tobytes()
             found = self.learn([raw[i:j] for i, j in zip(starts[where].tolist(), ends[where].tolist())], whole[where].tolist())
             counts = np.array([len(x) for x in found], np.int64)
@@ -188,7 +191,7 @@ class ChunkEncoder:
             begins = np.empty(len(new), np.int64)
             flat = np.fromiter((i for k in order.tolist() for i in found[k]), self.dtype, int(counts.sum()))
             begins[order] = np.cumsum(counts[order]) - counts[order] + table.append(flat)
-            table.add(new[room], begins[room], counts[room])
+            table.add(new[room], checks[where][room], begins[room], counts[room])
             start[missed], count[missed] = begins[back], counts[back]
             kept += int(counts[room].sum())
         # Each text's ids, and after them the end.
@@ -202,6 +205,11 @@ class ChunkEncoder:
             sizes += len(end)
         return ids, sizes
 
+    def _anew(self, data: np.ndarray, cuts: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The block with an empty table of other keys, after two chunks had one key."""
+        self.table = ChunkTable(self.dtype, self.table.cap)
+        return self._block(data, cuts, end)
+
     def encode(self, rows: pa.Array, end: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each); ``end``: ids appended to every text."""
         whole, offsets = common.string_bytes(rows)

@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and held-out data, and on odd inputs."""
 
+import hashlib
 import math
 import os
 import random
@@ -74,12 +75,73 @@ def test_chunks(path, words, docs):
         assert e.table.n <= cap
 
 
+def twins(n=2048):
+    """Two texts of equal length that polynomial hashes modulo 2**64 cannot tell apart."""
+    t = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("path,words", [(BYTE, False), (WORDS, True)])
+def test_chunks_that_simple_hashes_confuse(path, words, spark):
+    rows = ["zzzzzzzz" + t for t in twins()] + list(twins())
+    e = tokens.ChunkEncoder(path, words)
+    wanted = [x.ids for x in e.tokenizer.encode_batch(rows, add_special_tokens=False)]
+    ids, sizes = e.encode(pa.array(rows))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted
+    found = {r.doc_id: r.ids_crc32 for r in packing.pack(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), path, 0, 1 << 20).collect()} if not words else {}
+    assert not words or found == {}
+    assert words or len(set(found.values())) >= 3
+
+
+def test_clashing_keys_are_noticed(monkeypatch):
+    """With a first hash of 4 bits the second one tells; a table that meets a clash starts anew with other keys."""
+    real, calls = common.span_hashes, []
+
+    def weak(data, starts, ends, key=common.KEY):
+        calls.append(key)
+        found = real(data, starts, ends, key)
+        return found & np.uint64(15) if len(calls) in (1, 5) else found
+
+    monkeypatch.setattr(common, "span_hashes", weak)
+    rows = ["one two three four five six seven eight nine ten " * 3, "eleven twelve thirteen one fourteen"]
+    e = tokens.ChunkEncoder(BYTE, False)
+    for text in rows:
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(set(calls)) > 2
+
+
 def test_word_hashes():
     rows = [t or "" for t in ODD] + ["a b  c", "A\tb\x0bc", "x" * 300_000 + " b"]
     hashes, sizes = common.hashed_words(pa.array(rows).slice(1))
     words = [w for t in rows[1:] for w in WORD.findall(t.translate(FOLD))]
     assert sizes.tolist() == [len(WORD.findall(t)) for t in rows[1:]] and len(hashes) == len(words)
     assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    for pair in (twins(), twins(32), [f"{'x' * 8 * k}{c}{'y' * 8 * m}" for c in "ab" for k in range(9) for m in range(9)]):
+        for key in (common.KEY, 1):
+            assert len(set(common.hashed_words(pa.array(list(pair)), key=key)[0].tolist())) == len(set(pair))
+    assert not set(common.hashed_words(pa.array(rows), key=5)[0].tolist()) & set(hashes.tolist())
+
+
+def test_texts_that_simple_hashes_confuse(spark):
+    rows = [(1, twins()[0]), (2, twins()[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(df).collect())) == [(1, 1, 1), (2, 1, 2)]
+    assert jaccard.one_of_each(df).count() == 2
+    held = next(i for i in range(100) if lm.part_of(i) == lm.HELD_OUT)
+    other = next(i for i in range(100) if lm.part_of(i) == lm.TRAIN)
+    df = spark.createDataFrame([(held, rows[0][1]), (other, rows[1][1])], "doc_id long, text string")
+    assert {r.doc_id: r.n_known for r in lm.score(df).collect()} == {held: 1, other: 2}
+
+
+def test_totals_of_more_than_32_bits():
+    keys = [np.array([1, 5], np.uint64), np.array([5], np.uint64), np.array([5, 9], np.uint64)]
+    counts = [common.pack(np.array(x, np.uint32)) for x in ([7, 1 << 31], [1 << 31], [1 << 31, 4])]
+    every, mains, types, n, n_main = lm._totals(keys, counts, [lm.TRAIN, lm.DELETED, lm.TRAIN])
+    assert [x.tolist() for x in every] == [[7, 3 << 31], [3 << 31], [3 << 31, 4]] and mains[1].tolist() == [1 << 32]
+    assert (types, n, n_main) == (3, 3 * (1 << 31) + 11, (1 << 32) + 11)
+    for x in every:
+        assert lm.unpacked(lm.packed(x)).tolist() == x.tolist()
 
 
 def test_records(odd, none, docs):
@@ -118,6 +180,13 @@ def test_packing(odd, none, docs):
         assert set(stream.values()) == {1} and set(stream) == set(range(len(stream)))
         wanted = Counter((i, len(x) + 1) for (i, _), x in zip(texts(df), Tokenizer.from_file(BYTE).encode_batch([t for _, t in texts(df)], add_special_tokens=False)))
         assert Counter((r.doc_id, r.doc_tokens) for r in found if r.start == 0) == wanted
+        whole = {i: [*x.ids, 0] for (i, t), x in zip(texts(df), Tokenizer.from_file(BYTE).encode_batch([t for _, t in texts(df)], add_special_tokens=False))} if df is docs else {}
+        ends = {}
+        for r in sorted(found, key=lambda r: (r.doc_id or 0, r.start)) if df is docs else ():
+            assert r.start == ends.get(r.doc_id, 0)
+            ends[r.doc_id] = r.start + r.length
+            assert r.ids_crc32 == zlib.crc32(np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        assert ends == {i: len(x) for i, x in whole.items()}
         assert sum(r.length for r in found) == sum(n * c for (_, n), c in wanted.items())
 
 
@@ -138,6 +207,34 @@ def test_language_model(odd, none, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # better than one-gram on unseen text
 
 
+def test_language_model_scores(docs):
+    """The score by definition, with weights learned on every single deleted token instead of a histogram."""
+    words = [(i, WORD.findall(t.translate(FOLD)) + [None]) for i, t in texts(docs)]
+    parts = {i: lm.part_of(i) for i, _ in words}
+
+    def counts(kinds):
+        one, two = Counter(), Counter()
+        for i, w in words:
+            if parts[i] in kinds:
+                one.update(w)
+                two.update(zip(["<s>", *w[:-1]], w))
+        return one, two, Counter({**one, "<s>": one[None]})
+
+    one, two, before = counts({lm.TRAIN})
+    n, types = sum(one.values()), len(counts({lm.TRAIN, lm.DELETED})[0])
+    rows = [{"b": int(lm.context_class(np.array([before[v]]))[0]), "n": 1, "s2": two[v, x] / max(1, before[v]), "s1": one[x] / n} for i, w in words if parts[i] == lm.DELETED for v, x in zip(["<s>", *w[:-1]], w)]
+    weights = lm.learn(rows, 1 / (types + 1))
+    one, two, before = counts({lm.TRAIN, lm.DELETED})
+    n = sum(one.values())
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for i, w in words:
+        total = 0.0
+        for v, x in zip(["<s>", *w[:-1]], w):
+            part = weights[int(lm.context_class(np.array([before[v]]))[0])]
+            total += math.log10(part[0] * two[v, x] / max(1, before[v]) + part[1] * one[x] / n + part[2] / (types + 1))
+        assert abs(got[i] - total) <= 0.01 * abs(total) + 0.01, (i, got[i], total)
+
+
 def test_language_model_weights_sum_to_one():
     weights = lm.learn([{"b": 1, "n": 5, "s2": 4.0, "s1": 0.5}, {"b": 2, "n": 50, "s2": 0.0, "s1": 10.0}], 0.01)
     assert np.allclose(weights.sum(axis=1), 1) and weights[1, 0] > weights[2, 0]
@@ -289,6 +386,14 @@ def test_media_features(odd, none):
         raw = rows[r.doc_id].encode()
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+    stored = {r.doc_id: bytes(r.media) for r in media.store(odd).collect()}
+    again = {r.doc_id: r for r in media.features(media.store(odd)).collect()}
+    assert all((r.media_bytes, r.media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest()) for i, r in again.items())
+    by = defaultdict(set)
+    for i, r in again.items():
+        by[rows[i]].add((r.media_sha256, r.feature))
+    assert all(len(x) == 1 for x in by.values()) and len({f for x in by.values() for _, f in x}) > 5
 
 
 def test_merge_replay(odd, none):
@@ -303,6 +408,10 @@ def test_merge_replay(odd, none):
     assert [merges.encode_alone(w.encode(), ranks) for w in ("hello", "zażółć")] == [encoding.encode_ordinary(w) for w in ("hello", "zażółć")]
     ids = merges.encode(odd, RANKS, public_tokenizers.PATTERN)
     back = {r.doc_id: bytes(r.text).decode() for r in merges.decode(ids, RANKS, public_tokenizers.PATTERN).collect()}
+    for r in merges.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect():
+        whole = encoding.encode_ordinary(dict(texts(odd))[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(whole), hashlib.sha256(np.array(whole, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(dict(texts(odd))[r.doc_id].encode()).hexdigest()
     assert back == dict(texts(odd)) and merges.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
@@ -470,6 +579,7 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     """Groups too large to be compared in full: turns, longer combinations and the last comparison."""
     monkeypatch.setattr(jaccard, "PAIRS", 0)
     monkeypatch.setattr(jaccard, "GROUP", 2)
+    monkeypatch.setattr(jaccard, "SALT", 7)
     rng = random.Random(9)
     first = [f"w{k}" for k in range(60)]
     rows = []
@@ -484,6 +594,9 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
 
 def test_jaccard_keeps_one_of_each(odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.one_of_each(none).count() == 0
+    nameless = [(None, ""), (None, ""), (None, None), (None, "a b c"), (None, "a b c"), (3, ""), (3, "")]
+    kept = jaccard.one_of_each(odd.sparkSession.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text or "") for r in kept) == {(None, ""): 3, (None, "a b c"): 1, (3, ""): 1}
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id >= 12").collect()) == [12, 14]
 
@@ -512,5 +625,25 @@ def test_pipeline(spark, sf_dir, docs):
     assert {i for i, *_ in direct} == {i for i, _ in rows}
 
 
+def test_pipeline_stages_on_odd_input(spark, sf_dir, odd, none):
+    """Null ids, empty and very long texts, repeated rows and clashing columns, and no rows, through every stage."""
+    clash = odd.withColumnRenamed("key", "own").withColumnRenamed("node", "part")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (clash, none):
+            out = stage(spark, df, sf_dir)
+            assert out.columns == df.columns and out.count() <= df.count(), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, clash, sf_dir)
+    assert pieces.where("start = 0").count() == clash.count() and corpus_pipeline.STAGES[-1][1](spark, none, sf_dir).count() == 0
+    bare = odd.select("doc_id", "text")
+    assert corpus_pipeline.secret_scan(spark, bare, sf_dir).columns == bare.columns
+
+
+def test_field_trains_on_one_text_of_each_id(spark):
+    rows = [(1, f"the password = hunter{k}abc and more") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = secrets.fit(df)
+    assert all(np.array_equal(getattr(one, c), getattr(secrets.fit(df.repartition(5)), c)) for c in ("shape", "file", "step"))
+
+
 def test_every_query_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k != "pipeline") == list(range(1, 14))

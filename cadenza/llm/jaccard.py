@@ -15,7 +15,7 @@ What meets in a key is first held against parity sketches of 512 bits, of 8,192
 as their sketches in bits, so nothing is lost), then verified on the whole sets.
 
 Frequencies are occurrences in ``2**CELL_BITS`` cells, counted over all texts.  A token is frequent where its cell
-holds more than twice the mean and 32 more, so less than half of the cells are frequent at any size, a rare
+holds more than twice the mean and 4 more, so less than half of the cells are frequent at any size, a rare
 token's key is bounded by that, and the table of one byte a cell is all that is broadcast.
 
 No group is expanded into all pairs.  Equal sets are one node.  A key's nodes are compared with one leader (a
@@ -127,7 +127,7 @@ def frequency_classes(docs: DataFrame, n: int, key: int = common.KEY) -> tuple[n
         counts[row["chunk"]] = common.unpack(row["counts"], np.int64)
     common.drop(*tables)
     classes = np.minimum(np.log2(counts.ravel() + 1), 31).astype(np.uint8)
-    return classes, int(np.ceil(np.log2(2 * counts.mean() + 32)))
+    return classes, int(np.ceil(np.log2(2 * counts.mean() + 4)))
 
 
 def prefix_keys(tokens: np.ndarray, percent: int, frequent: int, run: int) -> np.ndarray:

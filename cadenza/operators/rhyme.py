@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,59 +61,97 @@ def internal(lines: DataFrame, key: str, n: int = 2, longest: int | None = None)
     return lines.where(F.length("skel") >= 2 * n).select(key, "ordinal", "skel").mapInArrow(run, schema)
 
 
-def peel(skeletons: list[str], least: int = 2) -> list[tuple[int, str] | None]:
-    """Longest-first assignment of one song: from the longest suffix down, lines still free that share it are a group."""
-    out: list[tuple[int, str] | None] = [None] * len(skeletons)
-    free = set(range(len(skeletons)))
-    for n in range(max(map(len, skeletons), default=0), least - 1, -1):
-        by: dict[str, list[int]] = {}
-        for k in free:
-            if len(skeletons[k]) >= n:
-                by.setdefault(skeletons[k][-n:], []).append(k)
-        for suffix, members in by.items():
-            if len(members) >= 2:
-                free.difference_update(members)
-                for k in members:
-                    out[k] = (n, suffix)
-    return out
+def shared_start(a: str, b: str) -> int:
+    """How many first letters two words share."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
 
 
-def assigned(lines: DataFrame, key: str, least: int = 2, widest: int = 20_000) -> DataFrame:
-    """key, ordinal, match_length, suffix of the lines that the longest-first assignment groups.
+class Peel:
+    """Longest-first groups of skeletons that come reversed and sorted.
+
+    The stack holds the endings that the last skeleton shares with those before it.  An ending is closed when a
+    skeleton without it comes; of those under it that no longer ending has grouped, two or more are its group, and one
+    is left to the ending below.  So an open ending holds one skeleton at most, and memory is one stack.
+    """
 
-    Songs of up to ``widest`` lines are peeled in one task each, many songs a task; longer ones by one pass over
-    all of them together for each length, so that no song has to fit in a task.
+    def __init__(self, least: int):
+        self.least, self.stack, self.last, self.out = least, [], None, []
+
+    def _add(self, node: list, item: tuple | None) -> None:
+        """``node``: length, the one free skeleton, whether the group is open."""
+        if item is None or node[0] < self.least:
+            return
+        if node[2]:
+            self.out.append((*item[:2], node[0], item[2][: node[0]][::-1]))
+        elif node[1] is None:
+            node[1] = item
+        else:
+            first, node[1], node[2] = node[1], None, True
+            self._add(node, first)
+            self._add(node, item)
+
+    def close(self, length: int = 0) -> None:
+        while self.stack and self.stack[-1][0] > length:
+            node = self.stack.pop()
+            if not self.stack or self.stack[-1][0] < length:
+                self.stack.append([length, None, False])
+            self._add(self.stack[-1], node[1])
+
+    def line(self, key: object, ordinal: int, reversed_: str) -> None:
+        if self.last is None or self.last[0] != key:
+            self.close()
+            self.stack = []
+            length = -1
+        else:
+            length = shared_start(self.last[1], reversed_)
+            self.close(length)
+        self.last = (key, reversed_)
+        if length == len(reversed_):
+            self._add(self.stack[-1], (key, ordinal, reversed_))
+        else:
+            self.stack.append([len(reversed_), (key, ordinal, reversed_), False])
+
+
+def assigned(lines: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """key, ordinal, match_length, suffix of the lines that the longest-first assignment groups: from the longest ending
+    down, lines still free that share it are a group.
+
+    Lines that share their last ``least`` letters come to one task sorted by their reversed skeletons and stream
+    through it; what it holds is bounded by the longest skeleton, not by the song.
     """
-    sized = lines.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        found = peel(pdf["skel"].tolist(), least)
-        hit = [(o, *f) for o, f in zip(pdf["ordinal"].tolist(), found) if f]
-        out = pd.DataFrame(hit, columns=["ordinal", "match_length", "suffix"])
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
-
-    schema = f"{key} {lines.schema[key].dataType.simpleString()}, ordinal int, match_length int, suffix string"
-    small = sized.where(F.col("_n") <= widest).select(key, F.col("ordinal").cast("int").alias("ordinal"), "skel")
-    out = small.groupBy(key).applyInPandas(run, schema)
-    large = sized.where(F.col("_n") > widest)
-    return out if large.isEmpty() else out.unionByName(assigned_by_passes(large.drop("_n"), key, least))
-
-
-def assigned_by_passes(lines: DataFrame, key: str, least: int = 2) -> DataFrame:
-    """``assigned`` for songs of any size: one grouping of all free lines for each suffix length, from the longest."""
-    free = lines.select(key, F.col("ordinal").cast("int").alias("ordinal"), "skel")
-    longest = free.agg(F.max(F.length("skel"))).first()[0] or 0
-    out = None
-    for n in range(longest, least - 1, -1):
-        w = Window.partitionBy(key, "_s")
-        step = free.withColumn("_s", F.when(F.length("skel") >= n, F.right("skel", F.lit(n))))
-        step = step.withColumn("_c", F.when(F.col("_s").isNotNull(), F.count("*").over(w)).otherwise(0)).checkpoint()
-        got = step.where("_c >= 2").select(key, "ordinal", F.lit(n).alias("match_length"), F.col("_s").alias("suffix"))
-        out = got if out is None else out.unionAll(got)
-        free = step.where("_c < 2").select(key, "ordinal", "skel")
-    return out if out is not None else free.select(key, "ordinal", F.lit(0).alias("match_length"), F.lit("").alias("suffix")).limit(0)
+    kind = lines.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, ordinal int, match_length int, suffix string"
+    rows = lines.where(F.length("skel") >= least).select(key, F.col("ordinal").cast("int").alias("ordinal"), F.reverse("skel").alias("_r"))
+    dealt = rows.repartition(key, F.left("_r", F.lit(least))).sortWithinPartitions(key, "_r")
+
+    def run(batches):
+        import pyarrow as pa
+
+        peel, names = Peel(least), [key, "ordinal", "match_length", "suffix"]
+        kinds: list = [None, pa.int32(), pa.int32(), pa.string()]
+
+        def sent() -> pa.RecordBatch:
+            columns = list(zip(*peel.out)) if peel.out else [[]] * 4
+            peel.out = []
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+        for batch in batches:
+            kinds[0] = batch.schema.field(0).type
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                peel.line(*row)
+                if len(peel.out) >= 4096:
+                    yield sent()
+        peel.close()
+        if peel.out:
+            yield sent()
+
+    return dealt.mapInArrow(run, schema)
 
 
 def factor(lines: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -165,5 +201,3 @@ def profile(lines: DataFrame, found: DataFrame, key: str, long_: int = 3) -> Dat
 def suffix_words(forms: DataFrame, target: str, word: str = "token", n: int = 2) -> DataFrame:
     """Words whose skeleton ends as the target column does: an equi-join on the last n letters."""
     return forms.withColumn("rhyme", F.right("skel", F.lit(n))).where(F.length("skel") >= n)
-
-

@@ -204,11 +204,15 @@ def unsteps(raw: bytes, dtype: type = np.uint64) -> np.ndarray:
 
 
 def row_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 2_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of at most ``max_bytes`` bytes (or one text) each, so that work arrays stay small."""
+    """(ids, texts) of at most ``max_bytes`` bytes (or one text) each, so that work arrays stay small.
+
+    What a task's batches took goes back to the system at its end: workers outlive tasks.
+    """
     for batch in batches:
         _, offsets = string_bytes(batch.column(1))
         for i, j in text_blocks(offsets, max_bytes):
             yield batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
+    pa.default_memory_pool().release_unused()
 
 
 def arrow_of(schema: str) -> pa.Schema:

@@ -5,19 +5,40 @@ Each stage takes what its predecessor kept, written as Parquet and read again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import common, jaccard, ngrams, packing, secrets
 
+#: Rows of an Arrow batch: texts of some kilobytes make batches of some megabytes, in executors and in workers.
+BATCH_ROWS = 1000
+
+
+def bounded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose batches have at most ``BATCH_ROWS`` rows, in what it runs itself and in what it returns."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@bounded
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or whose text is unlike trusted text go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return ngrams.passing(docs, ngrams.fit(docs, ngrams.trusted_ids(labels, "quality")))
 
 
+@bounded
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling; documents that are not drawn go.
 
@@ -30,11 +51,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return ngrams.resampled(docs, ngrams.fit(raw, trusted), effective=200.0)
 
 
+@bounded
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return jaccard.one_of_each(docs, n=5, percent=80)
 
 
+@bounded
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars, where there is one, follows the text."""
     clean = secrets.redact(docs, secrets.fit(docs))
@@ -43,6 +66,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
+@bounded
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024)

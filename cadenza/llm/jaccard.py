@@ -47,7 +47,7 @@ from . import common
 CELL_BITS, CHUNK_BITS, FAN_IN = 22, 16, 256
 CLASS_SHIFT = 59  # a token is its class above 59 bits of its hash
 SKETCH, LONG, LONG_SKETCH = 8, 2000, 128  # words of 64 bits; sets of LONG tokens have a second, larger sketch
-GROUP, PAIRS, TURNS, LONGER, SALT = 16, 1024, 6, (4, 8), 1024
+GROUP, PAIRS, TURNS, LONGER, SALT, FIRST = 16, 1024, 6, (4, 8), 1024, 8
 FILTER_BITS = 28
 _NODE = "n int, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", more array<long>"
 
@@ -369,14 +369,16 @@ class _Search:
     def all_pairs(self, keys: DataFrame) -> DataFrame:
         """The nodes of one key that are in different components and whose sketches allow it.
 
-        A key of more than ``SALT`` nodes is dealt in blocks: each of its nodes meets the others block by block.
+        A key of more than ``SALT`` nodes is dealt in blocks: each of its nodes meets the others block by block.  A
+        pair that is sure to meet in a lower key too, one of the ``FIRST`` lowest of both nodes, is left to that one.
         """
-        each = keys.select("key", "node", "label", F.ceil(F.col("nodes") / SALT).cast("int").alias("blocks"))
+        first = keys.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
+        each = keys.select("key", "node", "label", F.ceil(F.col("nodes") / SALT).cast("int").alias("blocks")).join(first, "node")
         dealt = each.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        left = dealt.select("key", "block", "node", F.col("label").alias("l")).join(_side(self.nodes, "x", "node"), "node").withColumnRenamed("node", "x")
-        right = each.withColumnRenamed("label", "m").join(_side(self.nodes, "y", "node"), "node").withColumnRenamed("node", "y")
+        left = dealt.select("key", "block", "node", F.col("label").alias("l"), F.col("first").alias("p")).join(_side(self.nodes, "x", "node"), "node").withColumnRenamed("node", "x")
+        right = each.withColumnRenamed("label", "m").withColumnRenamed("first", "q").join(_side(self.nodes, "y", "node"), "node").withColumnRenamed("node", "y")
         right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        met = _ordered(left.join(right, ["key", "block"]).where((F.col("l") < F.col("m")) & _able("x", "y", self.percent)).select("x", "y"))
+        met = _ordered(left.join(right, ["key", "block"]).where((F.col("l") < F.col("m")) & _able("x", "y", self.percent) & ~F.exists(F.array_intersect("p", "q"), lambda k: k < F.col("key"))).select("x", "y"))
         return _of_long(met, self.nodes, self.percent)
 
     def drawn(self, keys: DataFrame, turn: int) -> DataFrame:

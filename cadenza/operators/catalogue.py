@@ -12,16 +12,17 @@ from . import corpus as C
 def collabs(songs: DataFrame, category: str, featured: str, artist: Column | None = None, primary: str | None = None) -> DataFrame:
     """Songs with ``collab_type`` whose category names duo, trio or featured in any case, or with featured artists.
 
-    With ``artist`` only songs whose primary artist it is or among whose featured artists it stands.  A null list of
-    featured artists is none; an empty one counts as given.
+    With ``artist`` only songs whose primary artist it is or in the name of one of whose featured artists it stands, be
+    its ASCII letters large or small.  A null list of featured artists is none; an empty one counts as given.
     """
+    low = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     named = F.lit(False)
     for w in ("duo", "trio", "featured"):
         named = named | F.coalesce(F.col(category).ilike(f"%{w}%"), F.lit(False))
     out = songs.where(named | F.col(featured).isNotNull()).withColumn("collab_type", T.collab_type(F.col(category), F.col(featured)))
     if artist is None:
         return out
-    return out.where(F.coalesce((F.col(primary) == artist) if primary else F.lit(False), F.lit(False)) | F.coalesce(F.exists(featured, lambda x: F.contains(x, artist)), F.lit(False)))
+    return out.where(F.coalesce((F.col(primary) == artist) if primary else F.lit(False), F.lit(False)) | F.coalesce(F.exists(featured, lambda x: F.contains(low(x), low(artist))), F.lit(False)))
 
 
 def attribution(sections: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:

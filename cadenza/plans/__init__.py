@@ -1,6 +1,6 @@
 """The library's queries over the standard tables."""
 
-from . import catalogue, checks, lexical, library, rhymes, suggestions, tracks
+from . import catalogue, checks, collabs, fingerprints, lexical, library, rhymes, suggestions, tracks
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalogue", "checks", "lexical", "library", "rhymes", "suggestions", "tracks"]
+__all__ = ["QUERIES", "SQL", "catalogue", "checks", "collabs", "fingerprints", "lexical", "library", "rhymes", "suggestions", "tracks"]

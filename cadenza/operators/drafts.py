@@ -155,3 +155,56 @@ def entities(tags: DataFrame, key: list[str], position: str, token: str, tag: st
     starts = kind.isNotNull() & (F.col(tag).startswith("B-") | before.isNull() | (before != kind) | (F.lag(tag).over(w) == "O"))
     marked = tags.withColumn("_k", kind).withColumn("_n", F.sum(starts.cast("int")).over(w)).where(F.col("_k").isNotNull())
     return marked.groupBy(*key, "_n", "_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(position, token))), lambda s: s[token]), " ").alias("text")).select(*key, F.col("_k").alias("type"), "text")
+
+
+def section_schemes(lines: DataFrame, keys: list[str], expected: str | None = None) -> DataFrame:
+    """keys, line_count, detected (letters of the scheme), match_pct, broken (places from 0), rhyme_factor of each section.
+
+    ``lines``: keys, ordinal (from 1 in its section), line, skel.  A scheme without rhymes is ``free`` and matches no
+    letter; lines beyond ``expected`` have no letter and are broken.
+    """
+    from . import rhyme as R
+    from . import suggest as S
+
+    key = "_section"
+    named = lines.withColumn(key, F.struct(*keys))
+    found = S.matched(named, key).drop("first")
+    codes = R.scheme(named, found, key)
+    factors = R.factor(named, R.assigned(named, key), key)
+    out = codes.join(factors, key)
+    n = F.size("scheme")
+    rows = out.select(key, n.alias("line_count"), F.col("letters").alias("detected"), "rhyme_factor", "scheme")
+    wanted = F.array(*(F.lit(ord(c) - ord("A") + 1) for c in (expected or "").upper())).cast("array<int>")
+    free = F.col("detected") == "free"
+    wrong = F.filter(F.transform("scheme", lambda c, k: F.when(free | ~F.coalesce(F.get(wanted, k) == c, F.lit(False)), k)), lambda k: k.isNotNull())
+    broken = wrong if expected else F.array().cast("array<int>")
+    return rows.withColumn("broken", broken).select(*(F.col(f"{key}.{k}").alias(k) for k in keys), "line_count", "detected", F.round(100 * (1 - F.size("broken") / F.col("line_count")), 1).alias("match_pct"), "broken", "rhyme_factor")
+
+
+def scheme_fixes(lines: DataFrame, checked: DataFrame, keys: list[str], expected: str, most: int = 10) -> DataFrame:
+    """keys, line (place from 0), word, expected_letter, partner_skeleton, candidates for every broken line of the sections
+    that have as many lines as ``expected``.
+
+    A candidate's skeleton ends as that of the first other line of the same letter: words of that line first, then
+    those of the section, but for the line's own last word.  Such a section is a row of ``len(expected)`` lines.
+    """
+    n = len(expected)
+    partner = [next((j for j in range(n) if j != i and expected[j] == expected[i]), None) for i in range(n)]
+    right = checked.where(F.col("line_count") == n).select(*keys, "broken")
+    rows = lines.join(right, keys).groupBy(*keys).agg(F.first("broken").alias("_broken"), F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "line", "skel"))), lambda s: F.struct(s["line"].alias("line"), s["skel"].alias("skel"))).alias("_ls"))
+    letters = lambda line: F.regexp_extract_all(line, F.lit("[a-zA-Z]+"), 0)
+    with_skel = lambda line: F.transform(letters(line), lambda w: F.struct(w.alias("w"), T.skeleton(w).alias("s")))
+    every = F.filter(F.flatten(F.transform("_ls", lambda x: with_skel(x["line"]))), lambda x: F.length(x["s"]) >= 2)
+    rows = rows.withColumn("_all", every).withColumn("_skels", F.transform("_all", lambda x: x["s"]))
+    # Words come by their skeletons in the order in which these first occur.
+    ordered = F.sort_array(F.transform("_all", lambda x, k: F.struct(F.array_position(F.col("_skels"), x["s"]).alias("a"), k.alias("k"), x["w"].alias("w"), x["s"].alias("s"))))
+    rows = rows.withColumn("_all", ordered).withColumn("_at", F.explode("_broken"))
+    to = F.get(F.array(*(F.lit(p).cast("int") for p in partner)), F.col("_at"))
+    own, other = F.get("_ls", F.col("_at"))["line"], F.get("_ls", to)
+    rows = rows.withColumn("word", F.coalesce(F.try_element_at(letters(own), F.lit(-1)), F.lit(""))).withColumn("partner_skeleton", F.when(to.isNotNull(), F.right(other["skel"], F.lit(2)))).withColumn("_line", F.coalesce(other["line"], F.lit("")))
+    ends = lambda s: F.endswith(s, F.col("partner_skeleton"))
+    near = F.transform(F.filter(with_skel(F.col("_line")), lambda x: ends(x["s"])), lambda x: x["w"])
+    far = F.transform(F.filter("_all", lambda x: ends(x["s"]) & (x["w"] != F.col("word"))), lambda x: x["w"])
+    none = F.array().cast("array<string>")
+    found = F.when(F.length("partner_skeleton") >= 2, F.slice(F.array_distinct(F.concat(near, far)), 1, most)).otherwise(none)
+    return rows.select(*keys, F.col("_at").alias("line"), "word", F.get(F.array(*map(F.lit, expected)), F.col("_at")).alias("expected_letter"), "partner_skeleton", found.alias("candidates"))

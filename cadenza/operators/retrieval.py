@@ -28,9 +28,21 @@ def tfidf(terms: DataFrame, key: str, features: int) -> DataFrame:
     return w.select(key, "term", (F.col("weight") / norm).alias("weight"))
 
 
-def similar(drafts: DataFrame, corpus: DataFrame, draft: str, key: str, k: int = 5) -> DataFrame:
-    """The k documents of largest cosine with each draft: a join on shared terms, not all pairs."""
-    dot = drafts.select(draft, "term", F.col("weight").alias("_a")).join(corpus.select(key, "term", F.col("weight").alias("_b")), "term")
+#: Rows of drafts' weights (some 40 bytes each) that may be sent to every task.
+SENT = 1_000_000
+
+
+def similar(drafts: DataFrame, corpus: DataFrame, draft: str, key: str, k: int = 5, draft_terms: int | None = None) -> DataFrame:
+    """The k documents of largest cosine with each draft: a join on shared terms, not all pairs.
+
+    ``draft_terms``: how many rows ``drafts`` has at most.  Up to ``SENT`` of them go to every task, so that the corpus'
+    weights stay where they are, a document's products are added in place and a task sends its k best; else both sides
+    are shuffled by term.
+    """
+    mine = drafts.select(draft, "term", F.col("weight").alias("_a"))
+    if draft_terms is not None and draft_terms <= SENT:
+        mine = F.broadcast(mine)
+    dot = corpus.select(key, "term", F.col("weight").alias("_b")).join(mine, "term")
     scored = dot.groupBy(draft, key).agg(F.round(F.sum(F.col("_a") * F.col("_b")), 6).alias("cosine"))
     w = Window.partitionBy(draft).orderBy(F.desc("cosine"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -46,3 +58,24 @@ def topics(df: DataFrame, key: str, vector: str, k: int, seed: int = 42, least:
     found = model.transform(rows).select(key, F.col("prediction").alias("topic"))
     size = F.count("*").over(Window.partitionBy("topic"))
     return found.select(key, F.when(size < least, -1).otherwise(F.col("topic")).alias("topic"))
+
+
+# Which sections' lines show a song best.
+SHOWN = {"refren": 0, "strofa": 1, "hook": 2}
+
+
+def excerpts(lines: DataFrame, song: str, n: int = 4) -> DataFrame:
+    """song, excerpt: the first ``n`` lines of a song's refrain, else verse, else hook, else another section; of several the
+    one of most lines, then the first.  ``lines``: song, section, kind, ordinal, line."""
+    place = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SHOWN.items() for x in kv)), F.col("kind")), F.lit(3))
+    sections = lines.groupBy(song, "section", "kind").agg(F.count("*").alias("_n"), F.min("ordinal").alias("_first"))
+    best = sections.groupBy(song).agg(F.min(F.struct(place.alias("p"), (-F.col("_n")).alias("n"), "section", "_first")).alias("_b")).select(song, "_b.section", "_b._first")
+    shown = lines.join(best, [song, "section"]).where(F.col("ordinal") < F.col("_first") + n)  # n lines a song at most
+    return shown.groupBy(song).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "line"))), lambda s: s["line"]), "\n").alias("excerpt"))
+
+
+def few_shot(found: DataFrame, artist: str, title: str, excerpt: str = "excerpt", rank: str = "rank") -> DataFrame:
+    """``found`` with ``few_shot_block``, an example for a prompt."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    parts = (F.lit("--- Example "), text(rank), F.lit(" ---\nArtist: "), text(artist), F.lit("\nTitle: "), text(title), F.lit("\nExcerpt:\n"), text(excerpt), F.lit("\n--- End Example "), text(rank), F.lit(" ---"))
+    return found.withColumn("few_shot_block", F.concat(*parts))

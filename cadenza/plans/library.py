@@ -63,7 +63,7 @@ query("m1_similar_documents", f"WITH c AS (SELECT item_id AS k, text FROM benchm
 def _similar(t):
     both = t.benchmark.select(F.col("item_id").alias("k"), "text").unionAll(t.documents.select(-F.col("doc_id") - 1, "text"))
     v = M.tfidf(M.ngrams(both, "k", "text"), "k", 5000)
-    return M.similar(v.where("k >= 0").withColumnRenamed("k", "item_id"), v.where("k < 0").withColumn("doc_id", -F.col("k") - 1).drop("k"), "item_id", "doc_id")
+    return M.similar(v.where("k >= 0").withColumnRenamed("k", "item_id"), v.where("k < 0").withColumn("doc_id", -F.col("k") - 1).drop("k"), "item_id", "doc_id", draft_terms=M.ngrams(t.benchmark, "item_id", "text").count())
 
 
 query("a13_pages")(lambda t: readers.pages(t.pages))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
+from ..operators import drafts as D
 from ..operators import rhyme as R
 from ..operators import suggest as S
 from .lexical import _FOLD, _LEX, _NORM, _SKEL, _labelled, LINES, ROLES, doc_tokens, lexicon
@@ -174,3 +175,27 @@ def draft_report(t):
     from .lexical import doc_lines
 
     return S.draft_metrics(skeletons(t), "conv_id").drop("rhyme_factor").crossJoin(F.broadcast(doc_lines(t).where("lang = 'en'").agg(F.round(F.avg("word_count"), 2).alias("avg_words_per_line"))))  # one row
+
+
+# ---- schemes of sections ----
+
+_SECTION_LINES = f"""ln AS (SELECT conv_id, section, kind, CAST(row_number() OVER (PARTITION BY conv_id, section ORDER BY line_no) AS INTEGER) AS ordinal, line, {_SKEL.format(_NORM.format('line'))} AS skel FROM dl),
+sgr AS (SELECT *, row_number() OVER (PARTITION BY conv_id, section ORDER BY first) AS g FROM (SELECT conv_id, section, right(skel, 2) AS suffix, min(ordinal) AS first FROM ln WHERE length(skel) >= 2 GROUP BY ALL HAVING count(*) >= 2)),
+scd AS (SELECT ln.*, sgr.g, max(sgr.g) OVER (PARTITION BY ln.conv_id, ln.section) AS top FROM ln LEFT JOIN sgr ON sgr.conv_id = ln.conv_id AND sgr.section = ln.section AND length(skel) >= 2 AND sgr.suffix = right(skel, 2)),
+sc AS (SELECT *, coalesce(g, coalesce(top, 0) + row_number() OVER (PARTITION BY conv_id, section, g IS NULL ORDER BY ordinal)) AS code FROM scd),
+ck AS (SELECT conv_id, section, CAST(count(*) AS INTEGER) AS line_count, CASE WHEN any_value(top) IS NULL THEN 'free' ELSE string_agg(CASE WHEN code <= 26 THEN chr(CAST(64 + code AS INTEGER)) ELSE '?' END, '' ORDER BY ordinal) END AS detected, coalesce(string_agg(ordinal - 1, ',' ORDER BY ordinal) FILTER (top IS NULL OR ordinal > 4 OR code <> [1, 1, 2, 2][ordinal]), '') AS broken, round(100 * (1 - count(*) FILTER (top IS NULL OR ordinal > 4 OR code <> [1, 1, 2, 2][ordinal]) / count(*)), 1) AS match_pct FROM sc GROUP BY conv_id, section)"""
+
+
+def section_lines(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id", "section").orderBy("line_no")
+    return skeletons(t).withColumn("ordinal", F.row_number().over(w)).select("conv_id", "section", "ordinal", "line", "skel")
+
+
+def _checked(t):
+    return D.section_schemes(section_lines(t), ["conv_id", "section"], "AABB")
+
+
+query("r8_section_schemes", f"WITH {DRAFTS}, {_SECTION_LINES} SELECT * FROM ck")(lambda t: _checked(t).drop("rhyme_factor").withColumn("broken", F.array_join("broken", ",")))
+query("r9_fix_candidates", rf"WITH {DRAFTS}, {_SECTION_LINES}, br AS (SELECT ln.*, [2, 1, 4, 3][ordinal] AS partner FROM ln JOIN ck USING (conv_id, section) WHERE line_count = 4 AND list_contains(string_split(broken, ','), CAST(ordinal - 1 AS VARCHAR))), lw AS (SELECT conv_id, section, ordinal, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM (SELECT *, regexp_extract_all(line, '[a-zA-Z]+') AS ws FROM ln)), lk AS (SELECT *, {_SKEL.format('lower(w)')} AS s FROM lw), fs AS (SELECT *, min(ordinal * 100000 + p) OVER (PARTITION BY conv_id, section, s) AS firsts FROM lk WHERE length(s) >= 2), pw AS (SELECT br.conv_id, br.section, br.ordinal, coalesce(regexp_extract_all(br.line, '[a-zA-Z]+')[-1], '') AS word, right(o.skel, 2) AS ps, br.partner FROM br JOIN ln o ON o.conv_id = br.conv_id AND o.section = br.section AND o.ordinal = br.partner), cn AS (SELECT pw.conv_id, pw.section, pw.ordinal, lk.w, lk.p AS o FROM pw JOIN lk ON lk.conv_id = pw.conv_id AND lk.section = pw.section AND lk.ordinal = pw.partner WHERE length(ps) >= 2 AND right(s, 2) = ps UNION ALL SELECT pw.conv_id, pw.section, pw.ordinal, fs.w, 1000000 + fs.firsts * 1000000 + fs.ordinal * 100000 + fs.p FROM pw JOIN fs ON fs.conv_id = pw.conv_id AND fs.section = pw.section WHERE length(ps) >= 2 AND right(s, 2) = ps AND fs.w <> pw.word), c1 AS (SELECT conv_id, section, ordinal, w, min(o) AS o FROM cn GROUP BY ALL), c2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, section, ordinal ORDER BY o) AS r FROM c1) SELECT pw.conv_id, pw.section, CAST(pw.ordinal - 1 AS INTEGER) AS line, word, ['A', 'A', 'B', 'B'][pw.ordinal] AS expected_letter, ps AS partner_skeleton, coalesce(string_agg(w, ',' ORDER BY r) FILTER (r <= 10), '') AS candidates FROM pw LEFT JOIN c2 ON c2.conv_id = pw.conv_id AND c2.section = pw.section AND c2.ordinal = pw.ordinal GROUP BY ALL")(lambda t: D.scheme_fixes(section_lines(t), _checked(t), ["conv_id", "section"], "AABB").withColumn("candidates", F.array_join("candidates", ",")))

@@ -24,6 +24,13 @@ def tokens(lines_df: DataFrame, keep: list[str], line_col: str = "line_norm") ->
     return lines_df.select(*keep, F.posexplode(T.words(F.col(line_col))).alias("_at", "token")).select(*keep, (F.col("_at") + 1).alias("position"), "token")
 
 
+def composed(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with the text's marks composed (NFC): only rows that have marks apart from their letters leave the JVM."""
+    apart = F.coalesce(F.col(text_col).rlike(r"\p{M}"), F.lit(False))
+    marked = df.where(apart).withColumn(text_col, T.nfc()(F.col(text_col)))
+    return df.where(~apart).unionByName(marked)
+
+
 def dedup(df: DataFrame, keys: list[Column], order: list[Column], path_col: str) -> DataFrame:
     """Every row with ``is_kept`` (first of its key) and ``duplicate_of`` (the first's path, null on the first)."""
     w = Window.partitionBy(*keys).orderBy(*order)

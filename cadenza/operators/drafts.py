@@ -21,9 +21,9 @@ def whitespace_issues(lines: DataFrame, doc: str, no: str, line: str) -> DataFra
 
 
 def phonetic_issues(lines: DataFrame, doc: str, no: str, line: str, phonetic: DataFrame) -> DataFrame:
-    """Words that a dictionary (spelling, word) knows, by themselves or folded; the dictionary is a small dimension."""
+    """Words that a dictionary (spelling, word) knows, by themselves or folded."""
     words = lines.select(doc, no, F.explode(T.words(F.col(line))).alias("_w"))
-    by = lambda c: words.join(F.broadcast(phonetic), c == F.col("spelling"))
+    by = lambda c: words.join(phonetic, c == F.col("spelling"))
     raw = by(F.col("_w"))
     folded = by(T.ascii_fold(F.col("_w"))).join(raw.select(doc, no, "_w").distinct(), [doc, no, "_w"], "left_anti")
     return raw.unionByName(folded).select(*issue(doc, F.col(no), "phonetic", "medium", F.col("_w"), F.col("word"), False))
@@ -117,7 +117,7 @@ def injected(lines: DataFrame, doc: str, slang: DataFrame, density: float) -> Da
     lookup = best.agg(table.alias("_m"))  # one row
     parts = F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), 0)
     each = lines.select(doc, "ordinal", F.posexplode(parts).alias("_at", "_p")).withColumn("_word", F.col("_p").rlike(r"[\p{L}\p{N}_]"))
-    has = each.join(F.broadcast(slang.select("form").distinct()), F.lower("_p") == F.col("form"), "left") if slang is not None else each
+    has = each.join(slang.select("form").distinct(), F.lower("_p") == F.col("form"), "left")
     n = F.length("_p")
     pick = F.coalesce(F.try_element_at("_m", n), F.try_element_at("_m", n - 1), F.try_element_at("_m", n + 1))
     w = Window.partitionBy(doc)

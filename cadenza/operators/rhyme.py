@@ -198,6 +198,6 @@ def profile(lines: DataFrame, found: DataFrame, key: str, long_: int = 3) -> Dat
     return whole.join(hits, key, "left").select(key, F.coalesce("end_rows", F.lit(0)).alias("end_rows"), F.coalesce("pct_multis", F.lit(0.0)).alias("pct_multis"), "internal_rate", share.alias("rhyme_factor"))
 
 
-def suffix_words(forms: DataFrame, target: str, word: str = "token", n: int = 2) -> DataFrame:
-    """Words whose skeleton ends as the target column does: an equi-join on the last n letters."""
-    return forms.withColumn("rhyme", F.right("skel", F.lit(n))).where(F.length("skel") >= n)
+def suffix_words(forms: DataFrame, skel: str = "skel", n: int = 2) -> DataFrame:
+    """Words with ``rhyme``, the last n letters of their skeletons; shorter skeletons rhyme with nothing."""
+    return forms.withColumn("rhyme", F.right(skel, F.lit(n))).where(F.length(skel) >= n)

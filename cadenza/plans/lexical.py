@@ -38,6 +38,7 @@ def doc_tokens(t):
 # ---- scalars ----
 
 query("b1_normalize_text", f"SELECT doc_id, {_NORM.format('text')} AS text_norm FROM documents")(lambda t: t.documents.select("doc_id", T.normalize(F.col("text")).alias("text_norm")))
+query("b1_composed_text", f"SELECT doc_id, {_NORM.format('nfc_normalize(text)')} AS text_norm FROM (SELECT doc_id, replace(text, 'é', 'e' || chr(769)) AS text FROM documents)")(lambda t: C.composed(t.documents.select("doc_id", F.replace("text", F.lit("é"), F.lit("e\u0301")).alias("text")), "text").select("doc_id", T.normalize(F.col("text")).alias("text_norm")))
 query("b2_to_latin", "SELECT doc_id, trim(replace(text, chr(13) || chr(10), chr(10))) AS text_latin FROM documents")(lambda t: t.documents.select("doc_id", T.clean_lyrics(F.col("text")).alias("text_latin")))
 query("b3_script", "SELECT doc_id, CASE WHEN regexp_matches(text, '[А-Яа-яЁё]') THEN 'cyrillic' ELSE 'latin' END AS script FROM documents")(lambda t: t.documents.select("doc_id", T.script(F.col("text")).alias("script")))
 query("b4_words", f"SELECT doc_id, CAST(len({_WORDS.format('lower(text)')}) AS INTEGER) AS n_words, CAST(len(regexp_extract_all(lower(text), '[a-zA-ZÀ-ÿ]+')) AS INTEGER) AS n_latin FROM documents")(lambda t: t.documents.select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"), F.size(T.latin_words(F.col("text"))).alias("n_latin")))

@@ -26,10 +26,16 @@ def corpus_text(df: DataFrame, artist: str, title: str, lyrics: str, path: str)
     df.select(F.concat(F.lit("# "), F.concat_ws(" - ", artist, title), F.lit("\n"), F.coalesce(F.col(lyrics), F.lit("")), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
-def songs(df: DataFrame, artist: str, title: str, root: str) -> None:
-    """One folder per song, named by artist and title, with its row as JSON."""
+def songs(df: DataFrame, artist: str, title: str, lyrics: str, root: str, files: int = 64) -> None:
+    """``<root>/json`` and ``<root>/text``: every song's row as JSON, and its text, under its name of artist and title.
+
+    Both are at most ``files`` files in order of the names, however many songs there are; a name is found by its range.
+    """
     named = df.withColumn("slug", F.concat_ws("-", T.slug(F.col(artist)), T.slug(F.col(title))))
-    named.write.mode("overwrite").partitionBy("slug").json(root)
+    dealt = named.repartitionByRange(files, "slug").sortWithinPartitions("slug")
+    dealt.write.mode("overwrite").json(f"{root}/json")
+    text = F.concat(F.lit("# "), F.concat_ws(" - ", artist, title), F.lit("\n"), F.coalesce(F.col(lyrics), F.lit("")), F.lit("\n"))
+    dealt.select("slug", text.alias("text")).write.mode("overwrite").parquet(f"{root}/text")
 
 
 def liked(df: DataFrame) -> DataFrame:

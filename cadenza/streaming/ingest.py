@@ -42,4 +42,4 @@ def counters(stream: DataFrame, by: str) -> DataFrame:
 
 def annotate_new(stream: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows of a stream whose key an already written table has not."""
-    return stream.join(known.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_outer").where(F.col("_k").isNull()).drop("_k")
+    return stream.join(known.select(key).distinct(), key, "left_anti")

@@ -191,12 +191,39 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "md")).collect()) == ["| A | x y |", "| B |  |"]
     writers.catalogue(df, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == df.columns
-    writers.songs(df.where("title is not null"), "artist", "title", str(tmp_path / "songs"))
-    assert (tmp_path / "songs" / "slug=a-x-y").is_dir()
+    many = spark.createDataFrame([("A", f"t {k}", f"la {k}") for k in range(300)], "artist string, title string, lyrics string")
+    writers.songs(many, "artist", "title", "lyrics", str(tmp_path / "songs"), files=4)
+    assert len(list((tmp_path / "songs" / "json").glob("part-*"))) <= 4
+    assert [r.lyrics for r in spark.read.json(str(tmp_path / "songs" / "json")).where("slug = 'a-t-7'").collect()] == ["la 7"]
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "songs" / "text")).where("slug = 'a-t-7'").collect()] == ["# A - t 7\nla 7\n"]
     writers.tables({"songs": df}, str(tmp_path / "db"))
     assert spark.read.parquet(str(tmp_path / "db/songs")).count() == 2
 
 
+def test_extracts_datasets_and_liked(spark):
+    rows = [("u/1?x", "a.json", "old"), ("u/1?x", "b.json", "new"), ("u/2", "a.json", "only")]
+    got = readers.last_extract(spark.createDataFrame(rows, "url string, file string, lyrics string"), "url", "file").collect()
+    assert sorted((r.clip_id, r.lyrics) for r in got) == [("1", "new"), ("2", "only")]
+    songs_ = spark.createDataFrame([([("A", "Љубав\r\nx "), ("B", None)],)], "songs array<struct<title:string,lyrics:string>>")
+    assert [(r.title, r.lyrics_latin) for r in readers.dataset(songs_).collect()] == [("A", "Ljubav\nx"), ("B", None)]
+    rows = [(1, "b", "Z", True, ("p", None), "rock"), (2, "b", "a", True, (None, "t"), "pop"), (3, None, "x", True, ("q", "r"), None), (4, "a", "x", False, ("q", "r"), None)]
+    df = spark.createDataFrame(rows, "id int, handle string, title string, is_liked boolean, metadata struct<prompt:string,tags:string>, display_tags string")
+    assert [(r.id, r.prompt, r.tags) for r in writers.liked(df).collect()] == [(3, "q", "r"), (2, None, "t"), (1, "p", "rock")]
+    assert column(spark, ["Ana Ivić: Pesma [id9].mp3", "x" * 80, ""], "string", T.safe_slug) == ["ana-ivic-pesma[id9].mp3", "x" * 50, ""]
+    assert column(spark, ["C:\\A\\b.WAV", None], "string", T.path_key) == ["c:/a/b.wav", None]
+    marks = spark.createDataFrame([(1, "cafe\u0301 s\u030c", 7), (2, "plain", 8), (3, None, 9)], "id int, text string, n int")
+    assert sorted(map(tuple, C.composed(marks, "text").collect())) == [(1, "café š", 7), (2, "plain", 8), (3, None, 9)]
+
+
+def test_annotate_only_new_rows(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "id int").write.parquet(str(tmp_path / "known"))
+    spark.createDataFrame([(k, "x") for k in range(1, 6)], "id int, text string").write.parquet(str(tmp_path / "in"))
+    stream = ingest.annotate_new(spark.readStream.schema("id int, text string").parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "known")), "id")
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [3, 4, 5]
+
+
 def test_streams(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     rows = pd.DataFrame({"id": range(20), "ts": pd.date_range("2024-01-01", periods=20, freq="min")})

@@ -114,14 +114,14 @@ def skeletons(t):
     return S.lyric_lines(drafts(t)).withColumn("skel", T.skeleton(T.normalize(F.col("line"))))
 
 
-_RHYME = f"""sk AS (SELECT *, {_SKEL.format(_NORM.format('line'))} AS skel FROM dl),
+_RHYME = f"""sk AS (SELECT *, {_SKEL.format('line_norm')} AS skel FROM (SELECT *, {_NORM.format('line')} AS line_norm FROM dl)),
 rg AS (SELECT conv_id, right(skel, 2) AS suffix, min(ordinal) AS first FROM sk WHERE length(skel) >= 2 GROUP BY ALL HAVING count(*) >= 2),
 rm AS (SELECT sk.*, suffix, first FROM sk JOIN rg ON rg.conv_id = sk.conv_id AND rg.suffix = right(skel, 2) AND length(skel) >= 2),
 alone AS (SELECT * FROM sk ANTI JOIN rm USING (conv_id, ordinal)),
 nearest AS (SELECT alone.conv_id, alone.ordinal, alone.line_no, alone.line, arg_min(rm.suffix, abs(rm.ordinal - alone.ordinal) * 1000000 + rm.first) AS suffix, min(abs(rm.ordinal - alone.ordinal)) AS distance FROM alone JOIN rm ON rm.conv_id = alone.conv_id GROUP BY ALL),
 codes AS (SELECT sk.conv_id, sk.ordinal, coalesce(g, top + row_number() OVER (PARTITION BY sk.conv_id, g IS NULL ORDER BY sk.ordinal)) AS code, top FROM sk LEFT JOIN rm USING (conv_id, ordinal) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS g FROM rg) n ON n.conv_id = sk.conv_id AND n.suffix = rm.suffix LEFT JOIN (SELECT conv_id, count(*) AS top FROM rg GROUP BY conv_id) c ON c.conv_id = sk.conv_id),
 schemes AS (SELECT conv_id, list(code ORDER BY ordinal) AS codes, string_agg(CASE WHEN code <= 26 THEN chr(CAST(64 + code AS INTEGER)) ELSE '?' END, '' ORDER BY ordinal) AS letters FROM codes WHERE top IS NOT NULL GROUP BY conv_id)"""
-_TOP = f"tw AS (SELECT token, n, {_NORM.format('token')} AS folded, {_SKEL.format(_NORM.format('token'))} AS ws FROM (SELECT token, count(*) AS n FROM tokens GROUP BY token ORDER BY n DESC, token LIMIT 500))"
+_TOP = f"tw AS (SELECT token, n, folded, {_SKEL.format('folded')} AS ws FROM (SELECT token, {_NORM.format('token')} AS folded, count(*) AS n FROM tokens GROUP BY token ORDER BY n DESC, token LIMIT 500))"
 
 
 def corpus_words(t):
@@ -179,7 +179,7 @@ def draft_report(t):
 
 # ---- schemes of sections ----
 
-_SECTION_LINES = f"""ln AS (SELECT conv_id, section, kind, CAST(row_number() OVER (PARTITION BY conv_id, section ORDER BY line_no) AS INTEGER) AS ordinal, line, {_SKEL.format(_NORM.format('line'))} AS skel FROM dl),
+_SECTION_LINES = f"""ln AS (SELECT conv_id, section, kind, CAST(row_number() OVER (PARTITION BY conv_id, section ORDER BY line_no) AS INTEGER) AS ordinal, line, {_SKEL.format('line_norm')} AS skel FROM (SELECT *, {_NORM.format('line')} AS line_norm FROM dl)),
 sgr AS (SELECT *, row_number() OVER (PARTITION BY conv_id, section ORDER BY first) AS g FROM (SELECT conv_id, section, right(skel, 2) AS suffix, min(ordinal) AS first FROM ln WHERE length(skel) >= 2 GROUP BY ALL HAVING count(*) >= 2)),
 scd AS (SELECT ln.*, sgr.g, max(sgr.g) OVER (PARTITION BY ln.conv_id, ln.section) AS top FROM ln LEFT JOIN sgr ON sgr.conv_id = ln.conv_id AND sgr.section = ln.section AND length(skel) >= 2 AND sgr.suffix = right(skel, 2)),
 sc AS (SELECT *, coalesce(g, coalesce(top, 0) + row_number() OVER (PARTITION BY conv_id, section, g IS NULL ORDER BY ordinal)) AS code FROM scd),

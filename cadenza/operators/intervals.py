@@ -80,6 +80,57 @@ def spikes(df: DataFrame, key: list[str], order: list[str], time: str, value: st
     return hysteresis(stats, key, order, time, value, F.col("_h"), F.col("_m"))
 
 
+def events(df: DataFrame, key: list[str], order: list[str], time: str, value: str, shortest: float = 0.1, longest: float = 0.5, sigmas: float = 2.0, least: float = 0.5, sure: float = 0.8) -> DataFrame:
+    """Short spikes: start, end, confidence, severity of what opens above mean + sigmas * std of its track, closes below
+    the mean and lasts ``shortest`` to ``longest``.
+
+    The end is the closing frame's time; what is open at the end of a track is no event.  Confidence is the value of the
+    frame before it over three means, 1 at most and more than ``least``; severity is high above ``sure``, else medium.
+    """
+    whole, w = Window.partitionBy(*key), _by(key, *order)
+    x = F.col(value)
+    stats = df.withColumn("_m", F.avg(value).over(whole)).withColumn("_h", F.col("_m") + sigmas * F.stddev_pop(value).over(whole))
+    state = F.coalesce(F.last(F.when(x > F.col("_h"), 1).when(x < F.col("_m"), 0), True).over(w), F.lit(0))
+    marked = stats.withColumn("_open", state).withColumn("_was", F.coalesce(F.lag("_open").over(w), F.lit(0)))
+    edges = marked.withColumn("_last", F.lag(x).over(w)).where(F.col("_open") != F.col("_was"))
+    both = edges.withColumn("_start", F.lag(time).over(w)).where("_open = 0")
+    confidence = F.least(F.lit(1.0), F.col("_last") / (3 * F.col("_m")))
+    out = both.select(*key, F.col("_start").alias("start"), F.col(time).alias("end"), confidence.alias("confidence"))
+    kept = out.where((F.col("end") - F.col("start")).between(shortest, longest) & (F.col("confidence") > least))
+    return kept.withColumn("severity", F.when(F.col("confidence") > sure, "high").otherwise("medium"))
+
+
+def smoothed(df: DataFrame, key: list[str], order: list[str], value: str, sigma: float = 3.0, reach: float = 4.0, name: str = "smooth") -> DataFrame:
+    """A Gaussian mean over ``reach`` * sigma frames to each side; at a track's ends over the frames that it has."""
+    radius = int(reach * sigma + 0.5)
+    w = _by(key, *order)
+    numbered = df.withColumn("_i", F.row_number().over(w))
+    near = F.collect_list(F.struct("_i", F.col(value).cast("double").alias("x"))).over(_by(key, *order).rowsBetween(-radius, radius))
+    weight = lambda s: F.exp(-(s["_i"] - F.col("_i")) * (s["_i"] - F.col("_i")) / (2 * sigma * sigma))
+    sums = F.aggregate(F.filter("_near", lambda s: s["x"].isNotNull()), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda a, s: F.struct((a["a"] + weight(s) * s["x"]).alias("a"), (a["b"] + weight(s)).alias("b")), lambda a: F.when(a["b"] > 0, a["a"] / a["b"]))
+    return numbered.withColumn("_near", near).withColumn(name, sums).drop("_i", "_near")
+
+
+def quiet_regions(df: DataFrame, key: list[str], order: list[str], time: str, value: str, shortest: float, longest: float, share: float = 0.3) -> DataFrame:
+    """start, end, confidence of the regions that open above ``share`` of their track's mean and close at half of that or
+    below, or at the track's last frame, and last ``shortest`` to ``longest``.
+
+    Confidence is the opening frame's value over twice the opening threshold, 1 at most.
+    """
+    whole, w = Window.partitionBy(*key), _by(key, *order)
+    x, high = F.col(value), F.col("_h")
+    stats = df.withColumn("_h", share * F.avg(value).over(whole))
+    state = F.coalesce(F.last(F.when(x > high, 1).when(x <= high / 2, 0), True).over(w), F.lit(0))
+    marked = stats.withColumn("_open", state).withColumn("_was", F.coalesce(F.lag("_open").over(w), F.lit(0))).withColumn("_final", F.lead(time).over(w).isNull())
+    edges = marked.where((F.col("_open") != F.col("_was")) | (F.col("_final") & (F.col("_open") == 1)))
+    opens = (F.col("_open") == 1) & (F.col("_was") == 0)
+    begun = F.when(opens, F.struct(F.col(time).alias("t"), F.least(F.lit(1.0), x / (2 * high)).alias("c")))
+    # The edge before a closing one opened it; a track's last frame may open, close or end a region.
+    ended = edges.withColumn("_b", begun).withColumn("_b", F.coalesce("_b", F.lag("_b").over(w))).where((F.col("_open") == 0) | F.col("_final"))
+    out = ended.select(*key, F.col("_b.t").alias("start"), F.col(time).alias("end"), F.col("_b.c").alias("confidence"))
+    return out.where((F.col("end") - F.col("start")).between(shortest, longest))
+
+
 def tempo(df: DataFrame, key: list[str], time: str) -> DataFrame:
     """Per track: beats, mean tempo (60 over the distance of beats) and its population deviation."""
     each = df.withColumn("_d", F.col(time) - F.lag(time).over(_by(key, time))).where("_d > 0").withColumn("_t", 60 / F.col("_d"))
@@ -102,12 +153,83 @@ def slices(df: DataFrame, key: list[str], time: str, every: int) -> DataFrame:
     return out.withColumn("end", F.lead("start").over(_by(key, "slice")))
 
 
+def onset_slices(onsets: DataFrame, tracks: DataFrame, key: list[str], time: str, total: str) -> DataFrame:
+    """start, end of each slice from an onset to the next, the last to the track's end; a track of fewer than two onsets
+    is one slice, and slices without length go.
+
+    ``tracks``: key and total, the end of each; onsets of other tracks go.
+    """
+    whole = Window.partitionBy(*key)
+    each = tracks.select(*key, F.col(total).alias("_end")).join(onsets.select(*key, F.col(time).alias("_t")), key, "left")
+    cut = each.withColumn("_n", F.count("_t").over(whole)).withColumn("_next", F.lead("_t").over(_by(key, "_t"))).withColumn("_r", F.row_number().over(_by(key, "_t")))
+    some = F.col("_n") >= 2
+    out = cut.where(some | (F.col("_r") == 1)).select(*key, F.when(some, F.col("_t")).otherwise(F.lit(0)).alias("start"), F.when(some, F.coalesce("_next", "_end")).otherwise(F.col("_end")).alias("end"))
+    return out.where("end > start")
+
+
+def section_slices(sections: DataFrame, beats: DataFrame, key: list[str], start: str, end: str, label: str, time: str, width: float, every: int | None = None) -> DataFrame:
+    """label, start, end, n (from 1 in its section): sections with both ends moved to the nearest beat of their track (the
+    earlier on ties; none moves in a track without beats), cut at every ``every``-th beat inside; those without length go, equal ones are one.
+
+    ``width``: the bucket of the range join of beats with sections, about a section's length.
+    """
+    named = sections.withColumn("_id", F.struct(start, end, label))
+    marks = beats.select(*key, F.col(time).alias("_beat")).distinct()
+    ends = named.select(*key, "_id", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col(start).alias("at")), F.struct(F.lit(1).alias("which"), F.col(end).alias("at")))).alias("_e")).select(*key, "_id", "_e.which", "_e.at")
+    moved = nearest(ends, marks, key, "at", "_beat")
+    at = lambda k: F.max(F.when(F.col("which") == k, F.coalesce("nearest", "at")))
+    snapped = moved.groupBy(*key, "_id").agg(at(0).alias("_start"), at(1).alias("_stop")).where("_stop > _start")
+    if not every:
+        return snapped.select(*key, F.col("_id")[label].alias(label), F.col("_start").alias("start"), F.col("_stop").alias("end"), F.lit(1).alias("n"))
+    inside = within(marks, snapped, key, "_beat", "_start", "_stop", width)
+    unit = [*key, "_id", "_start", "_stop"]
+    cuts = inside.withColumn("_i", F.row_number().over(_by(unit, "_beat"))).where(F.col("_i") % every == 0).select(*unit, F.col("_beat").alias("_cut"))
+    points = snapped.select(*unit, F.col("_start").alias("_cut")).unionByName(cuts).distinct()
+    pieces = points.withColumn("_to", F.coalesce(F.lead("_cut").over(_by(unit, "_cut")), F.col("_stop"))).where("_to > _cut")
+    return pieces.select(*key, F.col("_id")[label].alias(label), F.col("_cut").alias("start"), F.col("_to").alias("end"), F.row_number().over(_by(unit, "_cut")).alias("n"))
+
+
 def timeline(df: DataFrame, key: list[str], order: list[str], duration: str, gap: int = 200) -> DataFrame:
     """Items laid end to end with a gap: start is the sum of what lies before."""
     before = _by(key, *order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("start", F.coalesce(F.sum(F.col(duration) + gap).over(before), F.lit(0)))
 
 
+def appended(items: DataFrame, new: DataFrame, key: list[str], order: list[str], start: str, duration: str, gap: int = 200) -> DataFrame:
+    """New items with their start: one after the other, each a gap after the latest end so far (0 in an empty story).
+
+    An item ends at its start and its whole duration, trimmed or not.
+    """
+    last = items.groupBy(*key).agg(F.max(F.col(start) + F.col(duration)).alias("_end"))
+    laid = timeline(new.drop(start), key, order, duration, gap).withColumnRenamed("start", "_before")
+    return laid.join(last, key, "left").withColumn(start, F.coalesce(F.col("_end") + gap, F.lit(0)) + F.col("_before")).drop("_end", "_before")
+
+
+def trimmed(items: DataFrame, duration: str, head: str, tail: str, new_head: Column, new_tail: Column) -> DataFrame:
+    """Items with new trims where these leave something (and are no less than 0); others keep theirs.  ``changed`` says which."""
+    valid = F.coalesce((new_head >= 0) & (new_tail >= 0) & (new_head + new_tail < F.col(duration)), F.lit(False))
+    out = items.withColumn("_new", F.when(valid, F.struct(new_head.alias("a"), new_tail.alias("b")))).withColumn("changed", valid)
+    return out.withColumns({head: F.coalesce("_new.a", head), tail: F.coalesce("_new.b", tail)}).drop("_new")
+
+
+def split(items: DataFrame, start: str, duration: str, head: str, tail: str, at: Column) -> DataFrame:
+    """Items cut ``at`` a time in what is heard of them, as two rows (``part`` 0 and 1); where it does not lie inside, or
+    is null, the item stays whole (part 0)."""
+    heard = F.col(duration) - F.col(head) - F.col(tail)
+    cut = F.col(head) + at
+    fields = lambda s, h, t, k: F.struct(s.alias(start), h.alias(head), t.alias(tail), F.lit(k).alias("part"))
+    whole = F.array(fields(F.col(start), F.col(head), F.col(tail), 0))
+    two = F.array(fields(F.col(start), F.col(head), F.col(duration) - cut, 0), fields(F.col(start) + at, cut, F.col(tail), 1))
+    rows = items.withColumn("_p", F.explode(F.when((at > 0) & (at < heard), two).otherwise(whole)))
+    return rows.withColumns({c: F.col(f"_p.{c}") for c in (start, head, tail, "part")}).drop("_p")
+
+
+def story_length(items: DataFrame, key: list[str], start: str, duration: str, head: str, tail: str) -> DataFrame:
+    """key, items, total: where the last of what is heard ends."""
+    heard = F.col(duration) - F.col(head) - F.col(tail)
+    return items.groupBy(*key).agg(F.count("*").alias("items"), F.max(F.col(start) + heard).alias("total"))
+
+
 def transitions(df: DataFrame, key: list[str], order: list[str], value: str, silent: Column, jump: float) -> DataFrame:
     """Per track: frames, changes between silent and not, share of jumps over ``jump``, variance of the silent floor."""
     w = _by(key, *order)

@@ -5,7 +5,7 @@ Every figure is a row or a column; what is crossed or joined is one row, or one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,8 +79,8 @@ def baselines(songs: DataFrame, cohort: str) -> DataFrame:
     return songs.groupBy(cohort).agg(F.count("*").alias("songs"), *parts)
 
 
-def component_scores(drafts: DataFrame, base: DataFrame, key: str, cohort: str) -> DataFrame:
-    """key, cohort, overall, a 0-100 score of each component (50: the cohort's mean), and the weakest of them.
+def component_scores(drafts: DataFrame, base: DataFrame, key: str, cohort: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, cohort, the columns ``keep``, overall, a 0-100 score of each component (50: the cohort's mean), and the weakest of them.
 
     ``drafts``: key, cohort and the measures of ``COMPONENTS``; ``base``: of ``baselines``.  Drafts of a cohort that
     has no songs go; on equal scores the component named first in ``COMPONENTS`` is the weakest.
@@ -94,35 +94,31 @@ def component_scores(drafts: DataFrame, base: DataFrame, key: str, cohort: str)
     overall = F.round(sum(scores.values(), F.lit(0.0)) / len(scores), 2)
     rounded = [F.round(s, 2).alias(n) for n, s in scores.items()]
     weakest = F.array_min(F.array(*(F.struct(F.col(n).alias("s"), F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in enumerate(COMPONENTS))))["n"]
-    return out.select(key, cohort, overall.alias("overall"), *rounded).withColumn("weakest", weakest)
+    return out.select(key, cohort, *keep, overall.alias("overall"), *rounded).withColumn("weakest", weakest)
 
 
 #: A share of distinct words above the first is varied enough, below the second too little.
 VARIED, PLAIN = 0.55, 0.35
 
 
-def advice(scored: DataFrame, drafts: DataFrame, templates: DataFrame, checked: DataFrame, key: str, cohort: str) -> DataFrame:
+def advice(scored: DataFrame, templates: DataFrame, checked: DataFrame, key: str, cohort: str) -> DataFrame:
     """key, weakest, place (from 1), advice, subject, amount: what a draft's weakest component asks for.
 
-    structural: the sections of its cohort's template (``templates.template``) with their lines.  rhyme: its sections by
-    number with their broken lines (``checked``: key, section, kind, broken).  lexical: more or fewer distinct words.
-    repetition: its share of repeated lines.  A rhyme row is ``mend`` where lines are broken and ``keep`` elsewhere.
+    ``scored``: of ``component_scores`` with ``ttr`` and ``hook_repetition_ratio`` kept.  structural: the sections of its
+    cohort's template (``templates.template``) with their lines.  rhyme: its sections in order with their broken lines
+    (``checked``: key, section, kind, broken), ``mend`` where there are any and ``keep`` elsewhere.  lexical: more or
+    fewer distinct words.  repetition: its share of repeated lines.  Each table is read once; what is gathered in a row
+    is one template or one draft's sections.
     """
-    out = ("place", "advice", "subject", "amount")
-    own = scored.select(key, cohort, "weakest")
+    item = lambda said, subject, amount: F.struct(F.lit(said).alias("advice") if isinstance(said, str) else said.alias("advice"), subject.alias("subject"), amount.cast("double").alias("amount"))
+    ordered = lambda order, s: F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), s.alias("_s")))), lambda x: x["_s"])
     kind = templates.columns[2]
-    shape = templates.select(cohort, "place", F.lit("section").alias("advice"), F.concat_ws(" ", kind, F.nullif("rhyme_scheme", F.lit(""))).alias("subject"), F.col("lines").cast("double").alias("amount"))
-    structural = own.where("weakest = 'structural'").join(shape, cohort).select(key, "weakest", *out)
+    shape = templates.groupBy(cohort).agg(ordered("place", item("section", F.concat_ws(" ", kind, F.nullif("rhyme_scheme", F.lit(""))), F.col("lines"))).alias("_shape"))
     broken = F.size("broken")
-    parts = checked.select(key, F.row_number().over(_each(key)).alias("place"), F.when(broken > 0, "mend").otherwise("keep").alias("advice"), F.col("kind").alias("subject"), broken.cast("double").alias("amount"))
-    rhyme = own.where("weakest = 'rhyme'").join(parts, key).select(key, "weakest", *out)
+    parts = checked.groupBy(key).agg(ordered("section", item(F.when(broken > 0, "mend").otherwise("keep"), F.col("kind"), broken)).alias("_parts"))
     ttr = F.coalesce("ttr", F.lit(0.0))
     words = F.when(ttr > VARIED, "fewer").when(ttr < PLAIN, "more").otherwise("keep")
-    one = own.where("weakest in ('lexical', 'repetition')").join(drafts.select(key, "ttr", "hook_repetition_ratio"), key)
-    lexical = F.col("weakest") == "lexical"
-    rest = one.select(key, "weakest", F.lit(1).alias("place"), F.when(lexical, words).otherwise("repeat").alias("advice"), F.when(lexical, "distinct words").otherwise("hook").alias("subject"), F.when(lexical, ttr).otherwise(F.col("hook_repetition_ratio")).cast("double").alias("amount"))
-    return structural.unionByName(rhyme).unionByName(rest)
-
-
-def _each(key: str):
-    return Window.partitionBy(key).orderBy("section")
+    by = F.when(F.col("weakest") == "structural", F.col("_shape")).when(F.col("weakest") == "rhyme", F.col("_parts"))
+    by = by.when(F.col("weakest") == "lexical", F.array(item(words, F.lit("distinct words"), ttr))).otherwise(F.array(item("repeat", F.lit("hook"), F.col("hook_repetition_ratio"))))
+    rows = scored.join(shape, cohort, "left").join(parts, key, "left").select(key, "weakest", F.posexplode(by).alias("_at", "_s"))
+    return rows.select(key, "weakest", (F.col("_at") + 1).alias("place"), "_s.advice", "_s.subject", "_s.amount")

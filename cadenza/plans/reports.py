@@ -11,6 +11,7 @@ from ..operators import report as E
 from ..operators import rhyme as R
 from ..operators import suggest as S
 from ..operators import templates as P
+from ..sources import readers
 from .fingerprints import _ENTITIES, SONGS, _owner, entities, parts, songs
 from .lexical import _LEX, _WORDS, lexicon
 from .registry import query
@@ -98,13 +99,13 @@ def measured(t):
     return whole, own
 
 
-def scored(t):
+def scored(t, *keep):
     whole, own = measured(t)
-    return E.component_scores(own, E.baselines(whole, "cohort"), "conv_id", "cohort"), own
+    return E.component_scores(own, E.baselines(whole, "cohort"), "conv_id", "cohort", keep)
 
 
 query("e26_baselines", f"WITH RECURSIVE {SONGS}, {_SCORED} SELECT cohort, songs, " + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in _MEASURES for k in ("mean", "std")) + " FROM base")(lambda t: E.baselines(measured(t)[0], "cohort").select("cohort", "songs", *(F.round(f"{c}_{k}", 6).alias(f"{c}_{k}") for c in _MEASURES for k in ("mean", "std"))))
-query("e26_components", f"WITH RECURSIVE {SONGS}, {_SCORED} SELECT conv_id, cohort, overall, structural, rhyme, lexical, repetition, weakest FROM weak")(lambda t: scored(t)[0])
+query("e26_components", f"WITH RECURSIVE {SONGS}, {_SCORED} SELECT conv_id, cohort, overall, structural, rhyme, lexical, repetition, weakest FROM weak")(scored)
 
 
 @query("e38_advice", f"""WITH RECURSIVE {SONGS}, {_SCORED}, {_SECTION_LINES},
@@ -115,8 +116,32 @@ UNION ALL SELECT conv_id, weakest, place, CASE WHEN n > 0 THEN 'mend' ELSE 'keep
 UNION ALL SELECT conv_id, weakest, 1, CASE WHEN ttr > 0.55 THEN 'fewer' WHEN ttr < 0.35 THEN 'more' ELSE 'keep' END, 'distinct words', ttr FROM weak WHERE weakest = 'lexical'
 UNION ALL SELECT conv_id, weakest, 1, 'repeat', 'hook', hook_repetition_ratio FROM weak WHERE weakest = 'repetition'""")
 def advice(t):
-    scores, own = scored(t)
     lines = section_lines(t)
     kinds = drafts(t).where("not is_label").select("conv_id", "section", "kind").distinct()
     checked = D.section_schemes(lines, ["conv_id", "section"], "AABB").join(kinds, ["conv_id", "section"])
-    return E.advice(scores, own, template(t, 6), checked, "conv_id", "cohort")
+    return E.advice(scored(t, "ttr", "hook_repetition_ratio"), template(t, 6), checked, "conv_id", "cohort")
+
+# ---- song pages: a page for each conversation, with a box, labels and what stands above ----
+
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_PAGES = f"""ptext AS (SELECT conv_id, string_split(string_agg('[' || role || ']' || chr(10) || text, chr(10) ORDER BY turn, role, text), chr(10)) AS ls FROM conversations GROUP BY conv_id),
+pl AS (SELECT conv_id, x, {_TRIM.format('x')} AS t, i FROM (SELECT conv_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM ptext)),
+pm AS (SELECT *, regexp_extract(t, '^\\[(.+?)\\]$', 1) AS l FROM pl),
+pn AS (SELECT *, sum(CAST(l <> '' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY i) AS n FROM pm)"""
+
+
+def song_html(t):
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("_t"), F.concat(F.lit("["), "role", F.lit("]<br>"), safe).alias("_h"))))
+    box = F.array_join(F.transform(rows, lambda s: s["_h"]), "<br/>")
+    each = t.conversations.where("text is not null and role is not null").groupBy("conv_id").agg(box.alias("_box"))
+    head = F.concat(F.lit('<html><head><meta property="og:title" content="Ana (Ft. Ivo) – Other"></head><body><h1>Song '), F.col("conv_id").cast("string"), F.lit(' Lyrics</h1><div data-lyrics-container="true">3 Contributors<br>'))
+    return each.select("conv_id", F.concat(head, "_box", F.lit("</div></body></html>")).alias("html"))
+
+
+@query("a13_song_pages", rf"WITH {_PAGES} SELECT conv_id, 'Song ' || conv_id AS title, 'Ana' AS artist, true AS found, string_agg(regexp_replace(t, '[ \t]+', ' ', 'g'), chr(10) ORDER BY i) FILTER (t <> '') AS clean_lyrics FROM pm GROUP BY conv_id")
+def song_pages(t):
+    return readers.song_pages(song_html(t), "conv_id").drop("raw_lyrics")
+
+
+query("a13_page_sections", f"WITH {_PAGES}, g AS (SELECT conv_id, n, max(CASE WHEN l <> '' THEN {_TRIM.format('l')} END) AS label, string_agg(x, chr(10) ORDER BY i) FILTER (l = '') AS content FROM pn GROUP BY conv_id, n) SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY n) AS INTEGER) AS place, label, {_TRIM.format('content')} AS content FROM g WHERE content IS NOT NULL")(lambda t: readers.page_sections(readers.song_pages(song_html(t), "conv_id"), "conv_id"))

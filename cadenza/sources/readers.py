@@ -155,6 +155,106 @@ def pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Dat
     return df.select(id_col, parsed(html_col).alias("p")).select(id_col, "p.title", T.blank_lines_cleaned(F.col("p.body")).alias("text"))
 
 
+class _SongPage(HTMLParser):
+    """The texts of a song page: first heading, shared title, first artist link, and its lyrics boxes, text by text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.heading, self.shared, self.artist, self.new, self.old = None, None, None, None, None
+        self.open = []  # (tag, what it gathers) of the elements that are not closed
+
+    def handle_starttag(self, tag, attrs):
+        named = dict(attrs)
+        if tag == "meta" and named.get("property") == "og:title" and self.shared is None:
+            self.shared = named.get("content") or ""
+        if tag in _VOID:
+            return
+        what = None
+        if tag == "h1" and self.heading is None:
+            self.heading, what = [], "heading"
+        elif tag == "a" and "data-artist_id" in named and self.artist is None:
+            self.artist, what = [], "artist"
+        elif tag == "div" and named.get("data-lyrics-container") == "true":
+            self.new, what = (self.new or []), "new"
+        elif tag == "div" and "lyrics" in (named.get("class") or "").split():
+            self.old, what = (self.old or []), "old"
+        self.open.append((tag, what))
+
+    def handle_endtag(self, tag):
+        at = next((k for k in reversed(range(len(self.open))) if self.open[k][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        for what in {w for _, w in self.open if w}:
+            getattr(self, what).append(data)
+
+
+# The title of pages without one; what stands above the lyrics, besides blank lines.
+_UNKNOWN = "Unknown"
+_ABOVE = r"(?i)^(\d+\s+Contributors?|\d+\s+Embed|[^\[].* Lyrics)$"
+
+
+def song_pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html", labels: bool = True) -> DataFrame:
+    """id, title, artist, found, raw_lyrics, clean_lyrics of song pages; tags are parsed in Arrow batches, the rest is by Spark.
+
+    title: the first heading without a final ``Lyrics``, else what follows the last dash of the shared title, or all of
+    it; artist: the link of an artist, else what is before that dash, without what is featured; ``Unknown`` without.
+    Lyrics are the boxes of the present layout, else of the older one, less the lines above them (contributors, an echo
+    of the title); of a page without boxes ``found`` is false and both are null.  Clean lyrics have no blank lines and
+    single blanks, and no ``[label]`` lines unless ``labels``.  A null page has no boxes.
+    """
+
+    @F.pandas_udf("heading string, shared string, artist string, raw string")
+    def parsed(html: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in html.fillna(""):
+            p = _SongPage()
+            p.feed(x)
+            p.close()
+            joined = lambda parts: None if parts is None else "".join(t.strip() for t in parts)
+            lyrics = p.old if p.new is None else p.new
+            out.append((joined(p.heading), p.shared, joined(p.artist), None if lyrics is None else "\n".join(lyrics)))
+        return pd.DataFrame(out, columns=["heading", "shared", "artist", "raw"])
+
+    raw = df.select(F.col(id_col), parsed(html_col).alias("p")).select(id_col, "p.*")
+    dash = F.when(F.contains("shared", F.lit("\u2013")), "\u2013").when(F.contains("shared", F.lit(" - ")), " - ")
+    shared = F.nullif("shared", F.lit(""))
+    after, before = F.substring_index("shared", "\u2013", -1), F.col("shared")
+    at = F.when(dash == " - ", F.length("shared") - F.length(F.substring_index("shared", " - ", -1)) - 3).otherwise(F.length("shared") - F.length(after) - 1)
+    last = F.when(dash == " - ", F.substring_index("shared", " - ", -1)).otherwise(after)
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    heading = F.when(F.lower("heading").endswith(" lyrics"), trim(F.substring("heading", F.lit(1), F.length("heading") - 7))).otherwise(F.col("heading"))
+    title = F.coalesce(heading, F.when(dash.isNotNull(), trim(last)).otherwise(shared), F.lit(_UNKNOWN))
+    credited = F.when(dash.isNotNull(), trim(F.regexp_extract(trim(F.substring(before, F.lit(1), at)), r"(?s)^(.*?)(?: \([Ff]t\..*)?$", 1)))
+    lines = F.transform(F.split(trim(F.col("raw")), "\n"), lambda x: F.struct(x.alias("x"), trim(x).alias("t")))
+    rows = raw.withColumn("_ls", lines).withColumn("_skip", F.filter(F.transform("_ls", lambda s, k: F.when((s["t"] != "") & ~s["t"].rlike(_ABOVE), k)), lambda k: k.isNotNull()))
+    kept = F.when(F.size("_skip") > 0, F.slice("_ls", F.get("_skip", F.lit(0)) + 1, F.size("_ls"))).otherwise(F.slice("_ls", 1, 0))
+    rows = rows.withColumn("_ls", F.when(F.col("raw").isNotNull(), kept))
+    shown = F.filter("_ls", lambda s: (s["t"] != "") & (F.lit(labels) | ~s["t"].rlike(_LABEL)))
+    clean = F.array_join(F.transform(shown, lambda s: F.regexp_replace(s["t"], r"[ \t]+", " ")), "\n")
+    return rows.select(id_col, title.alias("title"), F.coalesce("artist", credited, F.lit(_UNKNOWN)).alias("artist"), F.col("raw").isNotNull().alias("found"), F.array_join(F.transform("_ls", lambda s: s["x"]), "\n").alias("raw_lyrics"), clean.alias("clean_lyrics"))
+
+
+#: A line that is a section's label.
+_LABEL = r"^\[(.+?)\]$"
+
+
+def page_sections(songs: DataFrame, id_col: str = "page_id", lyrics: str = "raw_lyrics") -> DataFrame:
+    """id, place (from 1), label, content of the sections of song pages: what follows a label, and what is above the first
+    (label null).  A label directly before another one, or at the end, has no section.
+    """
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    each = songs.where(F.length(lyrics) > 0).select(id_col, F.posexplode(F.split(lyrics, "\n")).alias("_at", "_x")).withColumn("_l", F.regexp_extract(trim(F.col("_x")), _LABEL, 1))
+    is_label = F.col("_l") != ""
+    w = Window.partitionBy(id_col).orderBy("_at")
+    each = each.withColumn("_n", F.sum(is_label.cast("int")).over(w))
+    label = F.max(F.when(is_label, trim(F.col("_l"))))
+    inside = F.transform(F.sort_array(F.collect_list(F.when(~is_label, F.struct("_at", "_x")))), lambda s: s["_x"])
+    cut = each.groupBy(id_col, "_n").agg(label.alias("label"), inside.alias("_xs")).where(F.size("_xs") > 0)
+    return cut.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("_n")).alias("place"), "label", trim(F.array_join("_xs", "\n")).alias("content"))
+
+
 def each_file(df: DataFrame, process: Callable[[str, bytes], dict], result: str) -> DataFrame:
     """A user's function over (path, content): path, result struct, error.  A failure is a row, not a failed job."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Digits of the spectral means.
@@ -14,8 +14,17 @@ EFFECT = "place int, effect string, confidence double, params map<string,double>
 
 
 def spectral_profile(frames: DataFrame, key: list[str], columns: dict[str, int] | None = None) -> DataFrame:
-    """Means over a track's frames, rounded as ``columns`` says."""
-    return frames.groupBy(*key).agg(*(F.round(F.avg(c), d).alias(c) for c, d in (columns or SPECTRUM).items()))
+    """Means over a track's frames, rounded as ``columns`` says (half up).
+
+    Values are added as decimals of ten digits, so that neither the order of the frames nor the sum's error decides a
+    mean that lies on a half; a track with a value that is none (not finite, over 1e18) has the mean of its doubles.
+    """
+
+    def mean(c: str, digits: int) -> Column:
+        exact = F.col(c).try_cast("decimal(28,10)")
+        return F.when(F.count(exact) == F.count(c), F.round(F.avg(exact), digits).cast("double")).otherwise(F.round(F.avg(F.col(c).cast("double")), digits))
+
+    return frames.groupBy(*key).agg(*(mean(c, d).alias(c) for c, d in (columns or SPECTRUM).items()))
 
 
 def effect_lists(effects: DataFrame, key: list[str], least: float = 0.3) -> DataFrame:

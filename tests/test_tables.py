@@ -163,3 +163,10 @@ def test_no_cohort_themes(spark):
     assert M.compared(drafts, drafts.select("topic").limit(0), "draft").count() == 1
     with pytest.raises(Exception):
         M.assigned(spark.createDataFrame([(1, [1.0])], "id int, v array<double>"), "id", "v", M.Centres([], [])).collect()
+
+
+def test_spectral_means_on_a_half(spark):
+    values = [(1, 9.12), (1, 2.18), (2, 2.18), (2, 9.12), (3, float("nan")), (3, 1.0), (4, None), (5, 1e30), (5, 3e30)]
+    frames = spark.createDataFrame(values, "track int, x double")
+    got = {r.track: r.x for r in A.spectral_profile(frames, ["track"], {"x": 1}).collect()}
+    assert (got[1], got[2], got[4], got[5]) == (5.7, 5.7, None, 2e30) and got[3] != got[3]  # 5.65, which doubles add up to less

@@ -21,12 +21,16 @@ def whitespace_issues(lines: DataFrame, doc: str, no: str, line: str) -> DataFra
 
 
 def phonetic_issues(lines: DataFrame, doc: str, no: str, line: str, phonetic: DataFrame) -> DataFrame:
-    """Words that a dictionary (spelling, word) knows, by themselves or folded."""
+    """Words that a dictionary (spelling, word) knows, by themselves or folded.
+
+    The dictionary is a fixed dimension: it goes to every task, and texts are read once and stay where they are.
+    """
+    known = phonetic.groupBy("spelling").agg(F.collect_list(F.struct("word")).alias("_to"))
+    by = lambda n: F.broadcast(known.select(F.col("spelling").alias(f"_s{n}"), F.col("_to").alias(f"_to{n}")))
     words = lines.select(doc, no, F.explode(T.words(F.col(line))).alias("_w"))
-    by = lambda c: words.join(phonetic, c == F.col("spelling"))
-    raw = by(F.col("_w"))
-    folded = by(T.ascii_fold(F.col("_w"))).join(raw.select(doc, no, "_w").distinct(), [doc, no, "_w"], "left_anti")
-    return raw.unionByName(folded).select(*issue(doc, F.col(no), "phonetic", "medium", F.col("_w"), F.col("word"), False))
+    told = words.join(by(1), F.col("_w") == F.col("_s1"), "left").join(by(2), T.ascii_fold(F.col("_w")) == F.col("_s2"), "left")
+    found = told.select(doc, no, "_w", F.explode(F.coalesce("_to1", "_to2")).alias("_d"))
+    return found.select(*issue(doc, F.col(no), "phonetic", "medium", F.col("_w"), F.col("_d.word"), False))
 
 
 def label_issues(lines: DataFrame, doc: str, no: str, line: str) -> DataFrame:

@@ -348,3 +348,37 @@ def test_rhyme_profile_by_its_parts(spark):
         hits[r.song] = hits.get(r.song, 0) + r.match_length
     for r in R.profile(df, found, "song").where("song < 900").collect():
         assert abs(r.rhyme_factor - (hits.get(r.song, 0) / letters[r.song] if letters[r.song] else 0)) < 1e-4
+
+
+def test_steps_that_queries_share(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    def plan(name, part=None):
+        return entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+    # A dictionary goes to the texts, not the words to it; texts are dealt once by their key, before they are cut.
+    assert "SortMergeJoin" not in plan("t5_phonetic") and "Exchange hashpartitioning(doc_id" not in plan("t5_phonetic")
+    assert plan("t6_diacritics").count("Exchange hashpartitioning") == 1
+    lines = spark.createDataFrame([(1, 1, "Šta the šta"), (1, 2, "the")], "id int, no int, line string")
+    words = spark.createDataFrame([("the", "de"), ("the", "d"), ("sta", "x"), ("šta", "y")], "spelling string, word string")
+    got = sorted((r.line_no, r.original, r.suggested) for r in D.phonetic_issues(lines, "id", "no", "line", words).collect())
+    assert got == [(1, "the", "d"), (1, "the", "de"), (1, "šta", "y"), (1, "šta", "y"), (2, "the", "d"), (2, "the", "de")]
+
+
+def test_corpus_is_cut_once_for_suggestions(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["t13_slang"](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("documents.parquet") == 1, plan.count("documents.parquet")
+
+
+def test_skeletons_of_lines_at_once(spark):
+    from cadenza.functions import text as T
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "Rarr a\n  \n r\nerr\nљубав Ђ\n"), (2, None), (3, "")], "id int, text string")
+    each = C.lines(df, "text", ["id"]).select("id", "ordinal", T.skeleton(F.col("line_norm")).alias("skel"))
+    assert sorted(map(tuple, C.skeletons(df, "text", ["id"]).collect())) == sorted(map(tuple, each.collect())) == [(1, 1, "ara"), (1, 2, "r"), (1, 3, "er"), (1, 4, "ua")]
+    assert "regexp_replace" not in C.skeletons(df, "text", ["id"]).where("length(skel) >= 2")._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]

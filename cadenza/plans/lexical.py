@@ -211,7 +211,9 @@ ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿčćšž", "aa
 
 
 def _diacritics(t):
-    n = doc_lines(t).select("doc_id", F.explode(T.words(F.col("line"))).alias("form")).withColumn("folded", F.translate("form", *ACCENTS)).groupBy("doc_id", "folded", "form").agg(F.count("*").alias("n"))
+    whole = t.documents.select("doc_id", "text").repartition("doc_id")  # the only shuffle: of texts, before they are cut
+    words = whole.select("doc_id", F.explode(T.words(F.col("text"))).alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"))
+    n = words.withColumn("folded", F.translate("form", *ACCENTS))
     w = Window.partitionBy("doc_id", "folded").orderBy(F.desc("n"), "form")
     return n.withColumn("_r", F.row_number().over(w)).withColumn("suggested", F.first("form").over(w)).where("_r > 1").select("doc_id", F.col("form").alias("original"), "suggested", "n")
 

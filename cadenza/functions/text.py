@@ -10,9 +10,11 @@ CYRILLIC = dict(zip("абвгдђежзијклмнопрстћуфхцчш", "a
 CYRILLIC_TWO = {"љ": "lj", "њ": "nj", "џ": "dž"}
 FOLD_TWO = {"đ": "dj", "Đ": "Dj"}
 FOLD = ("čćšžČĆŠŽ", "ccszCCSZ")
+TOLD = "[\u0400-\u04ff" + FOLD[0] + "".join(FOLD_TWO) + "]"  # what normalising replaces: Cyrillic letters and those to fold
 WORD = r"[\p{L}\p{N}_]+"
 LATIN_WORD = "[a-zA-ZÀ-ÿ]+"
 VOWEL = r"[aeiou]|(?<![aeiou])r(?![aeiou])"
+NO_VOWEL = r"[^aeiour]+|(?<=[aeiou])r|r(?=[aeiou])"  # all that VOWEL leaves
 # Leading words of a label that is only the song's title.
 TITLE_LABELS = ("tekst pesme", "tekst pjesme", "teksti", "tekste", "songtext", "paroles", "lyrics")
 # Section words, folded, and their types (a dimension; callers may pass their own).
@@ -66,8 +68,8 @@ def ascii_fold(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Cyrillic to Latin, folded, lower case; null stays null.  Compose first (``nfc``) where marks may be apart."""
-    plain = F.octet_length(text) == F.char_length(text)  # all ASCII: nothing to replace
-    return F.lower(F.when(plain, text).otherwise(ascii_fold(to_latin(text))))
+    told = F.when(text.rlike(TOLD), ascii_fold(to_latin(text))).otherwise(text)  # few texts have letters to replace
+    return F.lower(told)
 
 
 def clean_lyrics(text: Column) -> Column:
@@ -111,7 +113,13 @@ def vowel_groups(text: Column) -> Column:
 
 def skeleton(text: Column) -> Column:
     """The syllable carriers of a text, in order."""
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(VOWEL), 0), "")
+    return F.regexp_replace(F.lower(text), NO_VOWEL, "")
+
+
+def line_skeletons(text: Column) -> Column:
+    """The skeletons of a text's non-blank lines, all cut in one pass (a line's end stands between no vowels)."""
+    kept = F.split(F.regexp_replace(normalize(text), NO_VOWEL.replace("[^aeiour]", r"[^aeiour\n]"), ""), "\n")
+    return F.filter(F.zip_with(F.split(text, "\n"), kept, lambda x, skel: F.when(F.trim(x) != "", skel)), lambda skel: skel.isNotNull())
 
 
 def end_rhyme(skel: Column, n: int) -> Column:

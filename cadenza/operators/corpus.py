@@ -19,6 +19,19 @@ def lines(df: DataFrame, text_col: str, keep: list[str], norm: bool = True) -> D
     return out.withColumn("word_count", F.size(T.words(F.col("line_norm")))).withColumn("syllable_count", T.syllables(F.col("line_norm")))
 
 
+def skeletons(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep``, ordinal (of ``lines``), skel of every non-blank line.
+
+    Skeletons are made before the text is dealt into rows, so that a filter on them does not make them again.
+    """
+    return df.select(*keep, F.posexplode(T.line_skeletons(F.col(text_col))).alias("_at", "skel")).select(*keep, (F.col("_at") + 1).alias("ordinal"), "skel")
+
+
+def words(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep``, token of every word of the normalised text: the tokens of its ``lines`` without their places."""
+    return df.select(*keep, F.explode(T.words(T.normalize(F.col(text_col)))).alias("token"))
+
+
 def tokens(lines_df: DataFrame, keep: list[str], line_col: str = "line_norm") -> DataFrame:
     """One row per word of a line: ``keep``, position from 1, token."""
     return lines_df.select(*keep, F.posexplode(T.words(F.col(line_col))).alias("_at", "token")).select(*keep, (F.col("_at") + 1).alias("position"), "token")
@@ -88,9 +101,18 @@ def bucketed(x: Column, edges: list[int]) -> Column:
     return out.otherwise(f"{low}+")
 
 
-def mined_lexicon(token_df: DataFrame, cohort: str, a: str, b: str, least: int = 3, rate: float = 10_000.0) -> DataFrame:
-    """Words with their counts in two cohorts, rates per ``rate`` words and log-ratio distinctiveness."""
-    counted = token_df.where(F.col(cohort).isin(a, b)).groupBy("token").agg(F.count_if(F.col(cohort) == a).alias("freq_a"), F.count_if(F.col(cohort) == b).alias("freq_b"))
+def mined_lexicon(token_df: DataFrame, cohort: str, a: str, b: str, least: int = 3, rate: float = 10_000.0, n: str | None = None) -> DataFrame:
+    """Words with their counts in two cohorts, rates per ``rate`` words and log-ratio distinctiveness.
+
+    ``n``: how often a row's token occurs, if they are counted; such a table is not filtered first, so that a plan can
+    share it.
+    """
+    if n is None:
+        token_df, one = token_df.where(F.col(cohort).isin(a, b)), F.lit(1)
+    else:
+        one = F.col(n)
+    of = lambda c: F.sum(F.when(F.col(cohort) == c, one).otherwise(0))
+    counted = token_df.groupBy("token").agg(of(a).alias("freq_a"), of(b).alias("freq_b")).where("freq_a + freq_b > 0")
     totals = counted.agg(F.sum("freq_a").alias("_a"), F.sum("freq_b").alias("_b"))
     both = counted.crossJoin(F.broadcast(totals)).where(F.col("freq_a") + F.col("freq_b") >= least)  # totals: one row
     return both.select("token", "freq_a", "freq_b", F.round(T.log_ratio(F.col("freq_a") * rate / F.col("_a"), F.col("freq_b") * rate / F.col("_b")), 6).alias("distinctiveness"))
@@ -160,10 +182,10 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return keyed(left, a).join(keyed(right, b), "_key").where(F.col(a) != F.col(b)).drop("_key").dropDuplicates([a, b]).where(F.levenshtein(F.col(a), F.col(b), 1) == 1)
 
 
-def network(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Undirected weighted edges: a < b (lower case), weight."""
+def network(df: DataFrame, a: str, b: str, n: str | None = None) -> DataFrame:
+    """Undirected weighted edges: a < b (lower case), weight.  ``n``: how often a row's pair occurs, if pairs are counted."""
     x, y = F.lower(a), F.lower(b)
-    return df.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))
+    return df.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col(n) if n else F.lit(1)).alias("_n")).groupBy("a", "b").agg(F.sum("_n").alias("weight"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A pair of letters that comes again, overlapping or not.
+PAIR_TWICE = r"(?s)(?=(..)).(?=.*\1)"
+
+
 def groups(lines: DataFrame, key: str, n: int = 2) -> DataFrame:
     """key, rhyme, members (ordinals), size of the lines that share their last n skeleton letters with another."""
     at = lines.where(F.length("skel") >= n).groupBy(key, F.right("skel", F.lit(n)).alias("rhyme"))
@@ -181,8 +185,7 @@ def scheme(lines: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 def song_metrics(lines: DataFrame, found: DataFrame, key: str, long_: int = 3) -> DataFrame:
     """key, end_rows, pct_multis (assigned lines of ``long_`` letters or more), internal_rate (lines with an inner repeat)."""
-    pair = F.transform(F.sequence(F.lit(1), F.length("skel") - 1), lambda i: F.substring("skel", i, 2))
-    has = (F.length("skel") >= 4) & (F.size(F.array_distinct(pair)) < F.size(pair))
+    has = F.col("skel").rlike(PAIR_TWICE)
     inner = lines.select(key, F.when(F.length("skel") >= 4, has).otherwise(False).alias("_in")).groupBy(key).agg(F.round(F.avg(F.col("_in").cast("int")), 4).alias("internal_rate"))
     ends = found.groupBy(key).agg(F.count("*").alias("end_rows"), F.round(F.avg((F.col("match_length") >= long_).cast("int")), 4).alias("pct_multis"))
     return inner.join(ends, key, "left").select(key, F.coalesce("end_rows", F.lit(0)).alias("end_rows"), F.coalesce("pct_multis", F.lit(0.0)).alias("pct_multis"), "internal_rate")
@@ -190,8 +193,7 @@ def song_metrics(lines: DataFrame, found: DataFrame, key: str, long_: int = 3) -
 
 def profile(lines: DataFrame, found: DataFrame, key: str, long_: int = 3) -> DataFrame:
     """``factor`` and ``song_metrics`` side by side, from one pass over the lines and one over what was found."""
-    pair = F.transform(F.sequence(F.lit(1), F.length("skel") - 1), lambda i: F.substring("skel", i, 2))
-    has = (F.length("skel") >= 4) & (F.size(F.array_distinct(pair)) < F.size(pair))
+    has = F.col("skel").rlike(PAIR_TWICE)
     whole = lines.groupBy(key).agg(F.sum(F.length("skel")).alias("_all"), F.round(F.avg(F.when(F.length("skel") >= 4, has).otherwise(False).cast("int")), 4).alias("internal_rate"))
     hits = found.groupBy(key).agg(F.sum("match_length").alias("_hit"), F.count("*").alias("end_rows"), F.round(F.avg((F.col("match_length") >= long_).cast("int")), 4).alias("pct_multis"))
     share = F.when(F.col("_all") > 0, F.round(F.coalesce("_hit", F.lit(0)) / F.col("_all"), 4)).otherwise(0.0)

@@ -26,7 +26,7 @@ found AS (SELECT {key}, CAST(ordinal AS INTEGER) AS ordinal, CAST(hit AS INTEGER
 
 
 def skeletons(t):
-    return doc_lines(t).select("doc_id", "source", "lang", "ordinal", T.skeleton(F.col("line_norm")).alias("skel"))
+    return C.skeletons(t.documents, "text", ["doc_id", "source", "lang"])
 
 
 def found(t):

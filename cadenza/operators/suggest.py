@@ -62,9 +62,12 @@ def sections(marks: DataFrame, doc: str) -> DataFrame:
 # ---- forms ----
 
 
-def most_seen(tokens: DataFrame, form: str = "form", lemma: str = "lemma", tag: str = "upos") -> DataFrame:
-    """form, lemma, upos, freq: of each form its most frequent reading, the first by name on ties."""
-    each = tokens.groupBy(F.col(form).alias("form"), F.col(lemma).alias("lemma"), F.col(tag).alias("upos")).agg(F.count("*").alias("freq"))
+def most_seen(tokens: DataFrame, form: str = "form", lemma: str = "lemma", tag: str = "upos", n: str | None = None) -> DataFrame:
+    """form, lemma, upos, freq: of each form its most frequent reading, the first by name on ties.
+
+    ``n``, here and below: how often a row occurs, if tokens are counted; one counted table then serves every step.
+    """
+    each = tokens.groupBy(F.col(form).alias("form"), F.col(lemma).alias("lemma"), F.col(tag).alias("upos")).agg(F.sum(n or F.lit(1)).alias("freq"))
     best = F.min(F.struct((-F.col("freq")).alias("n"), "lemma", "upos"))
     return each.groupBy("form").agg(best.alias("_b")).select("form", "_b.lemma", "_b.upos", (-F.col("_b.n")).alias("freq"))
 
@@ -86,18 +89,25 @@ def words(lines: DataFrame, doc: str) -> DataFrame:
     return each.withColumn("form", F.lower(T.ascii_fold(F.col("word")))).where(F.length("form") >= SHORTEST)
 
 
-def vocabulary(lines: DataFrame, doc: str, tokens: DataFrame, cohort: Column, least: int = 5) -> DataFrame:
+def _readings(mine: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` of the distinct forms of drafts.  By null-safe equality: what is known of a draft's words (their length)
+    then is no filter on the corpus' counts, which other steps share."""
+    asked = mine.select(F.col("form").alias("_form")).distinct()
+    return asked.join(known, F.col("_form").eqNullSafe(F.col("form"))).drop("form").withColumnRenamed("_form", "form")
+
+
+def vocabulary(lines: DataFrame, doc: str, tokens: DataFrame, cohort: Column, least: int = 5, n: str | None = None) -> DataFrame:
     """Rare content words with the cohort's most frequent other form of their lemma (safe), else of their word class.
 
     ``tokens``: form, lemma, upos of the corpus; ``cohort``: which of them are the cohort's.
     """
-    known = most_seen(tokens).where((F.col("freq") < RARE) & F.col("upos").isin(*CONTENT))
-    own = tokens.where(cohort)
+    known = most_seen(tokens, n=n).where((F.col("freq") < RARE) & F.col("upos").isin(*CONTENT))
+    own = F.sum(F.when(cohort, F.col(n) if n else F.lit(1))).alias("n")  # null of forms that the cohort lacks
     order = [F.desc("n"), F.asc("form")]
-    by_lemma = leaders(own.groupBy("lemma", "form").agg(F.count("*").alias("n")), "lemma", order)
-    by_tag = leaders(own.groupBy("upos", "form").agg(F.count("*").alias("n")).where(F.col("n") >= least), "upos", order)
+    by_lemma = leaders(tokens.groupBy("lemma", "form").agg(own).where("n > 0"), "lemma", order)
+    by_tag = leaders(tokens.groupBy("upos", "form").agg(own).where(F.col("n") >= F.greatest(F.lit(least), F.lit(1))), "upos", order)
     mine = words(lines, doc)
-    asked = mine.select("form").distinct().join(known, "form")
+    asked = _readings(mine, known)
     both = asked.join(by_lemma.withColumnRenamed("best", "_l"), "lemma", "left").join(by_tag.withColumnRenamed("best", "_t"), "upos", "left")
     same, fallback = other_than("_l", F.col("form")), other_than("_t", F.col("form"))
     found = both.select("form", same["form"].alias("_same"), F.coalesce(same["form"], fallback["form"]).alias("_to")).where("_to is not null")
@@ -121,11 +131,11 @@ def slang_by_tag(slang: DataFrame, known: DataFrame) -> DataFrame:
     return leaders(named, "upos", [F.desc("n"), F.asc("form")])
 
 
-def slang(lines: DataFrame, doc: str, tokens: DataFrame, terms: DataFrame, positive: bool = True) -> DataFrame:
+def slang(lines: DataFrame, doc: str, tokens: DataFrame, terms: DataFrame, positive: bool = True, n: str | None = None) -> DataFrame:
     """Content words that are no slang, with the most distinctive slang of their word class."""
-    known, mine, dear = most_seen(tokens), words(lines, doc), distinctive(terms, positive)
+    known, mine, dear = most_seen(tokens, n=n), words(lines, doc), distinctive(terms, positive)
     best = slang_by_tag(dear, known)
-    asked = mine.select("form").distinct().join(known.where(F.col("upos").isin(*CONTENT)), "form").join(dear.select(F.col("folded").alias("form")), "form", "left_anti")
+    asked = _readings(mine, known.where(F.col("upos").isin(*CONTENT))).join(dear.select("folded"), F.col("form").eqNullSafe(F.col("folded")), "left_anti")
     found = asked.join(best, "upos").select("form", F.get("best", F.lit(0))["form"].alias("_to"))
     return mine.join(found, "form").select(*_suggestion(doc, F.col("line_no"), "slang", "slang_injection", "suggest", F.col("word"), F.col("_to"), False))
 

@@ -32,7 +32,7 @@ def doc_lines(t, norm: bool = True):
 
 
 def doc_tokens(t):
-    return C.tokens(doc_lines(t), ["doc_id", "source", "lang", "ordinal"])
+    return C.words(t.documents, "text", ["doc_id", "source", "lang"])
 
 
 # ---- scalars ----
@@ -135,6 +135,12 @@ query("e14_fingerprints", f"WITH {LINES}, {METRICS} SELECT lang, source, count(*
 _LEX = f"WITH {LINES}, n AS (SELECT token, count(*) FILTER (lang = 'en') AS freq_a, count(*) FILTER (lang = 'fr') AS freq_b FROM tokens WHERE lang IN ('en', 'fr') GROUP BY token), lex AS (SELECT token, freq_a, freq_b, round(log2((freq_a * 10000.0 / (SELECT sum(freq_a) FROM n) + 0.5) / (freq_b * 10000.0 / (SELECT sum(freq_b) FROM n) + 0.5)), 6) AS distinctiveness FROM n WHERE freq_a + freq_b >= 3)"
 
 
+def lang_counts(t):
+    """lang, token, n: word counts that the parts of one plan share (with a token that cannot be null no part's join adds a
+    filter of its own below them, so that their shuffle is one)."""
+    return doc_tokens(t).withColumn("token", F.coalesce("token", F.lit(""))).groupBy("lang", "token").agg(F.count("*").alias("n"))
+
+
 def lexicon(t):
     return C.mined_lexicon(doc_tokens(t), "lang", "en", "fr")
 

@@ -9,7 +9,7 @@ from ..operators import corpus as C
 from ..operators import drafts as D
 from ..operators import rhyme as R
 from ..operators import suggest as S
-from .lexical import _FOLD, _LEX, _NORM, _SKEL, _labelled, LINES, ROLES, doc_tokens, lexicon
+from .lexical import _FOLD, _LEX, _NORM, _SKEL, _labelled, LINES, ROLES, doc_tokens, lang_counts
 from .registry import query
 
 _ROLE = "CASE label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ROLES.items()) + " END"
@@ -34,7 +34,7 @@ w AS (SELECT conv_id, line_no, word, {_NORM.format('word')} AS form FROM (SELECT
 
 
 def annotated(t):
-    return doc_tokens(t).select(F.col("token").alias("form"), F.left("token", F.lit(4)).alias("lemma"), F.expr(_TAG).alias("upos"), "lang")
+    return lang_counts(t).select(F.col("token").alias("form"), F.left("token", F.lit(4)).alias("lemma"), F.expr(_TAG).alias("upos"), "lang", "n")
 
 
 _VOCABULARY = f"""bl AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, form) AS r FROM (SELECT lemma, form, count(*) AS n FROM ct WHERE lang = 'en' GROUP BY ALL)),
@@ -47,7 +47,7 @@ vocabulary AS (SELECT conv_id, line_no, 'vocabulary' AS direction, CASE WHEN sl.
 
 
 def vocabulary(t):
-    return S.vocabulary(S.lyric_lines(drafts(t)), "conv_id", annotated(t), F.col("lang") == "en")
+    return S.vocabulary(S.lyric_lines(drafts(t)), "conv_id", annotated(t), F.col("lang") == "en", n="n")
 
 
 query("t12_vocabulary", f"WITH {LINES}, {DRAFTS}, {_FORMS}, {_VOCABULARY} SELECT * FROM vocabulary")(vocabulary)
@@ -58,11 +58,11 @@ slang AS (SELECT conv_id, line_no, 'slang' AS direction, 'slang_injection' AS ca
 
 
 def terms(t):
-    return lexicon(t).select(F.col("token").alias("form"), "distinctiveness")
+    return C.mined_lexicon(lang_counts(t), "lang", "en", "fr", n="n").select(F.col("token").alias("form"), "distinctiveness")
 
 
 def slang(t):
-    return S.slang(S.lyric_lines(drafts(t)), "conv_id", annotated(t), terms(t))
+    return S.slang(S.lyric_lines(drafts(t)), "conv_id", annotated(t), terms(t), n="n")
 
 
 query("t13_slang", f"{_LEX}, {DRAFTS}, {_FORMS}, {_SLANG} SELECT * FROM slang")(slang)
@@ -70,7 +70,7 @@ query("t13_slang", f"{_LEX}, {DRAFTS}, {_FORMS}, {_SLANG} SELECT * FROM slang")(
 
 @query("d14_slang_by_class", f"{_LEX}, {DRAFTS}, {_FORMS}, {_SLANG} SELECT upos, string_agg(form, ',' ORDER BY r) AS best FROM tagged WHERE r <= 2 GROUP BY upos")
 def slang_by_class(t):
-    best = S.slang_by_tag(S.distinctive(terms(t), True), S.most_seen(annotated(t)))
+    best = S.slang_by_tag(S.distinctive(terms(t), True), S.most_seen(annotated(t), n="n"))
     return best.select("upos", F.array_join(F.transform("best", lambda s: s["form"]), ",").alias("best"))
 
 

@@ -59,9 +59,14 @@ def fit(df: DataFrame, key: str, vector: str, k: int, seed: int = 42, least: int
 
 def class_terms(terms: DataFrame, members: DataFrame, key: str, k: int = 10) -> DataFrame:
     """topic, term, weight, rank: the ``k`` words that mark a topic, by class TF-IDF: frequency in the topic times
-    ln(1 + mean words a topic / frequency in all).  ``terms``: key, term, tf."""
-    inside = terms.join(members.where(F.col("topic") != OUTLIER).select(key, "topic"), key)
-    counted = inside.groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
+    ln(1 + mean words a topic / frequency in all).  ``terms``: key, term, tf; a null term is none.
+
+    Terms are counted once: with columns that cannot be null no join below adds a filter of its own, and all share the
+    shuffle of the counts.
+    """
+    inside = terms.where(F.col("term").isNotNull()).join(members.where(F.col("topic") != OUTLIER).select(key, "topic"), key)
+    whole = inside.select(F.coalesce("topic", F.lit(OUTLIER)).alias("topic"), F.coalesce("term", F.lit("")).alias("term"), "tf")
+    counted = whole.groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
     every = counted.groupBy("term").agg(F.sum("tf").alias("_f"))
     sizes = counted.groupBy("topic").agg(F.sum("tf").alias("_n"))  # a row a topic
     mean = sizes.agg(F.avg("_n").alias("_mean"))  # one row

@@ -382,3 +382,31 @@ def test_skeletons_of_lines_at_once(spark):
     each = C.lines(df, "text", ["id"]).select("id", "ordinal", T.skeleton(F.col("line_norm")).alias("skel"))
     assert sorted(map(tuple, C.skeletons(df, "text", ["id"]).collect())) == sorted(map(tuple, each.collect())) == [(1, 1, "ara"), (1, 2, "r"), (1, 3, "er"), (1, 4, "ua")]
     assert "regexp_replace" not in C.skeletons(df, "text", ["id"]).where("length(skel) >= 2")._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
+def test_repeated_parts_of_many_lines_at_once():
+    rng = random.Random(3)
+    skels = ["".join(rng.choice("aeiour") for _ in range(rng.choice([0, 3, 9, 40]))) for _ in range(200)] + ["ab" * 20, "a" * 9]
+    for n, longest in ((2, None), (2, 3), (3, None)):
+        wanted = set()
+        for k, x in enumerate(skels):
+            for m in range(n, min(len(x) // 2, longest or 99) + 1):
+                parts = [x[i : i + m] for i in range(len(x) - m + 1)]
+                wanted |= {(k, p, parts.count(p)) for p in parts if parts.count(p) > 1}
+        found = list(zip(*R.repeated_parts(skels, n, longest)))
+        assert set(found) == wanted and len(found) == len(wanted)
+    assert R.blocks([3, 3, 9, 1, 1], 6) == [(0, 2), (2, 3), (3, 5)] and R.blocks([], 6) == []
+
+
+def test_terms_of_topics_are_counted_once(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["m3_topic_terms"](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Generate explode") <= 1 and plan.count("ReusedExchange") >= 2
+
+
+def test_pairs_may_be_counted(spark):
+    df = spark.createDataFrame([("B", "a", 2), ("a", "b", 3), ("a", "A", 9)], "x string, y string, n long")
+    assert [tuple(r) for r in C.network(df, "x", "y", "n").collect()] == [("a", "b", 5)] and [tuple(r) for r in C.network(df, "x", "y").collect()] == [("a", "b", 2)]

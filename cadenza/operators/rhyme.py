@@ -19,24 +19,52 @@ def groups(lines: DataFrame, key: str, n: int = 2) -> DataFrame:
     return at.agg(F.sort_array(F.collect_list("ordinal")).alias("members"), F.count("*").alias("size")).where("size >= 2")
 
 
-def repeated_parts(skel: str, n: int, longest: int) -> dict[str, int]:
-    """Parts of n to ``longest`` letters that occur twice or more, with their number of places.
+#: Letters whose repeated parts are looked for at once.
+LETTERS = 200_000
 
-    Level by level: a part of m + 1 letters can only be repeated where its first m letters are.
+
+def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """(from, to) of runs of sizes that add up to ``most`` at most; a larger one is alone."""
+    out, begin, held = [], 0, 0
+    for k, x in enumerate(sizes):
+        if k > begin and held + x > most:
+            out.append((begin, k))
+            begin, held = k, 0
+        held += x
+    return [*out, (begin, len(sizes))] if sizes else []
+
+
+def repeated_parts(skels: list[str], n: int, longest: int | None = None) -> tuple[list[int], list[str], list[int]]:
+    """(number of the skeleton, part, places) of the parts of n letters or more that a skeleton has twice or more.
+
+    Parts are as long as half the skeleton at most.  Level by level for all skeletons at once: a part of m + 1 letters can
+    only be repeated where its first m letters are, so that only those places go on.
     """
-    out: dict[str, int] = {}
-    places = {"": list(range(len(skel)))}
-    for m in range(1, longest + 1):
-        longer: dict[str, list[int]] = {}
-        for part in places.values():
-            for k in part:
-                if k + m <= len(skel):
-                    longer.setdefault(skel[k : k + m], []).append(k)
-        places = {p: ks for p, ks in longer.items() if len(ks) > 1}
-        if not places:
+    import numpy as np
+
+    tops = np.array([len(x) // 2 if longest is None else min(len(x) // 2, longest) for x in skels], np.int64)
+    ends = np.cumsum([len(x) for x in skels], dtype=np.int64)
+    letters = np.frombuffer("".join(skels).encode("utf-32-le"), np.uint32).astype(np.int64)
+    kinds, letters = np.unique(letters, return_inverse=True)
+    line = np.repeat(np.arange(len(skels)), [len(x) for x in skels])
+    starts, at = ends - [len(x) for x in skels], np.arange(len(letters))
+    group, out = line.copy(), ([], [], [])
+    m = 0
+    while len(at):
+        m += 1
+        on = (at + m <= ends[line[at]]) & (m <= tops[line[at]])
+        at, group = at[on], group[on]
+        if not len(at):
             break
+        _, first, group, times = np.unique(group * len(kinds) + letters[at + m - 1], return_index=True, return_inverse=True, return_counts=True)
         if m >= n:
-            out.update((p, len(ks)) for p, ks in places.items())
+            twice = first[times > 1]
+            for k, i in zip(line[at[twice]].tolist(), (at[twice] - starts[line[at[twice]]]).tolist()):
+                out[0].append(k)
+                out[1].append(skels[k][i : i + m])
+            out[2].extend(times[times > 1].tolist())
+        on = times[group] > 1
+        at, group = at[on], group[on]
     return out
 
 
@@ -44,7 +72,7 @@ def internal(lines: DataFrame, key: str, n: int = 2, longest: int | None = None)
     """key, ordinal, part, times of each skeleton part of n letters or more that a line has twice (overlap counts).
 
     Parts are as long as half the skeleton at most; ``longest`` bounds them further.  The rows of one line are
-    its repeated parts, found in an Arrow function that holds one line at a time.
+    its repeated parts, found in an Arrow function for some lines of a batch at once: ``LETTERS`` letters, or one line.
     """
     schema = f"{key} {lines.schema[key].dataType.simpleString()}, ordinal {lines.schema['ordinal'].dataType.simpleString()}, part string, times long"
 
@@ -52,15 +80,11 @@ def internal(lines: DataFrame, key: str, n: int = 2, longest: int | None = None)
         import pyarrow as pa
 
         for batch in batches:
-            at, parts, times = [], [], []
-            for k, skel in enumerate(batch.column(2).to_pylist()):
-                top = len(skel) // 2 if longest is None else min(len(skel) // 2, longest)
-                found = repeated_parts(skel, n, top)
-                at += [k] * len(found)
-                parts += found.keys()
-                times += found.values()
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(parts, pa.string()), pa.array(times, pa.int64())], names=[key, "ordinal", "part", "times"])
+            for i, j in blocks([len(x) for x in batch.column(2).to_pylist()], LETTERS):
+                some = batch.slice(i, j - i)
+                at, parts, times = repeated_parts(some.column(2).to_pylist(), n, longest)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(parts, pa.string()), pa.array(times, pa.int64())], names=[key, "ordinal", "part", "times"])
 
     return lines.where(F.length("skel") >= 2 * n).select(key, "ordinal", "skel").mapInArrow(run, schema)
 

@@ -39,7 +39,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -225,11 +225,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int, shared
 # ---- candidates ----
 
 
+def met(index: DataFrame) -> DataFrame:
+    """key, node, leader, rows of the keys that more than one node has: the keys are shuffled once."""
+    each = index.where("node is not null").select("node", F.explode("keys").alias("key"))
+    w = Window.partitionBy("key")
+    told = each.select("key", "node", F.min("node").over(w).alias("leader"), F.max("node").over(w).alias("_last"), F.count("*").over(w).alias("rows"))
+    return told.where("leader <> _last").drop("_last").dropDuplicates(["key", "node"])
+
+
 def shared_keys(index: DataFrame) -> DataFrame:
     """Written table (key, node, leader, rows) of the keys that more than one node has; ``rows`` counts repeated sets too."""
-    each = index.where("node is not null").select("node", F.explode("keys").alias("key"))
-    several = each.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last"), F.count("*").alias("rows")).where("leader <> _last").drop("_last")
-    return common.written(each.join(several, "key").dropDuplicates(["key", "node"]), "jaccard-keys", compression="zstd")
+    return common.written(met(index), "jaccard-keys", compression="zstd")
 
 
 def _side(nodes: DataFrame, c: str, node: str) -> DataFrame:
@@ -355,10 +361,9 @@ class _Search:
 
     def apart(self, keys: DataFrame) -> DataFrame:
         """Written table (key, node, label, nodes) of the keys of three nodes or more that are in more than one component."""
-        each = self.labelled(keys.select("key", "node"))
-        open_ = each.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("nodes"))
-        open_ = open_.where("x <> y and nodes > 2").select("key", "nodes")  # the star was all of two
-        out = common.written(each.join(open_, "key"), "jaccard-apart", compression="zstd")
+        w = Window.partitionBy("key")
+        each = self.labelled(keys.select("key", "node")).select("key", "node", "label", F.min("label").over(w).alias("_x"), F.max("label").over(w).alias("_y"), F.count("*").over(w).alias("nodes"))
+        out = common.written(each.where("_x <> _y and nodes > 2").drop("_x", "_y"), "jaccard-apart", compression="zstd")  # the star was all of two
         common.drop(keys)
         return out
 

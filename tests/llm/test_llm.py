@@ -592,6 +592,14 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.join(df, 3, 80).collect())) == linked(rows, 3, 80)
 
 
+def test_jaccard_shuffles_keys_once(spark):
+    index = spark.createDataFrame([(1, 10, [7, 8]), (2, 11, [7, 9]), (3, 10, [7, 8]), (4, None, []), (5, 12, [6])], "doc_id int, node long, keys array<long>")
+    found = jaccard.met(index)
+    assert sorted(map(tuple, found.select("key", "node", "leader", "rows").collect())) == [(7, 10, 10, 3), (7, 11, 10, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 1  # the keys of all documents are dealt out once
+
+
 def test_jaccard_keeps_one_of_each(odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.one_of_each(none).count() == 0
     nameless = [(None, ""), (None, ""), (None, None), (None, "a b c"), (None, "a b c"), (3, ""), (3, "")]

@@ -44,6 +44,18 @@ def composed(df: DataFrame, text_col: str) -> DataFrame:
     return df.where(~apart).unionByName(marked)
 
 
+#: Characters of text in a part of ``dealt``: words and pairs of words of so much take some hundred MB in a task.
+DEALT = 4_000_000
+
+
+def dealt(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """``key``, text, shuffled by key in parts of about ``DEALT`` characters, counted first: what is cut and counted in a
+    part stays as large as that at any size of the input, as parts of a given number are not put together again."""
+    chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
+    least = df.sparkSession.sparkContext.defaultParallelism if chars > DEALT else 1
+    return df.repartition(max(least, -(-chars // DEALT)), key)
+
+
 def dedup(df: DataFrame, keys: list[Column], order: list[Column], path_col: str) -> DataFrame:
     """Every row with ``is_kept`` (first of its key) and ``duplicate_of`` (the first's path, null on the first)."""
     w = Window.partitionBy(*keys).orderBy(*order)

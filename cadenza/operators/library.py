@@ -108,7 +108,7 @@ def texts(df: DataFrame, key: str, text: str, english: list[str] | None = None,
     The longest row is bounded by these two and one text.  Equal counts are in the order of the text; null is empty.
     Texts are shuffled by their key before they are cut; all that follows stays in place.
     """
-    whole = df.select(key, F.coalesce(text, F.lit("")).alias("_t")).repartition(key)
+    whole = C.dealt(df.select(key, F.coalesce(text, F.lit("")).alias("_t")), key, "_t")
     words = whole.select(key, F.posexplode(T.words(F.col("_t"))).alias("place", "word"))
     lines = whole.select(key, F.posexplode(F.split("_t", "\n")).alias("place", "line")).where(F.col("line").rlike(r"\S"))
     listed = F.col("word").isin(*(english or [""]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import corpus as C
 
 
 def ngrams(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -15,7 +16,7 @@ def ngrams(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """
     words = F.filter(T.words(F.col(text_col)), lambda w: F.length(w) >= 2)
     pairs = F.when(F.size("w") >= 2, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return df.select(key, text_col).repartition(key).select(key, words.alias("w")).select(key, F.explode(F.concat(F.col("w"), pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return C.dealt(df.select(key, text_col), key, text_col).select(key, words.alias("w")).select(key, F.explode(F.concat(F.col("w"), pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(terms: DataFrame, key: str, features: int) -> DataFrame:

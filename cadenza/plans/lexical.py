@@ -217,7 +217,7 @@ ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿčćšž", "aa
 
 
 def _diacritics(t):
-    whole = t.documents.select("doc_id", "text").repartition("doc_id")  # the only shuffle: of texts, before they are cut
+    whole = C.dealt(t.documents.select("doc_id", "text"), "doc_id", "text")  # the only shuffle: of texts, before they are cut
     words = whole.select("doc_id", F.explode(T.words(F.col("text"))).alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"))
     n = words.withColumn("folded", F.translate("form", *ACCENTS))
     w = Window.partitionBy("doc_id", "folded").orderBy(F.desc("n"), "form")

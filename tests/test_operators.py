@@ -405,3 +405,15 @@ def test_terms_of_topics_are_counted_once(spark, sf_dir):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Generate explode") <= 1 and plan.count("ReusedExchange") >= 2
+
+
+def test_terms_are_cut_in_parts_of_bounded_text(spark, monkeypatch):
+    from cadenza.operators import retrieval
+
+    monkeypatch.setattr(C, "DEALT", 50)
+    rows = [(k, "one two one two " * 4) for k in range(40)]
+    df = spark.createDataFrame([*rows, (3, "one"), (41, None)], "k int, text string")
+    assert C.dealt(df, "k", "text").rdd.getNumPartitions() == 52  # 2,563 characters
+    assert C.dealt(df.limit(0), "k", "text").rdd.getNumPartitions() == 1
+    got = {(r.k, r.term): r.tf for r in retrieval.ngrams(df, "k", "text").collect()}
+    assert got[3, "one"] == 9 and got[5, "one two"] == 8 and got[5, "two one"] == 7 and len(got) == 160

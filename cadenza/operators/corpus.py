@@ -51,9 +51,13 @@ DEALT = 4_000_000
 def dealt(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """``key``, text, shuffled by key in parts of about ``DEALT`` characters, counted first: what is cut and counted in a
     part stays as large as that at any size of the input, as parts of a given number are not put together again."""
-    chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
-    least = df.sparkSession.sparkContext.defaultParallelism if chars > DEALT else 1
-    return df.repartition(max(least, -(-chars // DEALT)), key)
+    return in_parts(df, key, df.agg(F.sum(F.length(text_col))).first()[0] or 0, DEALT)
+
+
+def in_parts(df: DataFrame, key: str, size: int, most: int) -> DataFrame:
+    """``df`` of the given size shuffled by key in parts of about ``most``; where it is more than one, all cores have a part."""
+    least = df.sparkSession.sparkContext.defaultParallelism if size > most else 1
+    return df.repartition(max(least, -(-size // most)), key)
 
 
 def dedup(df: DataFrame, keys: list[Column], order: list[Column], path_col: str) -> DataFrame:

@@ -23,8 +23,14 @@ query("d5_pending_work", "WITH s AS (SELECT user_id, arg_max(event_type, (ts, ev
 query("d6_upsert", "SELECT p_partkey, CASE WHEN l.l_partkey IS NULL THEN 'new' WHEN l.q < 100 THEN 'update' ELSE 'skip' END AS action FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_partkey) l ON p_partkey = l_partkey")(lambda t: t.part.join(t.lineitem.groupBy("l_partkey").agg(F.sum("l_quantity").alias("q")), F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.when(F.col("l_partkey").isNull(), "new").when(F.col("q") < 100, "update").otherwise("skip").alias("action")))
 
 
+#: Line items whose pairs of suppliers are made and counted in one task.
+_JOINED = 250_000
+
+
 def _edges(t):
-    a, b = (t.lineitem.select("l_orderkey", F.col("l_suppkey").alias(x)).distinct() for x in "xy")
+    lines = t.lineitem.where("l_orderkey is not null").select("l_orderkey", "l_suppkey")
+    lines = C.in_parts(lines, "l_orderkey", t.lineitem.count(), _JOINED).distinct()
+    a, b = (lines.select("l_orderkey", F.col("l_suppkey").alias(x)) for x in "xy")
     pairs = a.join(b, "l_orderkey").where("x < y")
     return C.network(pairs.select(F.format_string("Supplier%d", "x").alias("x"), F.format_string("Supplier%d", "y").alias("y")), "x", "y")
 

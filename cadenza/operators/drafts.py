@@ -110,27 +110,38 @@ def alternatives(tokens: DataFrame, group: str, form: str, k: int = 3, least: in
     return C.top_k(counted, [group], [F.desc("n"), F.asc(form)], k)
 
 
+# Fixed value: a word with what follows it, or what stands before a line's first word.
+_PART = r"[\p{L}\p{N}_]+[^\p{L}\p{N}_]*|[^\p{L}\p{N}_]+"
+
+
 def injected(lines: DataFrame, doc: str, slang: DataFrame, density: float) -> DataFrame:
     """Lines with words replaced by slang of equal length (else one shorter, one longer), most distinctive first.
 
     A draft gets at most int(density * words) less the slang it has; capitals and punctuation stay.  ``slang``:
-    form, distinctiveness; a dimension of at most one best form for each length is joined.
+    form, distinctiveness; a dimension of at most one best form for each length is joined, and its forms go to every task.
+    Lines of texts that were shuffled by ``doc`` before they were cut (``corpus.dealt``) need no further shuffle.
     """
     best = slang.groupBy(F.length("form").alias("_len")).agg(F.max_by("form", F.struct("distinctiveness", "form")).alias("_form"))
     table = F.map_from_entries(F.collect_list(F.struct("_len", "_form")))
     lookup = best.agg(table.alias("_m"))  # one row
-    parts = F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), 0)
-    each = lines.select(doc, "ordinal", F.posexplode(parts).alias("_at", "_p")).withColumn("_word", F.col("_p").rlike(r"[\p{L}\p{N}_]"))
-    has = each.join(slang.select("form").distinct(), F.lower("_p") == F.col("form"), "left")
-    n = F.length("_p")
+    parts = F.regexp_extract_all("line", F.lit(_PART), 0)
+    # A part is a word with what follows it; only a line's first part can be without a word.
+    each = lines.select(doc, "ordinal", F.posexplode(parts).alias("_at", "_p")).withColumn("_w", F.regexp_extract("_p", r"^[\p{L}\p{N}_]*", 0)).where("_w <> ''")
+    has = each.join(F.broadcast(slang.select("form").distinct()), F.lower("_w") == F.col("form"), "left")
+    n = F.length("_w")
     pick = F.coalesce(F.try_element_at("_m", n), F.try_element_at("_m", n - 1), F.try_element_at("_m", n + 1))
+    to = has.crossJoin(F.broadcast(lookup)).withColumn("_new", F.when(F.col("form").isNull() & (n >= 3), pick))
+    cased = F.when(F.col("_w").rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("_new", 1, 1)), F.substring("_new", 2, 1000))).otherwise(F.col("_new"))
+    words = to.select(doc, "ordinal", "_at", F.col("form").isNotNull().alias("_is"), F.concat(cased, F.substring("_p", n + 1, F.length("_p"))).alias("_out"))
     w = Window.partitionBy(doc)
-    sized = has.crossJoin(F.broadcast(lookup)).withColumn("_new", F.when(F.col("_word") & F.col("form").isNull() & (n >= 3), pick))
-    quota = F.floor(density * F.count_if(F.col("_word")).over(w)) - F.count("form").over(w)
-    sized = sized.withColumn("_q", quota).withColumn("_r", F.when(F.col("_new").isNotNull(), F.row_number().over(w.orderBy(F.col("_new").isNull(), "ordinal", "_at"))))
-    cased = F.when(F.col("_p").rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("_new", 1, 1)), F.substring("_new", 2, 1000))).otherwise(F.col("_new"))
-    done = sized.withColumn("_out", F.when(F.col("_r") <= F.col("_q"), cased).otherwise(F.col("_p")))
-    return done.groupBy(doc, "ordinal").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_out"))), lambda s: s["_out"]), "").alias("line"), F.count_if(F.col("_r") <= F.col("_q")).alias("replaced"))
+    # Places in order first: the counts of the draft then need no sort of their own.
+    placed = words.withColumn("_r", F.count("_out").over(w.orderBy("ordinal", "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    quota = F.floor(density * F.count("*").over(w)) - F.count_if(F.col("_is")).over(w)
+    chosen = placed.withColumn("_q", quota).where("_out is not null and _r <= _q").groupBy(doc, "ordinal").agg(F.collect_list(F.struct("_at", "_out")).alias("_to"))
+    # Few words are replaced: only their lines are put together again.
+    new = lambda p, k: F.coalesce(F.get(F.filter("_to", lambda s: s["_at"] == k), F.lit(0))["_out"], p)
+    line = F.when(F.col("_to").isNull(), F.col("line")).otherwise(F.array_join(F.transform(parts, new), ""))
+    return lines.select(doc, "ordinal", "line").join(chosen, [doc, "ordinal"], "left").select(doc, "ordinal", line.alias("line"), F.when(F.col("_to").isNull(), 0).otherwise(F.size("_to")).cast("long").alias("replaced"))
 
 
 def flow_suggestions(sections: DataFrame, key: list[str], kind: str, mean: str, cohort: DataFrame) -> DataFrame:

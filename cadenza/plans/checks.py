@@ -55,7 +55,7 @@ def _two(t):
 
 query("r8_scheme_check")(lambda t: D.scheme_check(R.scheme(skeletons(t), found(t), "doc_id").where("letters <> 'free'"), "doc_id", "scheme", "AABB").withColumn("broken", F.array_join("broken", ",")))
 query("r9_partners")(lambda t: D.partner_lines(found(t), "doc_id", "ordinal", "suffix"))
-query("t11_slang_injection")(lambda t: D.injected(doc_lines(t), "doc_id", C.lexicon_top(lexicon(t), "a", 200).select(F.col("token").alias("form"), "distinctiveness"), 0.02))
+query("t11_slang_injection")(lambda t: D.injected(C.lines(C.dealt(t.documents.select("doc_id", "text"), "doc_id", "text"), "text", ["doc_id"]), "doc_id", C.lexicon_top(lexicon(t), "a", 200).select(F.col("token").alias("form"), "distinctiveness"), 0.02))
 query("d13_alternatives", f"WITH {LINES}, n AS (SELECT left(token, 3) AS stem, token, count(*) AS n FROM tokens GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY stem ORDER BY n DESC, token) AS INTEGER) AS rank FROM n) SELECT * FROM r WHERE rank <= 3")(lambda t: D.alternatives(doc_tokens(t).withColumn("stem", F.left("token", F.lit(3))), "stem", "token"))
 query("t14_missing_types", "WITH k AS (SELECT conv_id, list(DISTINCT role) AS k FROM conversations GROUP BY conv_id) SELECT conv_id, unnest(list_filter(['system', 'user', 'assistant'], lambda x: NOT list_contains(k, x))) AS missing FROM k")(lambda t: D.missing_types(t.conversations, "conv_id", "role", ["system", "user", "assistant"]))
 query("t15_flow", f"WITH x AS (SELECT conv_id, turn, role, {_SYL.format('lower(text)')} / len(string_split(text, chr(10))) AS m FROM conversations), c AS (SELECT role, avg(m) AS c FROM x GROUP BY role) SELECT conv_id, turn, role, CASE WHEN m > c THEN 'split' ELSE 'merge' END AS advice, round(m - c, 6) AS gap FROM x JOIN c USING (role) WHERE abs(m - c) >= 1.5")(lambda t: _flow(t))

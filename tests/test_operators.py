@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import struct
 import wave
 
@@ -417,3 +418,41 @@ def test_terms_are_cut_in_parts_of_bounded_text(spark, monkeypatch):
     assert C.dealt(df.limit(0), "k", "text").rdd.getNumPartitions() == 1
     got = {(r.k, r.term): r.tf for r in retrieval.ngrams(df, "k", "text").collect()}
     assert got[3, "one"] == 9 and got[5, "one two"] == 8 and got[5, "two one"] == 7 and len(got) == 160
+
+
+def test_pairs_are_made_in_parts_of_bounded_size(spark, monkeypatch):
+    from cadenza.plans import library
+
+    rows = [(o, s) for o in range(40) for s in (1, 2, 2 + o % 3)]
+    df = spark.createDataFrame([*rows, (None, 1), (None, 2), (50, None), (50, 1)], "l_orderkey long, l_suppkey long")
+    monkeypatch.setattr(library, "_JOINED", 5)
+    asked, real = [], C.in_parts
+    monkeypatch.setattr(C, "in_parts", lambda *a: asked.append(real(*a).rdd.getNumPartitions()) or real(*a))
+    got = sorted(map(tuple, library._edges(type("Tables", (), {"lineitem": df})).collect()))
+    assert asked == [25]  # 124 rows in parts of 5
+    assert got == [("supplier1", "supplier2", 40), ("supplier1", "supplier3", 13), ("supplier1", "supplier4", 13), ("supplier2", "supplier3", 13), ("supplier2", "supplier4", 13)]
+
+
+def test_slang_takes_words_in_order(spark):
+    text = "-- The cat, (sat) on Öl!\n\nthe cat; sat dot \n...\nbig cats"
+    slang = spark.createDataFrame([("zap", 2.0), ("dot", 1.0), ("wow", 2.0)], "form string, distinctiveness double")
+    lines = C.lines(C.dealt(spark.createDataFrame([(1, text), (2, "zap dot"), (3, "a cat"), (4, None)], "k int, text string"), "k", "text"), "text", ["k"])
+    found = D.injected(lines, "k", slang, 0.5)
+    got = sorted(map(tuple, found.collect()))
+    # 11 words, half of them less the one that is slang: 4 places, in order; a longer word takes a shorter one.
+    assert got == [(1, 1, "-- Zap zap, (zap) on Öl!", 3), (1, 2, "zap cat; sat dot", 1), (1, 3, "...", 0), (1, 4, "big cats", 0), (2, 1, "zap dot", 0), (3, 1, "a zap", 1)]
+    assert not re.search(r"hashpartitioning\(k#\d+, \d+\), ENSURE", found._jdf.queryExecution().executedPlan().toString())  # texts are shuffled, not their words
+
+
+def test_python_gets_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    pages = spark.createDataFrame([(1, "<title>x</title>y"), (2, None)], "page_id int, html string")
+    marked = spark.createDataFrame([("e\u0301",), (None,)], "t string")
+    for make in (lambda: readers.pages(pages), lambda: readers.song_pages(pages, "page_id"), lambda: C.composed(marked, "t")):
+        before = spark.conf.get(name)
+        try:
+            spark.conf.set(name, "10000")
+            rows = make().collect()
+            assert len(rows) == 2 and int(spark.conf.get(name)) <= 500
+        finally:
+            spark.conf.set(name, before)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The Serbian Cyrillic alphabet in Latin, and the folding of South Slavic letters.
@@ -77,6 +77,19 @@ def clean_lyrics(text: Column) -> Column:
     return F.trim(F.replace(to_latin(text), F.lit("\r\n"), F.lit("\n")))
 
 
+#: Rows of an Arrow batch of texts or pages, each of some kilobytes.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python at most ``BATCH_ROWS`` rows at once: what a worker holds of texts and its results
+    does not grow with the rows of a partition."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def nfc():
     """Unicode composition, which Spark has not: an Arrow UDF; apply it to rows that match ``\\p{M}``."""
     import unicodedata

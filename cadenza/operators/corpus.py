@@ -40,7 +40,7 @@ def tokens(lines_df: DataFrame, keep: list[str], line_col: str = "line_norm") ->
 def composed(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with the text's marks composed (NFC): only rows that have marks apart from their letters leave the JVM."""
     apart = F.coalesce(F.col(text_col).rlike(r"\p{M}"), F.lit(False))
-    marked = df.where(apart).withColumn(text_col, T.nfc()(F.col(text_col)))
+    marked = T.small_batches(df).where(apart).withColumn(text_col, T.nfc()(F.col(text_col)))
     return df.where(~apart).unionByName(marked)
 
 

@@ -152,7 +152,7 @@ def pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Dat
             out.append((p.title, "".join(p.parts)))
         return pd.DataFrame(out, columns=["title", "body"])
 
-    return df.select(id_col, parsed(html_col).alias("p")).select(id_col, "p.title", T.blank_lines_cleaned(F.col("p.body")).alias("text"))
+    return T.small_batches(df).select(id_col, parsed(html_col).alias("p")).select(id_col, "p.title", T.blank_lines_cleaned(F.col("p.body")).alias("text"))
 
 
 class _SongPage(HTMLParser):
@@ -217,7 +217,7 @@ def song_pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html", l
             out.append((joined(p.heading), p.shared, joined(p.artist), None if lyrics is None else "\n".join(lyrics)))
         return pd.DataFrame(out, columns=["heading", "shared", "artist", "raw"])
 
-    raw = df.select(F.col(id_col), parsed(html_col).alias("p")).select(id_col, "p.*")
+    raw = T.small_batches(df).select(F.col(id_col), parsed(html_col).alias("p")).select(id_col, "p.*")
     dash = F.when(F.contains("shared", F.lit("\u2013")), "\u2013").when(F.contains("shared", F.lit(" - ")), " - ")
     shared = F.nullif("shared", F.lit(""))
     after, before = F.substring_index("shared", "\u2013", -1), F.col("shared")

@@ -129,10 +129,12 @@ def skeleton(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), NO_VOWEL, "")
 
 
-def line_skeletons(text: Column) -> Column:
-    """The skeletons of a text's non-blank lines, all cut in one pass (a line's end stands between no vowels)."""
+def line_skeletons(text: Column, skip: str | None = None) -> Column:
+    """The skeletons of a text's non-blank lines, all cut in one pass (a line's end stands between no vowels); trimmed lines
+    that match ``skip`` are left out."""
+    kept_line = lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(skip) if skip else F.trim(x) != ""
     kept = F.split(F.regexp_replace(normalize(text), NO_VOWEL.replace("[^aeiour]", r"[^aeiour\n]"), ""), "\n")
-    return F.filter(F.zip_with(F.split(text, "\n"), kept, lambda x, skel: F.when(F.trim(x) != "", skel)), lambda skel: skel.isNotNull())
+    return F.filter(F.zip_with(F.split(text, "\n"), kept, lambda x, skel: F.when(kept_line(x), skel)), lambda skel: skel.isNotNull())
 
 
 def end_rhyme(skel: Column, n: int) -> Column:

@@ -19,12 +19,12 @@ def lines(df: DataFrame, text_col: str, keep: list[str], norm: bool = True) -> D
     return out.withColumn("word_count", F.size(T.words(F.col("line_norm")))).withColumn("syllable_count", T.syllables(F.col("line_norm")))
 
 
-def skeletons(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep``, ordinal (of ``lines``), skel of every non-blank line.
+def skeletons(df: DataFrame, text_col: str, keep: list[str], skip: str | None = None) -> DataFrame:
+    """``keep``, ordinal (of ``lines``), skel of every non-blank line that does not match ``skip``.
 
     Skeletons are made before the text is dealt into rows, so that a filter on them does not make them again.
     """
-    return df.select(*keep, F.posexplode(T.line_skeletons(F.col(text_col))).alias("_at", "skel")).select(*keep, (F.col("_at") + 1).alias("ordinal"), "skel")
+    return df.select(*keep, F.posexplode(T.line_skeletons(F.col(text_col), skip)).alias("_at", "skel")).select(*keep, (F.col("_at") + 1).alias("ordinal"), "skel")
 
 
 def words(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -60,6 +60,12 @@ def in_parts(df: DataFrame, key: str, size: int, most: int) -> DataFrame:
     return df.repartition(max(least, -(-size // most)), key)
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """``df`` behind a shuffle of its whole rows: as no reader's plan can leave a column out of it, those of a plan that
+    read it more than once have one shuffle, which Spark runs once."""
+    return df.select(F.array(F.struct("*")).alias("_row")).repartition("_row").select(F.inline("_row"))
+
+
 def dedup(df: DataFrame, keys: list[Column], order: list[Column], path_col: str) -> DataFrame:
     """Every row with ``is_kept`` (first of its key) and ``duplicate_of`` (the first's path, null on the first)."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -37,12 +37,15 @@ def _suggestion(doc: str, line_no: Column, direction: str, category: Column | st
 
 # ---- drafts ----
 
+#: Fixed value: a line that is a section's label.
+LABEL = r"^\[(.+?)\]$"
+
 
 def marked(df: DataFrame, doc: str, text: str, types: dict[str, str] | None = None) -> DataFrame:
     """doc, line_no, line, is_label, section (0 above the first label), kind (``unknown`` there), ordinal (among the lines
     that are no labels) of every non-blank line."""
     each = df.select(doc, F.posexplode(F.split(text, "\n")).alias("_at", "_line")).select(doc, (F.col("_at") + 1).alias("line_no"), F.trim("_line").alias("line")).where("line <> ''")
-    label = F.regexp_extract("line", r"^\[(.+?)\]$", 1)
+    label = F.regexp_extract("line", LABEL, 1)
     kind = (T.section_label(label, types) if types else T.section_label(label))["type"]
     w = Window.partitionBy(doc).orderBy("line_no")
     out = each.withColumn("is_label", label != "").withColumn("_kind", F.when(F.col("is_label"), kind))

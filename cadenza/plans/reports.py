@@ -6,16 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
-from ..operators import drafts as D
 from ..operators import report as E
-from ..operators import rhyme as R
 from ..operators import suggest as S
 from ..operators import templates as P
 from ..sources import readers
-from .fingerprints import _ENTITIES, SONGS, _owner, entities, parts, songs
-from .lexical import _LEX, _WORDS, lexicon
+from .fingerprints import _ENTITIES, SONGS, _owner, entities, parts
+from .lexical import _LEX, _WORDS, ROLES, _labelled, lexicon
 from .registry import query
-from .suggestions import _SECTION_LINES, DRAFTS, drafts, section_lines, skeletons
+from .suggestions import _SECTION_LINES, DRAFTS, drafts
 
 # ---- templates ----
 
@@ -41,14 +39,14 @@ def owned_parts(t):
     return _owner(parts(t))
 
 
-def template(t, n):
-    return P.template(owned_parts(t), "conv_id", "cohort", "section", "kind", "n_lines", n, ("c1",))
+def shaped(sections, n):
+    return P.template(sections, "conv_id", "cohort", "section", "kind", "n_lines", n, ("c1",))
 
 
 query("e27_types", f"WITH {DRAFTS}, {_PARTS}, {_TYPES} SELECT * FROM ty")(lambda t: P.types(owned_parts(t), "cohort", "kind", "n_lines"))
 query("e27_cohort_orderings", f"WITH {DRAFTS}, {_PARTS}, {_TOP} SELECT * FROM top")(lambda t: P.orderings(owned_parts(t), "conv_id", "cohort", "section", "kind").withColumn("ordering", F.array_join("ordering", ">")))
-query("e27_template", _template(6))(lambda t: template(t, 6))
-query("e27_filled_template", _template(40))(lambda t: template(t, 40))
+query("e27_template", _template(6))(lambda t: shaped(owned_parts(t), 6))
+query("e27_filled_template", _template(40))(lambda t: shaped(owned_parts(t), 40))
 
 # ---- discrimination ----
 
@@ -90,22 +88,22 @@ weak AS (SELECT *, CASE WHEN structural <= least(rhyme, lexical, repetition) THE
 
 
 def measured(t):
-    """(songs, drafts): conversations by the measures of a corpus' songs, and as drafts, whose multisyllabic share is by lines."""
-    lines = skeletons(t)
-    sized = lines.groupBy("conv_id").agg(F.count("*").alias("line_count"))
-    whole = songs(t).join(sized, "conv_id").join(parts(t).groupBy("conv_id").agg(F.count("*").alias("section_count")), "conv_id")
-    multi = R.groups(lines, "conv_id", 3).groupBy("conv_id").agg(F.sum("size").alias("_m"))
-    own = whole.drop("pct_multis").join(multi, "conv_id", "left").withColumn("pct_multis", F.round(F.coalesce("_m", F.lit(0)) / F.col("line_count"), 4)).drop("_m")
-    return whole, own
+    """Conversations by their measures and sections."""
+    return _owner(E.measured(_labelled(t), "conv_id", "text", ROLES))
 
 
-def scored(t, *keep):
-    whole, own = measured(t)
-    return E.component_scores(own, E.baselines(whole, "cohort"), "conv_id", "cohort", keep)
+def _baselines(each):
+    return E.baselines(each.where("line_count > 0"), "cohort")
 
 
-query("e26_baselines", f"WITH RECURSIVE {SONGS}, {_SCORED} SELECT cohort, songs, " + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in _MEASURES for k in ("mean", "std")) + " FROM base")(lambda t: E.baselines(measured(t)[0], "cohort").select("cohort", "songs", *(F.round(f"{c}_{k}", 6).alias(f"{c}_{k}") for c in _MEASURES for k in ("mean", "std"))))
-query("e26_components", f"WITH RECURSIVE {SONGS}, {_SCORED} SELECT conv_id, cohort, overall, structural, rhyme, lexical, repetition, weakest FROM weak")(scored)
+def scored(each, *keep):
+    """Conversations as drafts, whose multisyllabic share is by lines, against those of their cohort; ``each``: of ``measured``."""
+    own = each.where("line_count > 0").withColumn("pct_multis", F.col("line_multis"))
+    return E.component_scores(own, _baselines(each), "conv_id", "cohort", keep)
+
+
+query("e26_baselines", f"WITH RECURSIVE {SONGS}, {_SCORED} SELECT cohort, songs, " + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in _MEASURES for k in ("mean", "std")) + " FROM base")(lambda t: _baselines(measured(t)).select("cohort", "songs", *(F.round(f"{c}_{k}", 6).alias(f"{c}_{k}") for c in _MEASURES for k in ("mean", "std"))))
+query("e26_components", f"WITH RECURSIVE {SONGS}, {_SCORED} SELECT conv_id, cohort, overall, structural, rhyme, lexical, repetition, weakest FROM weak")(lambda t: scored(C.shared(measured(t))))
 
 
 @query("e38_advice", f"""WITH RECURSIVE {SONGS}, {_SCORED}, {_SECTION_LINES},
@@ -116,10 +114,9 @@ UNION ALL SELECT conv_id, weakest, place, CASE WHEN n > 0 THEN 'mend' ELSE 'keep
 UNION ALL SELECT conv_id, weakest, 1, CASE WHEN ttr > 0.55 THEN 'fewer' WHEN ttr < 0.35 THEN 'more' ELSE 'keep' END, 'distinct words', ttr FROM weak WHERE weakest = 'lexical'
 UNION ALL SELECT conv_id, weakest, 1, 'repeat', 'hook', hook_repetition_ratio FROM weak WHERE weakest = 'repetition'""")
 def advice(t):
-    lines = section_lines(t)
-    kinds = drafts(t).where("not is_label").select("conv_id", "section", "kind").distinct()
-    checked = D.section_schemes(lines, ["conv_id", "section"], "AABB").join(kinds, ["conv_id", "section"])
-    return E.advice(scored(t, "ttr", "hook_repetition_ratio"), template(t, 6), checked, "conv_id", "cohort")
+    each = C.shared(measured(t))
+    sections = each.select("conv_id", "cohort", F.inline("parts"))
+    return E.advice(scored(each, "ttr", "hook_repetition_ratio"), shaped(sections, 6), sections.where("n_lines > 0"), "conv_id", "cohort")
 
 # ---- song pages: a page for each conversation, with a box, labels and what stands above ----
 

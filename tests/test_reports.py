@@ -1,10 +1,13 @@
 """Templates, reports, component scores, events, slices, stories and song pages on small cases."""
 
 import math
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import text as T
 from cadenza.operators import intervals as I
 from cadenza.operators import report as E
 from cadenza.operators import templates as P
@@ -184,3 +187,43 @@ def test_song_pages(spark):
     assert (got[6].title, got[6].found) == ("Unknown", False) and got[7].clean_lyrics == "un\nclosed"
     assert {r.id: r.clean_lyrics for r in readers.song_pages(df, "id", "html", labels=False).collect()}[2] == "first\nsecond"
     assert readers.song_pages(df.limit(0), "id", "html").count() == 0
+
+
+def test_drafts_are_measured_in_one_pass_as_by_their_parts(spark):
+    from cadenza.operators import corpus as C
+    from cadenza.operators import drafts as D
+    from cadenza.operators import rhyme as R
+    from cadenza.operators import suggest as S
+
+    texts = [
+        (1, "[Verse]\nmama tata\nmama tata\nkuca vuca\n  \nsama\n[Chorus]\n[Chorus]\nvrt smrt\nbela vrela cela\n[x]"),
+        (2, "bez oznake\nbez oznake\nbez oznake\nnula\nprva\nnula"), (3, "[Verse]"), (4, ""), (5, None), (6, "...\n!"), (None, "mama"),
+    ]
+    df = spark.createDataFrame(texts, "id int, text string")
+    types = {"verse": "strofa", "chorus": "refren"}
+    got = {r.id: r for r in E.measured(df, "id", "text", types).collect()}
+    marks = S.marked(df.where("id is not null"), "id", "text", types)
+    lines = S.lyric_lines(marks).withColumn("line_norm", T.normalize(F.col("line"))).withColumn("skel", T.skeleton(F.col("line_norm")))
+    words = lines.withColumns({"word_count": F.size(T.words(F.col("line_norm"))), "syllable_count": T.syllables(F.col("line_norm"))})
+    metrics = {r.id: r for r in C.song_metrics(words, ["id"], []).collect()}
+    rhymes = {r.id: r for r in R.profile(lines, R.assigned(lines, "id"), "id").collect()}
+    multis = {r.id: r.n for r in R.groups(lines, "id", 3).groupBy("id").agg(F.sum("size").alias("n")).collect()}
+    placed = lines.withColumn("ordinal", F.row_number().over(Window.partitionBy("id", "section").orderBy("line_no")))
+    broken = {(r.id, r.section): len(r.broken) for r in D.section_schemes(placed, ["id", "section"], "AABB").collect()}
+    assert set(got) == {r.id for r in marks.select("id").distinct().collect()} == {1, 2, 3, 6}
+    for i, m in metrics.items():
+        r = got[i]
+        assert [r[c] for c in ("line_count", "ttr", "avg_syllables_per_line", "hook_repetition_ratio")] == [m[c] for c in ("line_count", "ttr", "avg_syllables_per_line", "hook_repetition_ratio")]
+        assert [r[c] for c in ("rhyme_factor", "pct_multis", "internal_rate")] == [rhymes[i][c] for c in ("rhyme_factor", "pct_multis", "internal_rate")]
+        assert r.line_multis == round(multis.get(i, 0) / m.line_count, 4)
+        assert {(i, p.section): p.broken for p in r.parts if p.n_lines} == {k: v for k, v in broken.items() if k[0] == i}
+    assert [(p.kind, p.n_lines) for p in got[1].parts] == [("strofa", 4), ("refren", 0), ("refren", 2), ("other", 0)] and got[3].line_count == 0 and got[3].section_count == 1
+
+
+def test_advice_cuts_the_drafts_once(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["e38_advice"](spark, sf_dir)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow") == 1 and final.count("ReusedExchange") >= 4 and len(re.findall(r"\bWindow\b", final)) <= 12

@@ -22,6 +22,9 @@ def groups(lines: DataFrame, key: str, n: int = 2) -> DataFrame:
 #: Letters whose repeated parts are looked for at once.
 LETTERS = 200_000
 
+#: Repeated parts that are numbered at once, and bytes of those that are sent at once.
+ROWS, BYTES = 100_000, 4_000_000
+
 
 def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """(from, to) of runs of sizes that add up to ``most`` at most; a larger one is alone."""
@@ -34,37 +37,115 @@ def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return [*out, (begin, len(sizes))] if sizes else []
 
 
-def repeated_parts(skels: list[str], n: int, longest: int | None = None) -> tuple[list[int], list[str], list[int]]:
-    """(number of the skeleton, part, places) of the parts of n letters or more that a skeleton has twice or more.
+def shared_letters(letters, line, tops):
+    """(places in the order of their suffixes within their lines, letters that each of them shares with the one before it).
+
+    ``letters``: codes from 1, and 0 behind each line; ``line``: each place's line; ``tops``: how many letters at most are
+    asked for there.  Places are sorted by as many first letters as fit in a number; those that this leaves together are
+    told apart by twice as many, and so on.
+    """
+    import numpy as np
+
+    n, bits = len(letters), int(letters.max()).bit_length()
+    width = q = max(1, min(52, 62 - int(line[-1]).bit_length()) // bits)
+    packed, padded = line.copy(), np.concatenate([letters, np.zeros(q, np.int64)])
+    for k in range(q):
+        packed = packed << bits | padded[k : k + n]
+    order = np.argsort(packed)
+    new = np.concatenate([[True], packed[order[1:]] != packed[order[:-1]]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    ranks = [rank]
+    while len(at := np.flatnonzero(~(new & np.append(new[1:], True)) & (tops[order] > width))):
+        key = rank[order[at]] * n + rank[order[at] + width]
+        by = np.argsort(key)
+        order[at], key = order[at][by], key[by]
+        new[at] = apart = np.concatenate([[True], key[1:] != key[:-1]])
+        rank = rank.copy()
+        rank[order[at]] = np.maximum.accumulate(np.where(apart, at, 0))
+        ranks.append(rank)
+        width *= 2
+    a, b, shared = order[:-1].copy(), order[1:].copy(), np.where(new, 0, n)
+    some = np.flatnonzero(new[1:] & (ranks[0][a] == ranks[0][b]))
+    for rank in reversed(ranks):
+        same = some[rank[a[some]] == rank[b[some]]]
+        for x in (a, b):
+            x[same] += width
+        shared[1 + same] += width
+        width //= 2
+    differ = np.frexp((packed[a] ^ packed[b]).astype(np.float64))[1]
+    shared[1:] += np.maximum(0, (q * bits - differ) // bits)
+    return order, np.minimum(shared, tops[order])
+
+
+def repeats(shared, n: int):
+    """(at, low, high, times): the parts of low + 1 to high letters at the ``at``-th suffix come as many times.
+
+    ``shared``: letters that sorted suffixes share with the one before.  All repeated parts of n letters or more, each once:
+    parts that come at the same places are one row.
+    """
+    import numpy as np
 
-    Parts are as long as half the skeleton at most.  Level by level for all skeletons at once: a part of m + 1 letters can
-    only be repeated where its first m letters are, so that only those places go on.
+    shared = np.append(shared, 0)
+    before, after = np.arange(len(shared)) - 1, np.arange(len(shared)) + 1
+    at = np.flatnonzero(shared >= n)
+    some = at[shared[at - 1] > shared[at]]
+    while len(some):
+        before[some] = before[before[some]]
+        some = some[shared[before[some]] > shared[some]]
+    some = at[shared[at + 1] >= shared[at]]
+    while len(some):
+        after[some] = after[after[some]]
+        some = some[shared[after[some]] >= shared[some]]
+    at = at[shared[before[at]] < shared[at]]
+    return at, np.maximum(n - 1, np.maximum(shared[before[at]], shared[after[at]])), shared[at], after[at] - before[at]
+
+
+def cut(sizes, most: int):
+    """(from, to) of runs of sizes that add up to ``most`` and one more size at most."""
+    import numpy as np
+
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)]) if len(sizes) else []
+
+
+def part_batches(skels: list[str], n: int, longest: int | None = None):
+    """Batches (numbers of the skeletons, ends of the parts in the bytes, bytes, times) of the parts of n letters or more
+    that a skeleton has twice or more; ``BYTES`` and one part at most are made at once, however many there are.
+
+    Parts are as long as half the skeleton at most.
     """
     import numpy as np
 
-    tops = np.array([len(x) // 2 if longest is None else min(len(x) // 2, longest) for x in skels], np.int64)
-    ends = np.cumsum([len(x) for x in skels], dtype=np.int64)
-    letters = np.frombuffer("".join(skels).encode("utf-32-le"), np.uint32).astype(np.int64)
-    kinds, letters = np.unique(letters, return_inverse=True)
-    line = np.repeat(np.arange(len(skels)), [len(x) for x in skels])
-    starts, at = ends - [len(x) for x in skels], np.arange(len(letters))
-    group, out = line.copy(), ([], [], [])
-    m = 0
-    while len(at):
-        m += 1
-        on = (at + m <= ends[line[at]]) & (m <= tops[line[at]])
-        at, group = at[on], group[on]
-        if not len(at):
-            break
-        _, first, group, times = np.unique(group * len(kinds) + letters[at + m - 1], return_index=True, return_inverse=True, return_counts=True)
-        if m >= n:
-            twice = first[times > 1]
-            for k, i in zip(line[at[twice]].tolist(), (at[twice] - starts[line[at[twice]]]).tolist()):
-                out[0].append(k)
-                out[1].append(skels[k][i : i + m])
-            out[2].extend(times[times > 1].tolist())
-        on = times[group] > 1
-        at, group = at[on], group[on]
+    if not any(skels):
+        return
+    sizes, n = np.array([len(x) for x in skels], np.int64), max(n, 1)
+    text = "\n".join(skels) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds, letters = np.unique(codes, return_inverse=True)
+    letters += 1
+    letters[np.cumsum(sizes + 1) - 1] = 0
+    line = np.repeat(np.arange(len(skels)), sizes + 1)
+    order, shared = shared_letters(letters, line, np.minimum(sizes // 2, len(text) if longest is None else longest)[line])
+    at, low, high, times = repeats(shared, n)
+    place, text = order[at], text.encode()
+    starts = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+    for i, j in cut(high - low, ROWS):
+        each = np.repeat(np.arange(i, j), high[i:j] - low[i:j])
+        first, many = place[each], np.cumsum(high[i:j] - low[i:j])
+        begin, end = starts[first], starts[first + high[each] - (many[each - i] - 1 - np.arange(len(each)))]
+        for x, y in cut(end - begin, BYTES):
+            data = b"".join([text[s:e] for s, e in zip(begin[x:y].tolist(), end[x:y].tolist())])
+            yield line[first[x:y]], np.cumsum(end[x:y] - begin[x:y]), data, times[each[x:y]]
+
+
+def repeated_parts(skels: list[str], n: int, longest: int | None = None) -> tuple[list[int], list[str], list[int]]:
+    """``part_batches`` as lists: (number of the skeleton, part, times)."""
+    out = ([], [], [])
+    for at, ends, data, times in part_batches(skels, n, longest):
+        out[0].extend(at.tolist())
+        out[1].extend(data[i:j].decode() for i, j in zip([0, *ends.tolist()], ends.tolist()))
+        out[2].extend(times.tolist())
     return out
 
 
@@ -73,18 +154,22 @@ def internal(lines: DataFrame, key: str, n: int = 2, longest: int | None = None)
 
     Parts are as long as half the skeleton at most; ``longest`` bounds them further.  The rows of one line are
     its repeated parts, found in an Arrow function for some lines of a batch at once: ``LETTERS`` letters, or one line.
+    They are sent as they are made, as a line of few letters' turns has as many parts as the square of its length.
     """
     schema = f"{key} {lines.schema[key].dataType.simpleString()}, ordinal {lines.schema['ordinal'].dataType.simpleString()}, part string, times long"
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for i, j in blocks([len(x) for x in batch.column(2).to_pylist()], LETTERS):
                 some = batch.slice(i, j - i)
-                at, parts, times = repeated_parts(some.column(2).to_pylist(), n, longest)
-                at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(parts, pa.string()), pa.array(times, pa.int64())], names=[key, "ordinal", "part", "times"])
+                for at, ends, data, times in part_batches(some.column(2).to_pylist(), n, longest):
+                    ends = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+                    parts = pa.Array.from_buffers(pa.string(), len(at), [None, ends, pa.py_buffer(data)])
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), parts, pa.array(times)], names=[key, "ordinal", "part", "times"])
 
     return lines.where(F.length("skel") >= 2 * n).select(key, "ordinal", "skel").mapInArrow(run, schema)
 

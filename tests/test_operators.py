@@ -399,6 +399,29 @@ def test_repeated_parts_of_many_lines_at_once():
     assert R.blocks([3, 3, 9, 1, 1], 6) == [(0, 2), (2, 3), (3, 5)] and R.blocks([], 6) == []
 
 
+def test_repeated_parts_are_sent_as_they_are_made(spark, monkeypatch):
+    import pyarrow as pa
+
+    class Lines:
+        schema = spark.createDataFrame([], "song long, ordinal int, skel string").schema
+        where = select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    run = R.internal(Lines(), "song")
+    turns = pa.record_batch([pa.array([7]), pa.array([1], pa.int32()), pa.array(["aeiou" * 1200])], ["song", "ordinal", "skel"])
+    sent = [(b.num_rows, sum(map(len, b.column(2).to_pylist()))) for b in run([turns])]
+    assert max(x for _, x in sent) <= 4_003_000 and tuple(map(sum, zip(*sent))) == (5 * 2999, 5 * (3000 * 3001 // 2 - 1))
+
+    rng, skels = random.Random(4), ["aé𝄞o" * 20, "ie" * 30 + "o" + "ie" * 30, "", "\n\n\n\n"]
+    skels += ["".join(rng.choice("ae\n") for _ in range(60)) * rng.choice([1, 2]) for _ in range(20)]
+    wanted = {(k, p, n) for k, x in enumerate(skels) for m in range(2, len(x) // 2 + 1) for p in {x[i : i + m] for i in range(len(x) - m + 1)} if (n := sum(x.startswith(p, i) for i in range(len(x)))) > 1}
+    for rows, size in ((100_000, 4_000_000), (3, 20), (1, 1)):
+        monkeypatch.setattr(R, "ROWS", rows)
+        monkeypatch.setattr(R, "BYTES", size)
+        found = list(zip(*R.repeated_parts(skels, 2)))
+        assert set(found) == wanted and len(found) == len(wanted)
+
+
 def test_terms_of_topics_are_counted_once(spark, sf_dir):
     import __spark_entry__ as entry
 

@@ -22,8 +22,8 @@ def groups(lines: DataFrame, key: str, n: int = 2) -> DataFrame:
 #: Letters whose repeated parts are looked for at once.
 LETTERS = 200_000
 
-#: Repeated parts that are numbered at once, and bytes of those that are sent at once.
-ROWS, BYTES = 100_000, 4_000_000
+#: Runs of repeated parts that are numbered at once; bytes of the parts of one row of them, and of the rows sent at once.
+ROWS, BYTES = 100_000, 1_000_000
 
 
 def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
@@ -109,69 +109,86 @@ def cut(sizes, most: int):
     return zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)]) if len(sizes) else []
 
 
-def part_batches(skels: list[str], n: int, longest: int | None = None):
-    """Batches (numbers of the skeletons, ends of the parts in the bytes, bytes, times) of the parts of n letters or more
-    that a skeleton has twice or more; ``BYTES`` and one part at most are made at once, however many there are.
+def part_runs(skels: list[str], n: int, longest: int | None = None):
+    """Batches (numbers of the skeletons, where the runs of each begin and end, at, low, high, times) of the parts of n
+    letters or more that a skeleton has twice or more: the bytes from ``at`` on, low + 1 to high of them, come so often.
 
-    Parts are as long as half the skeleton at most.
+    Parts are as long as half the skeleton at most.  A skeleton is there again as often as the parts of its runs take
+    about ``BYTES``, so that no row stands for much more, however many parts a skeleton has.
     """
     import numpy as np
 
     if not any(skels):
         return
-    sizes, n = np.array([len(x) for x in skels], np.int64), max(n, 1)
-    text = "\n".join(skels) + "\n"
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    sizes, n, text = np.array([len(x) for x in skels], np.int64), max(n, 1), "\n".join(skels) + "\n"
+    heads, codes = np.cumsum(sizes + 1) - sizes - 1, np.frombuffer(text.encode("utf-32-le"), np.uint32)
     kinds, letters = np.unique(codes, return_inverse=True)
     letters += 1
-    letters[np.cumsum(sizes + 1) - 1] = 0
+    letters[heads + sizes] = 0
     line = np.repeat(np.arange(len(skels)), sizes + 1)
     order, shared = shared_letters(letters, line, np.minimum(sizes // 2, len(text) if longest is None else longest)[line])
     at, low, high, times = repeats(shared, n)
-    place, text = order[at], text.encode()
     starts = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
-    for i, j in cut(high - low, ROWS):
-        each = np.repeat(np.arange(i, j), high[i:j] - low[i:j])
-        first, many = place[each], np.cumsum(high[i:j] - low[i:j])
-        begin, end = starts[first], starts[first + high[each] - (many[each - i] - 1 - np.arange(len(each)))]
-        for x, y in cut(end - begin, BYTES):
-            data = b"".join([text[s:e] for s, e in zip(begin[x:y].tolist(), end[x:y].tolist())])
-            yield line[first[x:y]], np.cumsum(end[x:y] - begin[x:y]), data, times[each[x:y]]
+    plain = starts[-1] == len(codes)  # else each part is a run, as its letters take more bytes or fewer
+    step = np.maximum(1, BYTES // high) if plain else np.ones_like(high)
+    pieces = -(-(high - low) // step)
+    for i, j in cut(pieces, ROWS):
+        each = np.repeat(np.arange(i, j), pieces[i:j])
+        nth = np.arange(len(each)) - (np.cumsum(pieces[i:j]) - pieces[i:j])[each - i]
+        place, lower = order[at[each]], low[each] + nth * step[each]
+        upper = np.minimum(high[each], lower + step[each])
+        if not plain:
+            upper = starts[place + upper] - starts[place]
+            lower = upper - 1
+        owner = line[place]
+        row = np.cumsum((upper * (upper + 1) - lower * (lower + 1)) // 2 + 64 * (upper - lower)) // BYTES
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])]))
+        ends, begin = np.append(first, len(each)), starts[place] - starts[heads[owner]]
+        for x, y in cut(sizes[owner[first]] + 20 * np.diff(ends), BYTES):
+            p, q = ends[x], ends[y]
+            yield owner[first[x:y]], ends[x : y + 1] - p, begin[p:q], lower[p:q], upper[p:q], times[each[p:q]]
 
 
 def repeated_parts(skels: list[str], n: int, longest: int | None = None) -> tuple[list[int], list[str], list[int]]:
-    """``part_batches`` as lists: (number of the skeleton, part, times)."""
+    """``part_runs`` part by part: (number of the skeleton, part, times)."""
     out = ([], [], [])
-    for at, ends, data, times in part_batches(skels, n, longest):
-        out[0].extend(at.tolist())
-        out[1].extend(data[i:j].decode() for i, j in zip([0, *ends.tolist()], ends.tolist()))
-        out[2].extend(times.tolist())
+    for owners, ends, *runs in part_runs(skels, n, longest):
+        owners = [k for k, m in zip(owners.tolist(), (ends[1:] - ends[:-1]).tolist()) for _ in range(m)]
+        for k, at, low, high, times in zip(owners, *(x.tolist() for x in runs)):
+            for m in range(low + 1, high + 1):
+                for x, y in zip(out, (k, skels[k].encode()[at : at + m].decode(), times)):
+                    x.append(y)
     return out
 
 
 def internal(lines: DataFrame, key: str, n: int = 2, longest: int | None = None) -> DataFrame:
     """key, ordinal, part, times of each skeleton part of n letters or more that a line has twice (overlap counts).
 
-    Parts are as long as half the skeleton at most; ``longest`` bounds them further.  The rows of one line are
-    its repeated parts, found in an Arrow function for some lines of a batch at once: ``LETTERS`` letters, or one line.
-    They are sent as they are made, as a line of few letters' turns has as many parts as the square of its length.
+    Parts are as long as half the skeleton at most; ``longest`` bounds them further.  An Arrow function finds where they
+    are, for some lines of a batch at once: ``LETTERS`` letters, or one line.  A line of few letters' turns has as many
+    parts as the square of its length, so that they leave Python as runs and become text a row of about ``BYTES`` at a time.
     """
-    schema = f"{key} {lines.schema[key].dataType.simpleString()}, ordinal {lines.schema['ordinal'].dataType.simpleString()}, part string, times long"
+    kinds = [lines.schema[x].dataType.simpleString() for x in (key, "ordinal")]
+    schema = f"{key} {kinds[0]}, ordinal {kinds[1]}, _skel binary, _runs array<struct<_at:int,_low:int,_high:int,times:long>>"
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for i, j in blocks([len(x) for x in batch.column(2).to_pylist()], LETTERS):
+            for i, j in blocks(pc.utf8_length(batch.column(2)).to_pylist(), LETTERS):
                 some = batch.slice(i, j - i)
-                for at, ends, data, times in part_batches(some.column(2).to_pylist(), n, longest):
-                    ends = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
-                    parts = pa.Array.from_buffers(pa.string(), len(at), [None, ends, pa.py_buffer(data)])
-                    at = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), parts, pa.array(times)], names=[key, "ordinal", "part", "times"])
-
-    return lines.where(F.length("skel") >= 2 * n).select(key, "ordinal", "skel").mapInArrow(run, schema)
+                skels = some.column(2).cast(pa.binary())
+                for owners, ends, *runs, times in part_runs(some.column(2).to_pylist(), n, longest):
+                    owners = pa.array(owners)
+                    each = pa.StructArray.from_arrays([*(pa.array(x.astype(np.int32)) for x in runs), pa.array(times)], ["_at", "_low", "_high", "times"])
+                    each = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(owners), some.column(1).take(owners), skels.take(owners), each], names=[key, "ordinal", "_skel", "_runs"])
+
+    found = lines.where(F.length("skel") >= 2 * n).select(key, "ordinal", "skel").mapInArrow(run, schema)
+    found = found.select(key, "ordinal", "_skel", F.inline("_runs")).select("*", F.explode(F.sequence(F.col("_low") + 1, "_high")).alias("_m"))
+    return found.select(key, "ordinal", F.substring("_skel", F.col("_at") + 1, F.col("_m")).cast("string").alias("part"), "times")
 
 
 def shared_start(a: str, b: str) -> int:

@@ -399,27 +399,39 @@ def test_repeated_parts_of_many_lines_at_once():
     assert R.blocks([3, 3, 9, 1, 1], 6) == [(0, 2), (2, 3), (3, 5)] and R.blocks([], 6) == []
 
 
-def test_repeated_parts_are_sent_as_they_are_made(spark, monkeypatch):
+def test_repeated_parts_leave_python_in_small_batches(spark, monkeypatch):
     import pyarrow as pa
+    from pyspark.sql import functions as F
 
     class Lines:
         schema = spark.createDataFrame([], "song long, ordinal int, skel string").schema
         where = select = lambda self, *_: self
-        mapInArrow = lambda self, run, _: run
 
-    run = R.internal(Lines(), "song")
-    turns = pa.record_batch([pa.array([7]), pa.array([1], pa.int32()), pa.array(["aeiou" * 1200])], ["song", "ordinal", "skel"])
-    sent = [(b.num_rows, sum(map(len, b.column(2).to_pylist()))) for b in run([turns])]
-    assert max(x for _, x in sent) <= 4_003_000 and tuple(map(sum, zip(*sent))) == (5 * 2999, 5 * (3000 * 3001 // 2 - 1))
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    R.internal(lines := Lines(), "song")
+    turns = [(7, 1, "aeiou" * 1200)]
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*turns), (pa.int64(), pa.int32(), pa.string()))]
+    sent = list(lines.run([pa.record_batch(columns, ["song", "ordinal", "skel"])]))
+    assert max(b.nbytes for b in sent) <= 4_100_000  # of 22.5 MB of parts
+    made = [sum((r["_high"] * (r["_high"] + 1) - r["_low"] * (r["_low"] + 1)) // 2 for r in runs) for b in sent for runs in b.column(3).to_pylist()]
+    assert max(made) <= 2 * R.BYTES and sum(made) == 5 * (3000 * 3001 // 2 - 1)
+    parts = R.internal(spark.createDataFrame(turns, Lines.schema), "song").agg(F.count("*"), F.countDistinct("part"), F.sum(F.length("part")))
+    assert tuple(parts.first()) == (5 * 2999, 5 * 2999, sum(made))
 
     rng, skels = random.Random(4), ["aé𝄞o" * 20, "ie" * 30 + "o" + "ie" * 30, "", "\n\n\n\n"]
     skels += ["".join(rng.choice("ae\n") for _ in range(60)) * rng.choice([1, 2]) for _ in range(20)]
     wanted = {(k, p, n) for k, x in enumerate(skels) for m in range(2, len(x) // 2 + 1) for p in {x[i : i + m] for i in range(len(x) - m + 1)} if (n := sum(x.startswith(p, i) for i in range(len(x)))) > 1}
-    for rows, size in ((100_000, 4_000_000), (3, 20), (1, 1)):
+    for some, rows, size in ((skels, 100_000, 1_000_000), (skels[1:], 3, 200), (skels, 1, 1)):
         monkeypatch.setattr(R, "ROWS", rows)
         monkeypatch.setattr(R, "BYTES", size)
-        found = list(zip(*R.repeated_parts(skels, 2)))
-        assert set(found) == wanted and len(found) == len(wanted)
+        found = list(zip(*R.repeated_parts(some, 2)))
+        assert {(k + len(skels) - len(some), *x) for k, *x in found} == {x for x in wanted if x[0] >= len(skels) - len(some)} and len(set(found)) == len(found)
+    monkeypatch.undo()
+    df = spark.createDataFrame([(k, 1, x) for k, x in enumerate(skels)], Lines.schema)
+    assert sorted((r.song, r.part, r.times) for r in R.internal(df, "song").collect()) == sorted(wanted)
 
 
 def test_terms_of_topics_are_counted_once(spark, sf_dir):
